@@ -1,9 +1,9 @@
-"""HTML reading as expressions on the page text, evaluated in the JVM.
+"""HTML reading as string expressions, evaluated in the JVM.
 
-A page becomes two parallel arrays in document order: ``texts`` (text nodes, entities
-decoded, empty where a tag stands) and ``kinds`` (one code per position). Looking up a
-label and the block after it then needs only ``array_position`` and ``slice``; the depth
-count over nested blocks runs only when a block really holds another.
+A page is first written as an outline: every tag shrinks to one control character, so what is
+left is text in document order with marks between the text nodes. Opening and closing ``div``
+tags keep marks of their own, other tags a caller cares about get further ones. Looking up a
+label and the block after it is then one linear regular expression per label.
 """
 
 from __future__ import annotations
@@ -13,7 +13,12 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TEXT, DIV, CLOSE_DIV = 0, 1, -1
+BREAK, OPEN, CLOSE = "\u0001", "\u0002", "\u0003"
+# Marks that callers may give to tags of their own choice.
+SPARE = ("\u0004", "\u0005", "\u0006", "\u0007")
+_MARKS = BREAK + OPEN + CLOSE + "".join(SPARE)
+# Blocks may nest this deep; browsers stop at about 500 elements of all kinds.
+MAX_DEPTH = 200
 
 _DROPPED = (
     r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<![^>]*>"
@@ -34,20 +39,15 @@ def tag_texts(html: Column, name: str) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of an opening tag, null when it has none."""
-    raw = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    value = F.regexp_replace(raw, r"""^["']|["']$""", "")
-    return F.when(raw != "", decode_entities(value))
+    pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    raw = F.get(F.regexp_extract_all(tag, F.lit(pattern), 1), F.lit(0))
+    return decode_entities(F.regexp_replace(raw, r"""^["']|["']$""", ""))
 
 
 def class_text(tag: Column) -> Column:
     """Class attribute with single spaces, empty when there is none."""
-    return F.coalesce(
-        F.trim(F.regexp_replace(attribute(tag, "class"), r"\s+", " ")), F.lit("")
-    )
-
-
-def has_class(tag: Column, name: str) -> Column:
-    return F.array_contains(F.split(class_text(tag), " "), name)
+    spaced = F.trim(F.regexp_replace(attribute(tag, "class"), r"\s+", " "))
+    return F.coalesce(spaced, F.lit(""))
 
 
 def _entity_map() -> Column:
@@ -61,7 +61,8 @@ def _numeric_entity(piece: Column) -> Column:
     decimal = F.conv(F.regexp_extract(piece, r"^&#(\d{1,7});$", 1), 10, 16)
     hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
     digits = F.when(hexadecimal != "", hexadecimal).otherwise(decimal)
-    usable = (F.length(digits) <= 6) & (digits != "")
+    # References to control characters stay as written: outlines use those as marks.
+    usable = (F.length(digits) <= 6) & (F.conv(digits, 16, 10).cast("int") >= 32)
     return F.when(usable, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
 
 
@@ -75,7 +76,7 @@ def decode_entities(text: Column) -> Column:
             F.coalesce(_entity_map()[p], _numeric_entity(p), p),
         ).otherwise(p),
     )
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    return F.array_join(decoded, "")
 
 
 def inner_text(markup: Column) -> Column:
@@ -89,104 +90,73 @@ def first_element_text(html: Column, name: str) -> Column:
     return inner_text(body)
 
 
-def outline_tokens(markup: Column, kept_tags: str = "div|section") -> Column:
-    """Tags of the kept names and text nodes, in document order.
+def tag_pattern(name: str, *needs: str) -> str:
+    """Pattern of an opening tag; ``needs`` are attribute patterns it must have."""
+    quoted = r"""(?:"[^"]*"|'[^']*')"""
+    looks = "".join(rf"""(?=[^<>"']*(?:{quoted}[^<>"']*)*?\s{need})""" for need in needs)
+    return rf"(?i)<{name}\b{looks}{_QUOTED_REST}"
 
-    Other tags only end a text node, so they shrink to a control character that no text has.
-    """
-    ended = F.regexp_replace(
-        markup, rf"(?i)<(?!/?(?:{kept_tags})\b)/?[A-Za-z]{_QUOTED_REST}", "\u0001"
-    )
-    pattern = rf"(?i)</?(?:{kept_tags})\b{_QUOTED_REST}|[^<\u0001]+|<"
-    return F.regexp_extract_all(ended, F.lit(pattern), 0)
 
-
-def _is_tag(token: Column) -> Column:
-    return F.startswith(token, F.lit("<")) & (F.length(token) > 1)
-
-
-def token_kinds(tokens: Column) -> Column:
-    """``DIV``, ``CLOSE_DIV`` or ``TEXT`` (anything else) per token."""
-    return F.transform(
-        tokens,
-        lambda t: F.when(~_is_tag(t), F.lit(TEXT))
-        .when(t.rlike(r"(?i)^<div\b"), F.lit(DIV))
-        .when(t.rlike(r"(?i)^</div\b"), F.lit(CLOSE_DIV))
-        .otherwise(F.lit(TEXT)),
-    )
+def needs_class(name: str) -> str:
+    quoted = rf"""["'](?:[^"'<>]*\s)?{name}(?:\s[^"'<>]*)?["']"""
+    return rf"""class\s*=\s*(?:{quoted}|{name}(?=[\s>]))"""
 
 
-def token_marks(tokens: Column, tests: dict) -> Column:
-    """Code of the first test a tag token passes, 0 for none. ``tests``: code -> predicate."""
+def needs_id(name: str) -> str:
+    return rf"""id\s*=\s*["']?{name}(?=["'\s>])"""
 
-    def mark(token: Column) -> Column:
-        chain = F.when(~_is_tag(token), F.lit(0))
-        for code, test in tests.items():
-            chain = chain.when(test(token), F.lit(code))
-        return chain.otherwise(F.lit(0))
 
-    return F.transform(tokens, mark)
-
-
-def token_texts(tokens: Column) -> Column:
-    """Decoded text per token, empty for tags."""
-    return F.transform(
-        tokens, lambda t: F.when(_is_tag(t), F.lit("")).otherwise(decode_entities(t))
-    )
-
-
-def _after(values: Column, position: Column) -> Column:
-    return F.slice(values, position + 1, F.size(values))
+def outline(markup: Column, marked: dict[str, str] | None = None) -> Column:
+    """Markup with tags as control characters.
 
+    ``marked`` maps a replacement, made of a spare mark and for ``div`` tags also ``OPEN``, to
+    the pattern of the tags that get it.
+    """
+    text = F.translate(markup, _MARKS, "")
+    for mark, pattern in (marked or {}).items():
+        text = F.regexp_replace(text, pattern, mark)
+    text = F.regexp_replace(text, tag_pattern("div"), OPEN)
+    text = F.regexp_replace(text, r"(?i)</div\s*>", CLOSE)
+    return F.regexp_replace(text, rf"</?[A-Za-z]{_QUOTED_REST}", BREAK)
 
-def position_of(values: Column, wanted, start: Column, stop: Column) -> Column:
-    """1-based place of the first exact match in ``start..stop``, null when there is none."""
-    width = F.greatest(stop - start + 1, F.lit(0))
-    found = F.array_position(F.slice(values, start, width), wanted).cast("int")
-    return F.when(found > 0, start + found - 1)
 
+def _balanced() -> str:
+    """Pattern of text in which every opened block is closed again; linear in its input."""
+    flat = f"[^{OPEN}{CLOSE}]*+"
+    pattern = flat
+    for _ in range(MAX_DEPTH):
+        pattern = f"{flat}(?:{OPEN}{pattern}{CLOSE}{flat})*+"
+    return pattern
 
-def position_containing(texts: Column, label: str, start: Column, stop: Column) -> Column:
-    """Like ``position_of``, for the first text that holds the label somewhere."""
-    width = F.greatest(stop - start + 1, F.lit(0))
-    holds = F.transform(F.slice(texts, start, width), lambda t: F.contains(t, F.lit(label)))
-    found = F.array_position(holds, True).cast("int")
-    return F.when(found > 0, start + found - 1)
 
+BALANCED = _balanced()
 
-def next_block(kinds: Column, position: Column) -> Column:
-    """Place of the next ``div`` after a position, null when there is none."""
-    found = F.array_position(_after(kinds, position), DIV).cast("int")
-    return F.when(found > 0, position + found)
 
+def exact_text(label: str) -> str:
+    """Pattern of a text node that is just this label."""
+    return rf"[{_MARKS}]\Q{label}\E(?=[{_MARKS}])"
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def text_with(label: str) -> str:
+    """Pattern of a label somewhere in a text node."""
+    return rf"\Q{label}\E"
 
-def _end_offset(rest: Column) -> Column:
-    """Offset of the closing tag in what follows an opening one; null if it never comes."""
-    closing = F.array_position(rest, CLOSE_DIV).cast("int")
-    inner = F.array_position(rest, DIV).cast("int")
 
-    def step(state: Column, kind: Column) -> Column:
-        depth = state["depth"] + kind
-        at = state["at"] + 1
-        end = F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"])
-        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+def block_after(outlined: Column, text: str) -> Column:
+    """Outline of the next ``div`` after the first match of a pattern, its own marks included.
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-    nested = F.aggregate(rest, start, step, lambda state: F.nullif(state["end"], F.lit(0)))
-    flat = (inner == 0) | (closing < inner)
-    return F.when((closing > 0) & flat, closing).when(closing > 0, nested)
+    Null when there is no match, no such block, or the block is never closed.
+    """
+    return F.nullif(
+        F.regexp_extract(outlined, f"{text}[^{OPEN}]*+({OPEN}{BALANCED}{CLOSE})", 1), F.lit("")
+    )
 
 
-def block_end(kinds: Column, opening: Column) -> Column:
-    """Place of the closing tag that matches the ``div`` at ``opening``; null if it never comes."""
-    return opening + bind(_after(kinds, opening), _end_offset)
+def marked_blocks(outlined: Column, mark: str) -> Column:
+    """Outlines of all blocks with a spare mark, nested ones too."""
+    return F.regexp_extract_all(outlined, F.lit(f"{mark}(?=({OPEN}{BALANCED}{CLOSE}))"), 1)
 
 
-def block_text(texts: Column, kinds: Column, opening: Column) -> Column:
-    """All text inside the ``div`` at ``opening``, in order, not trimmed."""
-    return F.array_join(F.slice(texts, opening + 1, block_end(kinds, opening) - opening - 1), "")
+def plain_text(outlined: Column) -> Column:
+    """Text of an outline: the marks go."""
+    return F.translate(outlined, _MARKS, "")

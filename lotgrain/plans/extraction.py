@@ -61,7 +61,13 @@ IMAGE_CLASS = "lazy lead"
 COUNTER_ANCHOR_CLASS = "js-hide-on-filter"
 # --- End of fixed values. ---
 
-_CONTENT, _FEATURE, _SECTION, _SECTION_END = 2, 3, 5, 6
+_CONTENT_TAG = M.tag_pattern("div", M.needs_id(CONTENT_NAME), M.needs_class(CONTENT_NAME))
+_FEATURE, _SECTION, _SECTION_END = M.SPARE[:3]
+_AD_PAGE_TAGS = {
+    _FEATURE + M.OPEN: M.tag_pattern("div", M.needs_class(FEATURE_CLASS)),
+    _SECTION: M.tag_pattern("section", M.needs_class(BASIC_SECTION_CLASS)),
+    _SECTION_END: r"(?i)</section\s*>",
+}
 
 
 
@@ -93,10 +99,10 @@ def page_ads(pages: DataFrame, html: str = "html") -> DataFrame:
     )
     rows = pages.select(*kept, F.posexplode(blocks).alias("seq", "_block"))
     classes = M.class_text(F.regexp_extract(F.col("_block"), r"(?is)^<article\b[^>]*>", 0))
-    rows = rows.withColumn("_class", classes).where(
+    rows = settled(rows, [*kept, "seq", "_block"], {"_class": classes}).where(
         F.col("_class").rlike(AD_CLASS) & ~F.contains("_class", F.lit(HIDDEN_CLASS))
     )
-    anchors = F.filter(M.tag_texts(F.col("_block"), "a"), lambda t: M.has_class(t, LINK_CLASS))
+    anchors = F.regexp_extract_all("_block", F.lit(M.tag_pattern("a", M.needs_class(LINK_CLASS))), 0)
     rows = settled(rows, [*kept, "seq", "_block"], {"_anchor": F.get(anchors, F.lit(0))})
     # Only images inside the first such link count.
     link_body = F.regexp_extract(
@@ -169,64 +175,40 @@ def page_counter(pages: DataFrame, html: str = "html") -> DataFrame:
 # -------------------------------------------------------------------- ad pages
 
 
-def _outline(pages: DataFrame, html: str) -> DataFrame:
-    """Token arrays of the content block, and the bounds of the parts inside it."""
+def _content_parts(pages: DataFrame, html: str) -> DataFrame:
+    """Outlines of the content block, its basic section, what follows that, and the info block."""
     kept = [c for c in pages.columns if c != html]
-    shown = pages.select(*kept, M.visible_markup(F.col(html)).alias("_shown"))
+    shown = settled(pages, kept, {"_shown": M.visible_markup(F.col(html))})
     price = F.regexp_extract(
         F.col("_shown"),
         rf"""(?is)<span\b[^>]*\bclass\s*=\s*["'][^"']*{PRICE_CLASS}[^"']*["'][^>]*>(.*?)</span""",
         1,
     )
-    cut = shown.select(
-        *kept,
-        M.inner_text(price).alias("_price"),
-        M.outline_tokens(F.col("_shown")).alias("_tokens"),
-    )
-    marks = {
-        _CONTENT: lambda t: F.contains(t, F.lit(CONTENT_NAME))
-        & M.has_class(t, CONTENT_NAME)
-        & F.coalesce(M.attribute(t, "id") == CONTENT_NAME, F.lit(False)),
-        _FEATURE: lambda t: F.contains(t, F.lit(FEATURE_CLASS)) & M.has_class(t, FEATURE_CLASS),
-        _SECTION: lambda t: F.contains(t, F.lit(BASIC_SECTION_CLASS))
-        & t.rlike(r"(?i)^<section\b")
-        & M.has_class(t, BASIC_SECTION_CLASS),
-        _SECTION_END: lambda t: t.rlike(r"(?i)^</section\b"),
-    }
-    arrays = settled(
-        cut,
-        [*kept, "_price"],
+    outlined = settled(
+        shown,
+        kept,
         {
-            "_texts": M.token_texts(F.col("_tokens")),
-            "_kinds": M.token_kinds(F.col("_tokens")),
-            "_marks": M.token_marks(F.col("_tokens"), marks),
+            "price_text": M.inner_text(price),
+            # Head, navigation and the like in front of the content are not looked at further.
+            "_outline": M.outline(
+                F.regexp_extract("_shown", rf"{_CONTENT_TAG}[\s\S]*$", 0), _AD_PAGE_TAGS
+            ),
         },
     )
-    texts, kinds, found = F.col("_texts"), F.col("_kinds"), F.col("_marks")
-    parts = [*kept, "_price", "_texts", "_kinds", "_marks"]
-
-    def bounded(rows: DataFrame, known: list[str], **columns: Column) -> DataFrame:
-        return settled(rows, [*parts, *known], columns)
-
-    rows = bounded(arrays, [], _from=M.position_of(found, _CONTENT, F.lit(1), F.size(texts)))
-    rows = bounded(rows, ["_from"], _to=M.block_end(kinds, F.col("_from")))
-    start, stop = F.col("_from"), F.col("_to")
-    rows = bounded(
-        rows,
-        ["_from", "_to"],
-        _basic=M.position_of(found, _SECTION, start, stop),
-        _named=M.position_containing(texts, INFO_BLOCK_LABEL, start, stop),
-    )
-    rows = bounded(
-        rows,
-        ["_from", "_to", "_basic"],
-        _basic_end=M.position_of(found, _SECTION_END, F.col("_basic"), stop),
-        _info=M.next_block(kinds, F.col("_named")),
+    content = M.decode_entities(M.block_after(F.col("_outline"), "^"))
+    cut = settled(outlined, [*kept, "price_text"], {"_content": content})
+    whole = F.col("_content")
+    behind = F.regexp_extract(
+        whole, rf"{_SECTION}[^{_SECTION_END}]*+{_SECTION_END}([\s\S]*)$", 1
     )
-    return bounded(
-        rows,
-        ["_from", "_to", "_basic", "_basic_end", "_info"],
-        _info_end=M.block_end(kinds, F.col("_info")),
+    return settled(
+        cut,
+        [*kept, "price_text", "_content"],
+        {
+            "_basic": F.regexp_extract(whole, f"{_SECTION}[^{_SECTION_END}]*+", 0),
+            "_behind": F.when(behind != "", behind).otherwise(whole),
+            "_info": M.block_after(whole, M.text_with(INFO_BLOCK_LABEL)),
+        },
     )
 
 
@@ -238,67 +220,25 @@ def ad_page_texts(pages: DataFrame, html: str = "html", details_after_basics: bo
     with ``details_after_basics`` the list is looked for behind that block only.
     """
     kept = [c for c in pages.columns if c != html]
-    rows = _outline(pages, html)
-    texts, kinds, marks = F.col("_texts"), F.col("_kinds"), F.col("_marks")
-    basic, basic_end = F.col("_basic"), F.col("_basic_end")
-    info, info_end = F.col("_info"), F.col("_info_end")
-
-    places = [M.position_of(texts, label, basic, basic_end) for label in BASIC_LABELS.values()]
-    places += [M.position_of(texts, label, info, info_end) for label in INFO_LABELS.values()]
-    places += [
-        M.position_containing(texts, label, info, info_end)
-        for label in OPTIONAL_INFO_LABELS.values()
-    ]
-    names = [*BASIC_LABELS, *INFO_LABELS, *OPTIONAL_INFO_LABELS]
-    after_basics = F.coalesce(basic_end + 1, F.col("_from"))
-    heads = [
-        M.next_block(
-            kinds,
-            M.position_containing(
-                texts,
-                label,
-                after_basics if name == "details" and details_after_basics else F.col("_from"),
-                F.col("_to"),
-            ),
-        )
-        for name, label in FEATURE_LABELS.items()
-    ]
-    rows = settled(
-        rows,
-        [*kept, "_price", "_texts", "_kinds", "_marks", "_to"],
-        {
-            "_openings": F.transform(F.array(*places), lambda p: M.next_block(kinds, p)),
-            "_heads": F.array(*heads),
-        },
-    )
+    parts = _content_parts(pages, html)
 
-    def features(opening: Column) -> Column:
-        inside = F.slice(marks, opening + 1, M.block_end(kinds, opening) - opening - 1)
-        offsets = F.filter(
-            F.transform(inside, lambda m, i: F.when(m == _FEATURE, i + 1)), lambda i: i.isNotNull()
-        )
-        # A feature block inside another counts with its own text as well.
-        return F.transform(
-            offsets, lambda i: X.strip_text(M.block_text(texts, kinds, opening + i))
-        )
+    def text(part: str, label_pattern: str) -> Column:
+        return M.plain_text(M.block_after(F.col(part), label_pattern))
 
-    none = F.array().cast("array<string>")
-    rows = settled(
-        rows,
-        [*kept, "_price", "_to"],
-        {
-            "_values": F.transform("_openings", lambda o: M.block_text(texts, kinds, o)),
-            "_lists": F.transform(
-                "_heads", lambda o: F.coalesce(F.when(o.isNotNull(), features(o)), none)
-            ),
-        },
-    )
-    return rows.select(
+    def features(name: str, label: str) -> Column:
+        part = "_behind" if name == "details" and details_after_basics else "_content"
+        blocks = M.marked_blocks(M.block_after(F.col(part), M.text_with(label)), _FEATURE)
+        found = F.transform(blocks, lambda b: X.strip_text(M.plain_text(b)))
+        return F.coalesce(found, F.array().cast("array<string>"))
+
+    return parts.select(
         *kept,
-        F.col("_price").alias("price_text"),
-        *[F.get("_values", F.lit(i)).alias(f"{n}_text") for i, n in enumerate(names)],
-        *[F.get("_lists", F.lit(i)).alias(n) for i, n in enumerate(FEATURE_LABELS)],
-        F.col("_to").isNotNull().alias("has_content"),
+        "price_text",
+        *[text("_basic", M.exact_text(v)).alias(f"{n}_text") for n, v in BASIC_LABELS.items()],
+        *[text("_info", M.exact_text(v)).alias(f"{n}_text") for n, v in INFO_LABELS.items()],
+        *[text("_info", M.text_with(v)).alias(f"{n}_text") for n, v in OPTIONAL_INFO_LABELS.items()],
+        *[features(n, v).alias(n) for n, v in FEATURE_LABELS.items()],
+        F.col("_content").isNotNull().alias("has_content"),
     )
 
 

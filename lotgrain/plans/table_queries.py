@@ -752,19 +752,13 @@ _UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;',
 )
 def _(t: Tables) -> DataFrame:
     shown = t.pages.select("page_id", M.visible_markup(F.col("html")).alias("html"))
-    cut = shown.withColumn("tokens", M.outline_tokens(F.col("html")))
-    arrays = cut.select(
-        "page_id", "html",
-        M.token_texts(F.col("tokens")).alias("texts"),
-        M.token_kinds(F.col("tokens")).alias("kinds"),
-    )
-    first_block = arrays.withColumn("ad", M.next_block(F.col("kinds"), F.lit(0)))
+    first_block = M.block_after(M.outline(F.col("html")), "^")
     items = F.regexp_extract_all("html", F.lit(r"(?is)<li>(.*?)</li>"), 1)
-    return first_block.select(
+    return shown.select(
         "page_id",
         M.first_element_text(F.col("html"), "title").alias("title"),
         M.first_element_text(F.col("html"), "h1").alias("h1"),
-        F.coalesce(M.block_text(F.col("texts"), F.col("kinds"), F.col("ad")), F.lit("")).alias("ad"),
+        F.coalesce(M.decode_entities(M.plain_text(first_block)), F.lit("")).alias("ad"),
         joined(F.transform(items, M.inner_text), "|").alias("words"),
     )
 
