@@ -112,7 +112,7 @@ def outline(markup: Column, marked: dict[str, str] | None = None) -> Column:
     ``marked`` maps a replacement, made of a spare mark and for ``div`` tags also ``OPEN``, to
     the pattern of the tags that get it.
     """
-    text = F.translate(markup, _MARKS, "")
+    text = F.regexp_replace(markup, f"[{_MARKS}]", "")
     for mark, pattern in (marked or {}).items():
         text = F.regexp_replace(text, pattern, mark)
     text = F.regexp_replace(text, tag_pattern("div"), OPEN)

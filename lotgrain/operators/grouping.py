@@ -54,24 +54,37 @@ def group_counts(listings: DataFrame, keys: Sequence[str], min_count: int = 1) -
     return counted.where(F.col("count") >= max(min_count, 1))
 
 
-def group_summary(listings: DataFrame, keys: Sequence[str], min_count: int = 1) -> DataFrame:
-    """Counts and the year and price ranges per group."""
+def group_summary(
+    listings: DataFrame, keys: Sequence[str], min_count: int = 1, image_by: str | None = None
+) -> DataFrame:
+    """Counts and the year and price ranges per group.
+
+    With ``image_by`` (a unique number, such as the ad number) also ``img_src`` of the member
+    that has the lowest one.
+    """
     keys = check_keys(keys)
-    summed = listings.groupBy(*keys).agg(
+    sums = [
         F.count(F.lit(1)).alias("count"),
         F.count_if(is_valid_member()).alias("valid_count"),
         F.min("year").alias("min_year"),
         F.max("year").alias("max_year"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-    )
-    return summed.where(F.col("count") >= max(min_count, 1))
+    ]
+    if image_by:
+        # Only numbers are aggregated, which keeps the aggregation in hash maps; strings would
+        # make every task sort its rows first.
+        sums.append(F.min(image_by).alias("_first"))
+    summed = listings.groupBy(*keys).agg(*sums).where(F.col("count") >= max(min_count, 1))
+    if not image_by:
+        return summed
+    images = listings.select(F.col(image_by).alias("_first"), "img_src")
+    return summed.join(images, "_first", "left").drop("_first")
 
 
 def group_image(listings: DataFrame, keys: Sequence[str], order: str = "ad_number") -> DataFrame:
-    """Keys and ``img_src`` of the first member by ``order``."""
-    keys = check_keys(keys)
-    return listings.groupBy(*keys).agg(F.min_by("img_src", order).alias("img_src"))
+    """Keys and ``img_src`` of the first member by a unique number."""
+    return group_summary(listings, keys, image_by=order).select(*check_keys(keys), "img_src")
 
 
 def order_groups(groups: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -191,7 +191,7 @@ def _content_parts(pages: DataFrame, html: str) -> DataFrame:
             "price_text": M.inner_text(price),
             # Head, navigation and the like in front of the content are not looked at further.
             "_outline": M.outline(
-                F.regexp_extract("_shown", rf"{_CONTENT_TAG}[\s\S]*$", 0), _AD_PAGE_TAGS
+                F.regexp_extract("_shown", f"(?s){_CONTENT_TAG}.*", 0), _AD_PAGE_TAGS
             ),
         },
     )
@@ -199,7 +199,7 @@ def _content_parts(pages: DataFrame, html: str) -> DataFrame:
     cut = settled(outlined, [*kept, "price_text"], {"_content": content})
     whole = F.col("_content")
     behind = F.regexp_extract(
-        whole, rf"{_SECTION}[^{_SECTION_END}]*+{_SECTION_END}([\s\S]*)$", 1
+        whole, f"(?s){_SECTION}[^{_SECTION_END}]*+{_SECTION_END}(.*)", 1
     )
     return settled(
         cut,
