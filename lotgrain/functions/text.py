@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Unicode white space, no-break spaces included.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + (
+    "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def strip_text(text: Column) -> Column:
-    """Trim all Unicode white space, no-break spaces included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trim white space of every kind."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalize_name(name: Column) -> Column:
@@ -18,7 +23,7 @@ def normalize_name(name: Column) -> Column:
 
 def dotted_int(text: Column) -> Column:
     """Leading number of a text such as ``8.500 EUR``, with thousands dots."""
-    first = F.split(strip_text(text), r"(?U)\s+").getItem(0)
+    first = F.regexp_extract(text, f"^[{WHITE}]*+([^{WHITE}]++)", 1)
     return F.replace(first, F.lit("."), F.lit("")).try_cast("int")
 
 
@@ -29,9 +34,8 @@ def year_number(text: Column) -> Column:
 
 def capacity_number(text: Column, unit: str = "cm3") -> Column:
     """``<int> cm3`` as an int; an absent text is 0, any other shape or unit is null."""
-    words = F.split(strip_text(text), r"(?U)\s+")
-    well_formed = (F.size(words) == 2) & (words.getItem(1) == unit)
-    return F.when(text.isNull(), F.lit(0)).when(well_formed, words.getItem(0).try_cast("int"))
+    number = F.regexp_extract(text, f"^[{WHITE}]*+([^{WHITE}]++)[{WHITE}]++{unit}[{WHITE}]*$", 1)
+    return F.when(text.isNull(), F.lit(0)).otherwise(number.try_cast("int"))
 
 
 def power_number(text: Column) -> Column:

@@ -592,7 +592,7 @@ def _(t: Tables) -> DataFrame:
         .when(number == 2, F.lit("oko 300"))
         .when(number == 1, F.lit(" "))
     )
-    texts = t.lineitem.select(
+    texts = PG.spread(t.lineitem).select(
         "l_orderkey",
         "l_linenumber",
         F.when(F.col("l_returnflag") == "R", F.lit("Po dogovoru"))
@@ -727,7 +727,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     links = M.tag_texts(M.visible_markup(F.col("html")), "a")
-    rows = t.pages.select("page_id", F.posexplode(links).alias("seq", "tag"))
+    rows = PG.spread(t.pages).select("page_id", F.posexplode(links).alias("seq", "tag"))
     return rows.select(
         "page_id", F.col("seq").cast("bigint").alias("seq"), U.url_path(M.attribute(F.col("tag"), "href")).alias("path")
     )
@@ -751,7 +751,7 @@ _UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;',
     """,
 )
 def _(t: Tables) -> DataFrame:
-    shown = t.pages.select("page_id", M.visible_markup(F.col("html")).alias("html"))
+    shown = PG.spread(t.pages).select("page_id", M.visible_markup(F.col("html")).alias("html"))
     first_block = M.block_after(M.outline(F.col("html")), "^")
     items = F.regexp_extract_all("html", F.lit(r"(?is)<li>(.*?)</li>"), 1)
     return shown.select(
@@ -782,7 +782,7 @@ def _(t: Tables) -> DataFrame:
         "o_custkey", F.lit(" do <b>"), last, F.lit("</b> od ukupno "),
         dotted(F.floor("o_totalprice")), F.lit("</small> <small>5</small></div>"),
     )
-    counted = E.page_counter(t.orders.select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
+    counted = E.page_counter(PG.spread(t.orders).select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
     return counted.select("page_id", "from_ad", "to_ad", "raw_total", "total", "is_last")
 
 
@@ -828,7 +828,7 @@ def order_result_pages(t: Tables) -> DataFrame:
         F.lit('<article class="classified"><a class="firstImage" href="/auto-oglasi/5/n"></a></article>'),
         second, F.lit("</body></html>"),
     )
-    return t.orders.select(key.alias("page_id"), F.lit("/search").alias("url"), html.alias("html"))
+    return PG.spread(t.orders).select(key.alias("page_id"), F.lit("/search").alias("url"), html.alias("html"))
 
 
 @query(
@@ -932,7 +932,7 @@ def part_ad_pages(t: Tables) -> DataFrame:
         "Oprema": F.array(kind, F.lit("A&amp;B")),
         "Stanje": F.array().cast("array<string>"),
     }
-    return t.part.select(
+    return PG.spread(t.part).select(
         F.col("p_partkey").alias("page_id"),
         F.concat(F.lit("/auto-oglasi/"), "p_partkey", F.lit("/x")).alias("url"),
         ad_page_html(fields, info, features, dotted(price)).alias("html"),
@@ -986,7 +986,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     # None of the raw pages is an ad page, so each is set aside and none stops the job.
-    _, failed = E.split_quarantine(E.ad_page_listings(t.pages))
+    _, failed = E.split_quarantine(E.ad_page_listings(PG.spread(t.pages)))
     return failed.select("page_id", joined(F.slice("parse_error", 1, 2)).alias("parse_error"))
 
 
@@ -1302,7 +1302,7 @@ def customer_ad_pages(t: Tables) -> DataFrame:
         labels["ad_number"]: key.cast("string"),
     }
     html = ad_page_html(fields, _info_values(), {}, dotted(F.abs(F.floor("c_acctbal"))))
-    return t.customer.select(
+    return PG.spread(t.customer).select(
         key.alias("page_id"), F.concat(F.lit("/auto-oglasi/"), key, F.lit("/x")).alias("url"), html.alias("html")
     )
 

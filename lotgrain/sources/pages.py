@@ -29,6 +29,17 @@ def stream_pages(
     return reader.parquet(path)
 
 
+def spread(rows: DataFrame, bytes_per_task: int = 16 * 1024 * 1024) -> DataFrame:
+    """Deal a small input out to all cores before CPU-heavy text work.
+
+    A file of one row group is read by one task however many cores wait. Inputs that give
+    every core its share by size are left alone, so large tables are never shuffled here.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if size >= tasks * bytes_per_task else rows.repartition(tasks)
+
+
 def page_window(
     start_page: int = 1, max_pages: int | None = None, page_no: str = "page_no"
 ) -> Column:

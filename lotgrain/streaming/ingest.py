@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lotgrain.operators.lifetimes import micros
 from lotgrain.operators.upkeep import KEY, outcome_counts
 from lotgrain.plans import ingest as I
+from lotgrain.sources.pages import spread
 from lotgrain.sources.snapshots import ListingSnapshots
 
 # Fixed value: addresses of ad pages; every other page is a result page.
@@ -51,6 +52,7 @@ class BatchIngest:
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         store = self.store
+        batch = spread(batch)
         found, unread = self.sightings(batch)
         seen = store.keep("sightings", version, found)
         stored = store.read_buckets(store.touched(seen.select(KEY)), before=version)
