@@ -102,6 +102,11 @@ def needs_class(name: str) -> str:
     return rf"""class\s*=\s*(?:{quoted}|{name}(?=[\s>]))"""
 
 
+def needs_whole_class(pattern: str) -> str:
+    """The class attribute is just this."""
+    return rf"""class\s*=\s*(?:"\s*{pattern}\s*"|'\s*{pattern}\s*')"""
+
+
 def needs_id(name: str) -> str:
     return rf"""id\s*=\s*["']?{name}(?=["'\s>])"""
 

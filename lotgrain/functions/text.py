@@ -21,36 +21,46 @@ def normalize_name(name: Column) -> Column:
     return F.initcap(F.regexp_replace(name, "-", " "))
 
 
+def _plain_spaces(text: Column) -> Column:
+    """Every kind of white space as a plain space, which keeps later patterns simple."""
+    return F.translate(text, WHITE, " " * len(WHITE))
+
+
+def whole_number(text: Column, as_type: str = "int") -> Column:
+    """A whole number, or null. Testing first is much cheaper than a cast that fails."""
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast(as_type))
+
+
 def dotted_int(text: Column) -> Column:
     """Leading number of a text such as ``8.500 EUR``, with thousands dots."""
-    first = F.regexp_extract(text, f"^[{WHITE}]*+([^{WHITE}]++)", 1)
-    return F.replace(first, F.lit("."), F.lit("")).try_cast("int")
+    first = F.substring_index(F.trim(_plain_spaces(text)), " ", 1)
+    return whole_number(F.replace(first, F.lit("."), F.lit("")))
 
 
 def year_number(text: Column) -> Column:
     """A year that may be written with a final dot."""
-    return F.replace(strip_text(text), F.lit("."), F.lit("")).try_cast("int")
+    return whole_number(F.replace(strip_text(text), F.lit("."), F.lit("")))
 
 
 def capacity_number(text: Column, unit: str = "cm3") -> Column:
     """``<int> cm3`` as an int; an absent text is 0, any other shape or unit is null."""
-    number = F.regexp_extract(text, f"^[{WHITE}]*+([^{WHITE}]++)[{WHITE}]++{unit}[{WHITE}]*$", 1)
-    return F.when(text.isNull(), F.lit(0)).otherwise(number.try_cast("int"))
+    number = F.regexp_extract(_plain_spaces(text), f"^ *([^ ]+) +{unit} *$", 1)
+    return F.when(text.isNull(), F.lit(0)).otherwise(whole_number(number))
 
 
 def power_number(text: Column) -> Column:
     """The number before the slash of ``110/150 (kW/KS)``."""
-    return strip_text(F.substring_index(text, "/", 1)).try_cast("int")
+    return whole_number(strip_text(F.substring_index(text, "/", 1)))
 
 
 def plain_int(text: Column) -> Column:
-    return strip_text(text).try_cast("int")
+    return whole_number(strip_text(text))
 
 
 def optional_int_is_bad(text: Column) -> Column:
     """True when an optional number is present, not blank, and not a number."""
     stripped = strip_text(text)
-    return F.coalesce((stripped != "") & stripped.try_cast("int").isNull(), F.lit(False))
+    return F.coalesce((stripped != "") & whole_number(stripped).isNull(), F.lit(False))
 
 
 def snake_case(name: Column) -> Column:

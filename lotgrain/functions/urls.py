@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotgrain.functions.text import whole_number
+
 # Fixed value: the path segment that carries the ad number.
 AD_NUMBER_PATTERN = r"/auto-oglasi/(\d+)/"
 
@@ -23,7 +25,7 @@ def url_query(url: Column) -> Column:
 
 
 def ad_number(url: Column, pattern: str = AD_NUMBER_PATTERN) -> Column:
-    return F.regexp_extract(url, pattern, 1).try_cast("bigint")
+    return whole_number(F.regexp_extract(url, pattern, 1), "bigint")
 
 
 def _decoded(part: Column) -> Column:

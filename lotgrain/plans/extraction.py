@@ -57,7 +57,7 @@ PRICE_CLASS = r"priceClassified\s+\S"
 AD_CLASS = r"classified ad-\d+"
 HIDDEN_CLASS = "uk-hidden"
 LINK_CLASS = "firstImage"
-IMAGE_CLASS = "lazy lead"
+IMAGE_CLASS = r"lazy\s+lead"
 COUNTER_ANCHOR_CLASS = "js-hide-on-filter"
 # --- End of fixed values. ---
 
@@ -108,13 +108,13 @@ def page_ads(pages: DataFrame, html: str = "html") -> DataFrame:
     link_body = F.regexp_extract(
         F.expr("substring(_block, locate(_anchor, _block))"), r"(?is)^(.*?)(</a\b|\z)", 1
     )
-    images = F.filter(M.tag_texts(link_body, "img"), lambda t: M.class_text(t) == IMAGE_CLASS)
+    image = F.regexp_extract(link_body, M.tag_pattern("img", M.needs_whole_class(IMAGE_CLASS)), 0)
     rows = settled(
         rows,
         [*kept, "seq", "_anchor"],
         {
             "ad_link": U.url_path(M.attribute(F.col("_anchor"), "href")),
-            "img_link": M.attribute(F.get(images, F.lit(0)), "data-srcset"),
+            "img_link": M.attribute(image, "data-srcset"),
         },
     )
     number = U.ad_number(F.col("ad_link"))
@@ -255,7 +255,7 @@ def typed_listings(texts: DataFrame) -> DataFrame:
         return F.col(f"{name}_text")
 
     columns: dict[str, Column] = {
-        "ad_number": X.strip_text(raw("ad_number")).try_cast("bigint"),
+        "ad_number": X.whole_number(X.strip_text(raw("ad_number")), "bigint"),
         "make": X.normalize_name(raw("make")),
         "model": X.normalize_name(raw("model")),
         "year": X.year_number(raw("year")),

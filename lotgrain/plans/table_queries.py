@@ -562,9 +562,8 @@ def _(t: Tables) -> DataFrame:
 
 
 def dotted(number: Column) -> Column:
-    """A number of up to nine digits written with thousands dots."""
-    grouped = F.regexp_replace(number.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ".")
-    return grouped
+    """A whole number written with thousands dots."""
+    return F.replace(F.format_number(number, 0), F.lit(","), F.lit("."))
 
 
 @query(

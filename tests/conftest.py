@@ -13,7 +13,7 @@ def spark():
     session = build_session(
         "lotgrain-tests",
         master="local[8]",
-        shuffle_partitions=8,
+        shuffle_partitions=4,
         extra={
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
