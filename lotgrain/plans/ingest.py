@@ -16,18 +16,15 @@ from lotgrain.plans.extraction import ad_page_listings, page_ads
 from lotgrain.schema import LISTINGS
 
 
-def page_sightings(result_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sightings of usable ads on result pages, and the blocks that could not be read.
+def page_sightings(result_pages: DataFrame) -> DataFrame:
+    """The ads on result pages as sightings; ``parse_error`` is empty for the usable ones.
 
     ``seq`` orders the ads of a whole run: page number first, place on the page second.
     """
-    ads = page_ads(result_pages)
-    failed = F.size("parse_error") > 0
     seq = F.col("page_no").cast("bigint") * F.lit(1_000_000) + F.col("seq")
-    seen = ads.where(~failed).select(
-        KEY, "ad_link", "img_link", "page_id", seq.alias("seq"), "seen_at"
+    return page_ads(result_pages).select(
+        KEY, "ad_link", "img_link", "page_id", "url", seq.alias("seq"), "seen_at", "parse_error"
     )
-    return seen, ads.where(failed).select("page_id", "url", "parse_error")
 
 
 def ad_page_details(ad_pages: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ from lotgrain.sources.snapshots import ListingSnapshots
 # Fixed value: addresses of ad pages; every other page is a result page.
 AD_PAGE_URL = r"/auto-oglasi/\d+/"
 
-Sightings = Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]
+Sightings = Callable[[DataFrame], DataFrame]
 Details = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def result_page_sightings(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def result_page_sightings(batch: DataFrame) -> DataFrame:
     return I.page_sightings(batch.where(~F.col("url").rlike(AD_PAGE_URL)))
 
 
@@ -52,9 +52,10 @@ class BatchIngest:
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         store = self.store
-        batch = spread(batch)
-        found, unread = self.sightings(batch)
-        seen = store.keep("sightings", version, found)
+        # Pages are parsed once; usable and broken ads are told apart in the written table.
+        found = store.keep("sightings", version, self.sightings(spread(batch)))
+        broken = F.size("parse_error") > 0
+        seen = found.where(~broken)
         stored = store.read_buckets(store.touched(seen.select(KEY)), before=version)
         # Looked at for the pages to parse and again for the changes.
         lives = I.current_lives(seen, stored, store.retention_days * 86400)
@@ -70,7 +71,8 @@ class BatchIngest:
             F.col("first_link").alias("url"),
             "parse_error",
         )
-        store.keep("quarantine", version, failed if unread is None else failed.unionByName(unread))
+        unread = found.where(broken).select("page_id", "url", "parse_error")
+        store.keep("quarantine", version, failed.unionByName(unread))
         store.keep("stats", version, outcome_counts(I.page_outcomes(seen, changes), ["page_id"]))
         as_of = seen.agg(F.max(micros("seen_at")).alias("us")).first().us
         store.commit(version, I.storable(changes), as_of)
