@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotgrain.functions.urls import ad_number
+from lotgrain.operators.joins import MAX_KEY_ROWS, MAX_WIDE_ROWS, broadcast_if_small
 from lotgrain.operators.lifetimes import WEEK_SECONDS, fold_sightings, micros, number_islands
 from lotgrain.operators.upkeep import KEY, latest_per_key
 from lotgrain.plans.extraction import ad_page_listings, page_ads
@@ -33,13 +34,16 @@ def ad_page_details(ad_pages: DataFrame, wanted: DataFrame) -> DataFrame:
     Which page counts (the one with the highest ``page_id``) is settled on numbers alone;
     only those pages are then moved and parsed.
     """
+    keys = wanted.select(F.col(KEY).alias("sighted_number"))
+    keys_are_few = wanted.count() <= MAX_KEY_ROWS
     numbered = ad_pages.select("page_id", ad_number(F.col("url")).alias("sighted_number"))
-    newest = numbered.groupBy("sighted_number").agg(F.max("page_id").alias("page_id"))
-    chosen = newest.join(
-        wanted.select(F.col(KEY).alias("sighted_number")), "sighted_number", "left_semi"
+    numbered = numbered.join(
+        F.broadcast(keys) if keys_are_few else keys, "sighted_number", "left_semi"
     )
-    parsed = ad_page_listings(ad_pages.join(chosen, "page_id"))
-    return parsed.dropDuplicates(["sighted_number"])
+    chosen = numbered.groupBy("sighted_number").agg(F.max("page_id").alias("page_id"))
+    # One page per wanted ad, so the count bounds this side too and pages stay where they are.
+    pages = ad_pages.join(F.broadcast(chosen) if keys_are_few else chosen, "page_id")
+    return ad_page_listings(pages).dropDuplicates(["sighted_number"])
 
 
 def current_lives(
@@ -101,6 +105,7 @@ def changed_rows(lives: DataFrame, stored: DataFrame, details: DataFrame) -> Dat
     columns = LISTINGS.fieldNames()
     common = ["sighted_number", "sightings", "first_page", "first_link", "parse_error", "number_mismatch"]
     known = lives.where(F.col("is_stored") & (F.col("sightings") > 0)).withColumnRenamed(KEY, "_key")
+    known = broadcast_if_small(known, MAX_WIDE_ROWS)
     is_later = F.coalesce(F.col("last.us") >= micros("updatedAt"), F.lit(True))
     set_on_refresh = {
         "ad_link": F.when(is_later, F.col("last.link")).otherwise(F.col("ad_link")),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotgrain.operators.joins import broadcast_if_small
 from lotgrain.operators.upkeep import KEY, not_expired
 from lotgrain.schema import LISTINGS
 
@@ -102,7 +103,8 @@ class ListingSnapshots:
         touched = self.touched(changed.select(self.key))
         if touched:
             rows = changed.select(*self.schema.fieldNames())
-            old = self._load(manifest, touched).join(rows.select(self.key), self.key, "left_anti")
+            keys = broadcast_if_small(rows.select(self.key))
+            old = self._load(manifest, touched).join(keys, self.key, "left_anti")
             merged = old.unionByName(rows)
             if as_of_us is not None:
                 merged = merged.where(

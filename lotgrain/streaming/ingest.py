@@ -34,7 +34,7 @@ def details_in_batch(batch: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def details_from(ad_pages: DataFrame) -> Details:
-    """Ad pages from a table of their own."""
+    """Ad pages from a table of their own; every batch reads its numbers and the pages it needs."""
     return lambda batch, wanted: I.ad_page_details(ad_pages, wanted)
 
 
