@@ -231,7 +231,7 @@ def scan(
     def make():
         tables = [Windows(block, window) for block in blocks]
 
-        def work(texts):
+        def work(texts, _):
             docs_words = [plain_words(t) for t in texts]
             spans, items = [], []
             begin = size = 0

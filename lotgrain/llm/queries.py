@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotgrain.llm import fm_index, licenses
+from lotgrain.llm import fm_index, licenses, windows
+from lotgrain.llm.rows import spaced_words, with_text_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +30,28 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
 
 
+def _kept_digest():
+    def work(texts, part):
+        n_words, n_removed, digests = [], [], []
+        for text, spans in zip(texts, part.column("spans").to_pylist(), strict=True):
+            words = spaced_words(text)
+            n_words.append(len(words))
+            for span in reversed(spans or []):
+                del words[span["start"] : span["end"]]
+            n_removed.append(n_words[-1] - len(words))
+            digests.append(sha256(b" ".join(words)).hexdigest())
+        return [n_words, n_removed, digests]
+
+    return work
+
+
+@query
+def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = windows.with_spans(_table(spark, folder, "documents").select("doc_id", "text"))
+    fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())]
+    return with_text_columns(docs, fields, _kept_digest, keep=["doc_id"], read=["spans"])
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -67,3 +92,23 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
     sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join cover using (r) left join named using (r)
 """
+
+SQL["op6_substrings"] = r"""
+with d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+win as (
+    select r, p, array_to_string(w[p:p + 34], ' ') as s
+    from (select r, w, unnest(generate_series(1, len(w) - 34)) as p from d where len(w) >= 35)
+),
+twice as (select s from win group by s having count(*) > 1),
+gone as (select distinct r, unnest(generate_series(p, p + 34)) as q from win where s in (select s from twice)),
+words as (select r, unnest(w) as word, unnest(generate_series(1, len(w))) as q from d),
+kept as (
+    select r, string_agg(word, ' ' order by q) as t
+    from words anti join gone using (r, q) group by r
+),
+n as (select r, count(*) as n_removed from gone group by r)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r) left join n using (r)
+"""

@@ -53,39 +53,42 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 def with_text_columns(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],
-    make: Callable[[], Callable[[list[bytes | None]], list]],
+    make: Callable[[], Callable[[list[bytes | None], pa.RecordBatch], list]],
     text: str = "text",
     keep: list[str] | None = None,
+    read: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with columns computed from its texts inside the tasks.
 
-    ``make`` runs once per task and gives a function from the texts of a slice to one list or
-    Arrow array per field. ``keep`` names the input columns that stay (all by default); one
+    ``make`` runs once per task and gives a function from the texts of a slice, and the slice
+    itself, to one list or Arrow array per field. It may read the columns in ``read`` beside
+    the kept ones. ``keep`` names the input columns that stay (all by default); one
     that has the name of a new column gives way to it.
     """
     names = {n.lower() for n, _ in fields}
     stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     schema = T.StructType([df.schema[c] for c in stay] + [T.StructField(n, t) for n, t in fields])
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for part, texts in slices(batches, text):
             new = [
                 c if isinstance(c, pa.Array) else pa.array(c, arrow.field(n).type)
-                for (n, _), c in zip(fields, work(texts), strict=True)
+                for (n, _), c in zip(fields, work(texts, part), strict=True)
             ]
             old = [part.column(c).cast(arrow.field(c).type) for c in stay]
             yield pa.RecordBatch.from_arrays(old + new, schema=arrow)
 
-    read = list(dict.fromkeys([*stay, text]))
-    return df.select(*[f"`{c}`" for c in read]).mapInArrow(run, schema)
+    wanted = list(dict.fromkeys([*stay, text, *(read or [])]))
+    return df.select(*[f"`{c}`" for c in wanted]).mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: T.StructType) -> pa.Schema:
+def arrow_schema(fields: str | T.StructType) -> pa.Schema:
+    """The Arrow schema of a DDL string or a Spark schema; made on the driver, used in tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(schema)
+    return to_arrow_schema(T.StructType.fromDDL(fields) if isinstance(fields, str) else fields)
 
 
 def run_lengths(sizes: np.ndarray) -> np.ndarray:
