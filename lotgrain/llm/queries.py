@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm import fm_index, licenses, windows
+from lotgrain.llm import fm_index, licenses, quality, toxicity, windows
 from lotgrain.llm.rows import spaced_words, with_text_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op6_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return with_text_columns(docs, fields, _kept_digest, keep=["doc_id"], read=["spans"])
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_held_out(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -67,6 +72,11 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_held_out(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 # Words of a text as both scans of license phrases and of benchmark items take them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
