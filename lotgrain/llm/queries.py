@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm import fm_index, licenses, quality, toxicity, windows
+from lotgrain.llm import bpe, fm_index, licenses, quality, toxicity, windows
 from lotgrain.llm.rows import spaced_words, with_text_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,18 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public tokenizer's file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(_table(spark, folder, "documents"), bpe.load(vocabulary()), keep=["doc_id"])
+
+
 def _kept_digest():
     def work(texts, part):
         n_words, n_removed, digests = [], [], []
