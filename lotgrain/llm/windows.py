@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
 
 def with_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", spans: str = "spans") -> DataFrame:
     """``docs`` with their removal intervals, null where there are none."""
-    found = repeated_spans(docs, window, text).withColumnRenamed("spans", spans)
+    # Dealt anew, the intervals meet the documents in a join that can split a hot text.
+    found = repeated_spans(docs, window, text).withColumnRenamed("spans", spans).hint("rebalance")
     keyed = _keyed(docs.drop(spans, "k1", "k2"), text)
     return keyed.join(found, ["k1", "k2"], "left").drop("k1", "k2")
 
