@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm import bpe, fm_index, html_text, licenses, quality, toxicity, windows
+from lotgrain.llm import bpe, fm_index, hmm, html_text, licenses, quality, toxicity, windows
 from lotgrain.llm.rows import spaced_words, with_text_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages"), keep=["page_id", "url"])
 
 
+@query
+def op3_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score_held_out(_table(spark, folder, "documents"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file lies on the driver."""
     import public_tokenizers
