@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm import bpe, fm_index, hmm, html_text, licenses, quality, toxicity, windows
+from lotgrain.llm import bpe, fm_index, hmm, html_text, licenses, mtree, quality, toxicity, windows
 from lotgrain.llm.rows import spaced_words, with_text_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_held_out(_table(spark, folder, "documents"))
 
 
+@query
+def op4_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_k(_table(spark, folder, "embeddings"))
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file lies on the driver."""
     import public_tokenizers
@@ -144,3 +149,16 @@ n as (select r, count(*) as n_removed from gone group by r)
 select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (r) left join n using (r)
 """
+
+SQL["op4_mtree_topk"] = """
+with e as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0
+),
+s as (
+    select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score
+    from e q join e c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
