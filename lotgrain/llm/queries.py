@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm import bpe, fm_index, hmm, html_text, licenses, mtree, quality, toxicity, windows
+from lotgrain.llm import bpe, chosen_path, fm_index, hmm, html_text, licenses, mtree, quality, toxicity, windows
 from lotgrain.llm.rows import spaced_words, with_text_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,12 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_held_out(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+@query
+def op8_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return chosen_path.near_duplicates(docs, shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -162,3 +168,28 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
+
+SQL["op8_chosen_path"] = r"""
+with recursive d as (
+    select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+),
+s as (
+    select distinct r, array_to_string(w[p:p + 2], ' ') as g
+    from (select r, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) as p from d where len(w) > 0)
+),
+n as (select r, count(*) as n from s group by r),
+i as (select x.r as a, y.r as b, count(*) as i from s x join s y on x.g = y.g and x.r <> y.r group by all),
+link as (
+    select a, b from i join n na on na.r = a join n nb on nb.r = b where 100 * i >= 85 * (na.n + nb.n - i)
+),
+reach as (
+    select distinct a as r, a as t from link
+    union
+    select reach.r, link.b from reach join link on reach.t = link.a
+),
+c as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.t group by reach.r)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept
+from d left join n using (r) left join c using (r)
+"""
