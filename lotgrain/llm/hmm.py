@@ -263,12 +263,11 @@ def _expected_counts(docs: DataFrame, words: Vocabulary, model: Model) -> np.nda
     return out
 
 
-def _parameters(counts: np.ndarray, base: np.ndarray) -> Model:
-    """The M-step: counts per state, eased towards the plain frequencies of symbols."""
+def _parameters(counts: np.ndarray, base: np.ndarray, added: float) -> Model:
+    """The M-step: counts per state, eased towards the plain frequencies of symbols; none is below ``added``."""
     k = STATES
     start, step, emit = counts[:k] + 0.01, counts[k : k + k * k].reshape(k, k) + 1e-3, counts[k + k * k :].reshape(-1, k)
-    mass = 1e-4 + 1e-3 * emit.sum(axis=0)
-    emit = emit + mass * base[:, None]
+    emit = emit + 1e-3 * emit.sum(axis=0) * base[:, None] + added
     return Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -290,7 +289,7 @@ def train(docs: DataFrame, words: Vocabulary, doc_id: str = "doc_id") -> Model:
             continue
         rate = (i + 1) ** -0.6
         running = counts / size if running is None else (1 - rate) * running + rate * counts / size
-        model = _parameters(running, base)
+        model = _parameters(running, base, ADDED / (words.total + 1) / STATES)
     return model
 
 
