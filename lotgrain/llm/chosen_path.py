@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm.rows import arrow_schema, slices, spaced_words, with_text_columns, written
+from lotgrain.llm.rows import arrow_schema, slices, spaced_words, unused, with_text_columns, written
 from lotgrain.llm.windows import Powers, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -267,5 +267,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     stay = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return stay
-    once = docs.join(twice, same, "left_semi").withColumn("text_print", print_of).dropDuplicates([doc_id, "text_print"]).drop("text_print")
+    own_print = unused(docs, "text_print")
+    once = docs.join(twice, same, "left_semi").withColumn(own_print, F.xxhash64(text)).dropDuplicates([doc_id, own_print]).drop(own_print)
     return stay.unionByName(once)

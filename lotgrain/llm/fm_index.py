@@ -20,6 +20,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -225,13 +226,28 @@ def scan(
     an id are listed once. Repeated rows are scanned each by itself. An empty benchmark hits
     nothing.
     """
-    blocks = _blocks(benchmark, item, item_text, block_items)
+    find = _finder(_blocks(benchmark, item, item_text, block_items), window)
     fields = [("n_words", T.LongType()), ("hit_spans", SPANS), ("hit_items", T.ArrayType(T.StringType()))]
 
     def make():
-        tables = [Windows(block, window) for block in blocks]
+        search = find()
 
         def work(texts, _):
+            sizes, spans, items = search(texts)
+            return [sizes, [[{"start": a, "end": b} for a, b in s] for s in spans], items]
+
+        return work
+
+    return with_text_columns(docs, fields, make, text, keep)
+
+
+def _finder(blocks: list, window: int):
+    """Makes, in a task, the search of a slice: word counts, merged spans and sorted item ids of its texts."""
+
+    def find():
+        tables = [Windows(block, window) for block in blocks]
+
+        def search(texts: list[bytes | None]):
             docs_words = [plain_words(t) for t in texts]
             spans, items = [], []
             begin = size = 0
@@ -245,14 +261,14 @@ def scan(
                         for s, n in found:
                             merged = _merged(merged, s[k])
                             named |= n[k]
-                        spans.append([{"start": a, "end": b} for a, b in merged])
+                        spans.append(merged)
                         items.append(sorted(named))
                     begin, size = i + 1, 0
-            return [[len(w) for w in docs_words], spans, items]
+            return [len(w) for w in docs_words], spans, items
 
-        return work
+        return search
 
-    return with_text_columns(docs, fields, make, text, keep)
+    return find
 
 
 _WORD = re.compile(rb"[^ ]+")
@@ -268,15 +284,19 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """The documents, same columns, with every hit span cut out of the text; others are unchanged."""
-    found = scan(docs, benchmark, window, text).withColumn("_cut", F.col(text))
+def remove_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The documents, same columns and rows, with every hit span cut out of the text; others are unchanged."""
+    find = _finder(_blocks(benchmark, item, item_text, BLOCK_ITEMS), window)
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(
-            spans, lambda t, s: t if t is None or not len(s) else cut_words(t.encode(), [(x["start"], x["end"]) for x in s]).decode()
-        )
+    def make():
+        search = find()
+
+        def work(texts, _):
+            cut = [cut_words(t, s) if s else t for t, s in zip(texts, search(texts)[1], strict=True)]
+            return [pa.array(cut, pa.binary()).cast(pa.string())]
+
+        return work
 
-    cleaned = F.when(F.size("hit_spans") > 0, cut("_cut", "hit_spans")).otherwise(F.col("_cut"))
-    return found.withColumn(text, cleaned).select(*[f"`{c}`" for c in docs.columns])
+    return with_text_columns(docs, [(text, T.StringType())], make, text).select(*[f"`{c}`" for c in docs.columns])

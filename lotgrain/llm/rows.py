@@ -84,6 +84,14 @@ def with_text_columns(
     return df.select(*[f"`{c}`" for c in wanted]).mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if a column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_schema(fields: str | T.StructType) -> pa.Schema:
     """The Arrow schema of a DDL string or a Spark schema; made on the driver, used in tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema

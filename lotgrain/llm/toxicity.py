@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from lotgrain.llm import boosting
 from lotgrain.llm.labelled import SAMPLE_ROWS, remainder, sample
-from lotgrain.llm.rows import arrow_schema, slices, with_text_columns
+from lotgrain.llm.rows import arrow_schema, slices, unused, with_text_columns
 
 # Insults and slurs in plain spelling, by their beginnings.
 INSULTS = frozenset(
@@ -240,8 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, wanted, rows: int = SAMPLE_ROWS) -
     return Model(_lexicon(stems, None, sizes), boosting.fit(x, y), boosting.fit_isotonic(unseen, y))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``toxicity``, 0 to 1; a null text scores as an empty one, repeated rows alike.
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
+    """``docs`` with a column ``out``, 0 to 1; a null text scores as an empty one, repeated rows alike.
 
     Without labels of both kinds every text gets the base rate.
     """
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         words = Words(model.lexicon)
         return lambda texts, _: [model.score(np.array([features(t, words) for t in texts]).reshape(-1, len(NAMES)))]
 
-    return with_text_columns(docs, [("toxicity", T.DoubleType())], make, text, keep)
+    return with_text_columns(docs, [(out, T.DoubleType())], make, text, keep)
 
 
 def score_held_out(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, limit: float = 0.7) -> DataFrame:
@@ -268,4 +268,5 @@ def score_held_out(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_ou
 def reject(docs: DataFrame, labels: DataFrame, limit: float = 0.7, modulus: int = 3, held_out: int = 1) -> DataFrame:
     """The documents, same columns, that score below ``limit``."""
     model = train(docs, labels, remainder("doc_id", modulus) != held_out)
-    return score(docs, model).where(F.col("toxicity") < limit).select(*[f"`{c}`" for c in docs.columns])
+    out = unused(docs, "toxicity")
+    return score(docs, model, out=out).where(F.col(out) < limit).select(*[f"`{c}`" for c in docs.columns])

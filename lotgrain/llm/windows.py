@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm.rows import arrow_schema, run_lengths, slices, spaced_words, with_text_columns
+from lotgrain.llm.rows import arrow_schema, run_lengths, slices, spaced_words, unused, with_text_columns
 
 WINDOW = 35
 FLUSH_WORDS = 1 << 20
@@ -233,8 +233,8 @@ def _covered(size: int, fields: str):
     return run
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), F.col(text))})
+def _keyed(docs: DataFrame, text: str, k1: str = "k1", k2: str = "k2") -> DataFrame:
+    return docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(1), F.col(text))})
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
@@ -255,11 +255,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``docs`` with their removal intervals, null where there are none."""
+    """``docs`` with their removal intervals in a new column ``spans``, null where there are none."""
+    k1, k2 = unused(docs, "k1"), unused(docs, "k2")
     # Dealt anew, the intervals meet the documents in a join that can split a hot text.
-    found = repeated_spans(docs, window, text).withColumnRenamed("spans", spans).hint("rebalance")
-    keyed = _keyed(docs.drop(spans, "k1", "k2"), text)
-    return keyed.join(found, ["k1", "k2"], "left").drop("k1", "k2")
+    found = repeated_spans(docs, window, text).withColumnsRenamed({"spans": spans, "k1": k1, "k2": k2}).hint("rebalance")
+    return _keyed(docs, text, k1, k2).join(found, [k1, k2], "left").drop(k1, k2)
 
 
 _WORD = re.compile(rb"[^ \t-\r]+")
@@ -281,15 +281,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") ->
     What is kept of a text is unchanged, white space included; a text may become empty.
     """
 
+    spans = unused(docs, "removal_spans")
+
     def make():
         def work(texts, part):
-            found = part.column("removal_spans").to_pylist()
-            return [[t if t is None or not s else cut_words(t, s) for t, s in zip(texts, found, strict=True)]]
+            found = part.column(spans).to_pylist()
+            cut = [t if t is None or not s else cut_words(t, s) for t, s in zip(texts, found, strict=True)]
+            return [pa.array(cut, pa.binary()).cast(pa.string())]
 
         return work
 
-    spanned = with_spans(docs, window, text, "removal_spans").withColumn("uncut_text", F.col(text))
-    cut = with_text_columns(
-        spanned, [(text, T.BinaryType())], make, "uncut_text", [c for c in docs.columns if c != text], ["removal_spans"]
-    )
-    return cut.withColumn(text, F.col(text).cast("string")).select(*[f"`{c}`" for c in docs.columns])
+    spanned = with_spans(docs, window, text, spans)
+    cut = with_text_columns(spanned, [(text, T.StringType())], make, text, [c for c in docs.columns if c != text], [spans])
+    return cut.select(*[f"`{c}`" for c in docs.columns])
