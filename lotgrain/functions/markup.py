@@ -17,14 +17,15 @@ BREAK, OPEN, CLOSE = "\u0001", "\u0002", "\u0003"
 # Marks that callers may give to tags of their own choice.
 SPARE = ("\u0004", "\u0005", "\u0006", "\u0007")
 _MARKS = BREAK + OPEN + CLOSE + "".join(SPARE)
-# Blocks may nest this deep; browsers stop at about 500 elements of all kinds.
-MAX_DEPTH = 200
+# Blocks that nest up to this deep are found by one expression; deeper ones are counted out.
+QUICK_DEPTH = 60
 
-_DROPPED = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<![^>]*>"
-)
-# A tag starts with a letter; quoted attribute values may hold '>'.
-_QUOTED_REST = r"""[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*>"""
+# What does not end runs to the end of the page, so every character is read once.
+_DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<![^>]*+(?:>|\z)"
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
+# A tag starts with a letter; quoted attribute values may hold '>'. Loops are possessive: the
+# JVM walks them without recursion, whatever the number of attributes.
+_QUOTED_REST = rf"""[^<>"']*+(?:{_QUOTED}[^<>"']*+)*+>"""
 
 
 def visible_markup(html: Column) -> Column:
@@ -58,8 +59,8 @@ def _entity_map() -> Column:
 
 
 def _numeric_entity(piece: Column) -> Column:
-    decimal = F.conv(F.regexp_extract(piece, r"^&#(\d{1,7});$", 1), 10, 16)
-    hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
+    decimal = F.conv(F.regexp_extract(piece, r"^&#0*+(\d{1,7});$", 1), 10, 16)
+    hexadecimal = F.regexp_extract(piece, r"^&#[xX]0*+([0-9A-Fa-f]{1,6});$", 1)
     digits = F.when(hexadecimal != "", hexadecimal).otherwise(decimal)
     # References to control characters stay as written: outlines use those as marks.
     usable = (F.length(digits) <= 6) & (F.conv(digits, 16, 10).cast("int") >= 32)
@@ -86,14 +87,14 @@ def inner_text(markup: Column) -> Column:
 
 def first_element_text(html: Column, name: str) -> Column:
     """Text of the first element of one name (that holds no other of that name)."""
-    body = F.regexp_extract(html, rf"(?is)<{name}\b{_QUOTED_REST}(.*?)</{name}\s*>", 1)
+    body = F.regexp_extract(html, rf"(?is)<{name}\b{_QUOTED_REST}(.*?)(?:</{name}\s*>|\z)", 1)
     return inner_text(body)
 
 
 def tag_pattern(name: str, *needs: str) -> str:
     """Pattern of an opening tag; ``needs`` are attribute patterns it must have."""
-    quoted = r"""(?:"[^"]*"|'[^']*')"""
-    looks = "".join(rf"""(?=[^<>"']*(?:{quoted}[^<>"']*)*?\s{need})""" for need in needs)
+    # Skips values and other characters up to where the needed attribute begins.
+    looks = "".join(rf"""(?=(?:(?!\s{need})(?:[^<>"']|{_QUOTED}))*+\s{need})""" for need in needs)
     return rf"(?i)<{name}\b{looks}{_QUOTED_REST}"
 
 
@@ -126,10 +127,10 @@ def outline(markup: Column, marked: dict[str, str] | None = None) -> Column:
 
 
 def _balanced() -> str:
-    """Pattern of text in which every opened block is closed again; linear in its input."""
+    """Pattern of text in which every opened block is closed again, up to QUICK_DEPTH; linear in its input."""
     flat = f"[^{OPEN}{CLOSE}]*+"
     pattern = flat
-    for _ in range(MAX_DEPTH):
+    for _ in range(QUICK_DEPTH):
         pattern = f"{flat}(?:{OPEN}{pattern}{CLOSE}{flat})*+"
     return pattern
 
@@ -147,19 +148,38 @@ def text_with(label: str) -> str:
     return rf"\Q{label}\E"
 
 
+def _first_block(opened: Column) -> Column:
+    """The block that an outline starts with, by counting marks; one that stays open ends with the text."""
+    pieces = F.regexp_extract_all(opened, F.lit(f"(?s)[{OPEN}{CLOSE}]|[^{OPEN}{CLOSE}]++"), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece == OPEN, 1).when(piece == CLOSE, -1).otherwise(0)
+        after = F.struct(depth.alias("depth"), (s["size"] + F.length(piece)).alias("size"), (depth == 0).alias("done"))
+        return F.when(s["done"], s).otherwise(after)
+
+    return F.substring(opened, F.lit(1), F.aggregate(pieces, start, step, lambda s: s["size"]))
+
+
 def block_after(outlined: Column, text: str) -> Column:
     """Outline of the next ``div`` after the first match of a pattern, its own marks included.
 
-    Null when there is no match, no such block, or the block is never closed.
+    A block that is never closed ends with the text. Null when there is no match or no block.
     """
-    return F.nullif(
-        F.regexp_extract(outlined, f"{text}[^{OPEN}]*+({OPEN}{BALANCED}{CLOSE})", 1), F.lit("")
-    )
+    quick = F.regexp_extract(outlined, f"{text}[^{OPEN}]*+({OPEN}{BALANCED}{CLOSE})", 1)
+    opened = F.regexp_extract(outlined, f"(?s){text}[^{OPEN}]*+({OPEN}.*+)", 1)
+    # The second form is evaluated for blocks that are deep, not closed, or not there.
+    return F.coalesce(F.nullif(quick, F.lit("")), F.when(opened != "", _first_block(opened)))
 
 
 def marked_blocks(outlined: Column, mark: str) -> Column:
-    """Outlines of all blocks with a spare mark, nested ones too."""
-    return F.regexp_extract_all(outlined, F.lit(f"{mark}(?=({OPEN}{BALANCED}{CLOSE}))"), 1)
+    """Outlines of all blocks with a spare mark, nested ones too; open ones end with the text."""
+    quick = F.regexp_extract_all(outlined, F.lit(f"{mark}(?=({OPEN}{BALANCED}{CLOSE}))"), 1)
+    parts = F.split(outlined, mark)
+    behind = F.sequence(F.lit(2), F.size(parts))
+    each = F.transform(behind, lambda i: _first_block(F.array_join(F.slice(parts, i, F.size(parts)), mark)))
+    whole = F.when(F.size(parts) > 1, F.filter(each, lambda b: b.startswith(OPEN))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(quick) == F.size(parts) - 1, quick).otherwise(whole)
 
 
 def plain_text(outlined: Column) -> Column:

@@ -53,7 +53,7 @@ INFO_BLOCK_LABEL = "Dodatne informacije"
 CONTENT_NAME = "classified-content"
 BASIC_SECTION_CLASS = "js_fixedContetLoad"
 FEATURE_CLASS = "uk-width-medium-1-4"
-PRICE_CLASS = r"priceClassified\s+\S"
+PRICE_ATTRIBUTE = r"""class\s*=\s*["'][^"'<>]*priceClassified\s+[^\s"'][^"'<>]*["']"""
 AD_CLASS = r"classified ad-\d+"
 HIDDEN_CLASS = "uk-hidden"
 LINK_CLASS = "firstImage"
@@ -94,11 +94,11 @@ def page_ads(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = [c for c in pages.columns if c != html]
     blocks = F.regexp_extract_all(
         M.visible_markup(F.col(html)),
-        F.lit(r"(?is)<article\b[^>]*>.*?(?=<article\b|</article\b|\z)"),
+        F.lit(rf"(?is){M.tag_pattern('article')}.*?(?=<article\b|</article\b|\z)"),
         0,
     )
     rows = pages.select(*kept, F.posexplode(blocks).alias("seq", "_block"))
-    classes = M.class_text(F.regexp_extract(F.col("_block"), r"(?is)^<article\b[^>]*>", 0))
+    classes = M.class_text(F.regexp_extract(F.col("_block"), f"^{M.tag_pattern('article')}", 0))
     rows = settled(rows, [*kept, "seq", "_block"], {"_class": classes}).where(
         F.col("_class").rlike(AD_CLASS) & ~F.contains("_class", F.lit(HIDDEN_CLASS))
     )
@@ -161,8 +161,8 @@ def page_counter(pages: DataFrame, html: str = "html") -> DataFrame:
     shown = M.visible_markup(F.col(html))
     text = F.regexp_extract(
         shown,
-        rf"""(?is)<[a-z][^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{COUNTER_ANCHOR_CLASS}(?:\s[^"']*)?["']"""
-        r"""[^>]*>.*?<small\b[^>]*>(.*?)</small\s*>""",
+        rf"(?is){M.tag_pattern('[a-z][a-z0-9]*+', M.needs_class(COUNTER_ANCHOR_CLASS))}"
+        rf".*?(?:{M.tag_pattern('small')}(.*?)(?:</small\s*>|\z)|\z)",
         1,
     )
     kept = [c for c in pages.columns if c != html]
@@ -181,7 +181,7 @@ def _content_parts(pages: DataFrame, html: str) -> DataFrame:
     shown = settled(pages, kept, {"_shown": M.visible_markup(F.col(html))})
     price = F.regexp_extract(
         F.col("_shown"),
-        rf"""(?is)<span\b[^>]*\bclass\s*=\s*["'][^"']*{PRICE_CLASS}[^"']*["'][^>]*>(.*?)</span""",
+        rf"(?is){M.tag_pattern('span', PRICE_ATTRIBUTE)}(.*?)(?:</span|\z)",
         1,
     )
     outlined = settled(

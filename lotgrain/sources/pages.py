@@ -56,5 +56,7 @@ def until_last_page(
     A run without such a page is kept whole.
     """
     last = counted.groupBy(run).agg(F.min(F.when(F.col(is_last), F.col(page_no))).alias("_last"))
+    last = last.withColumnRenamed(run, "_run")
     within = F.col("_last").isNull() | (F.col(page_no) <= F.col("_last"))
-    return counted.join(last, run).where(within).drop("_last")
+    # Pages without a run are a run of their own.
+    return counted.join(last, F.col(run).eqNullSafe(F.col("_run"))).where(within).drop("_last", "_run")

@@ -70,8 +70,9 @@ def test_errors_are_data(parsed):
     for i, (_, expected) in enumerate(VARIANTS):
         if expected is not None:
             assert parsed[i].parse_error == expected, i
-    # A content block that never closes is set aside as a whole.
-    assert parsed[10].parse_error[0] == "content" and parsed[99].parse_error[0] == "content"
+    # A content block that never closes ends with the page.
+    assert parsed[10].parse_error == [] and parsed[10].details == ["Garažiran"]
+    assert parsed[99].parse_error[0] == "content"
 
 
 def test_optional_fields(parsed):
@@ -109,11 +110,11 @@ def test_result_page(spark):
 
 
 def test_page_window(spark):
-    rows = [("a", n, n == 3) for n in range(1, 6)] + [("b", n, None) for n in range(1, 4)]
+    rows = [("a", n, n == 3) for n in range(1, 6)] + [("b", n, None) for n in range(1, 4)] + [(None, n, n == 2) for n in (2, 3)]
     pages = spark.createDataFrame(rows, "run_id string, page_no int, is_last boolean")
     kept = PG.until_last_page(pages.where(PG.page_window(2)))
-    assert sorted((r.run_id, r.page_no) for r in kept.collect()) == [("a", 2), ("a", 3), ("b", 2), ("b", 3)]
-    assert pages.where(PG.page_window(2, 1)).count() == 2
+    assert sorted((str(r.run_id), r.page_no) for r in kept.collect()) == [("None", 2), ("a", 2), ("a", 3), ("b", 2), ("b", 3)]
+    assert pages.where(PG.page_window(2, 1)).count() == 3
 
 
 def test_one_pass_over_the_pages(spark):
@@ -121,3 +122,37 @@ def test_one_pass_over_the_pages(spark):
     good, _ = E.split_quarantine(E.ad_page_listings(pages))
     plan = good._jdf.queryExecution().optimizedPlan().toString()
     assert "Exchange" not in plan and plan.count("<script") == 1
+
+
+def test_hostile_pages_are_read_or_set_aside(spark):
+    many = " ".join(f'a{i}="v{i}"' for i in range(100_000))
+    huge = "x " * 2_000_000
+    pages = {
+        0: f"<article class='classified ad-1'><a {many} class='firstImage' href='/auto-oglasi/5/x'></a></article>",
+        1: f"<article class='classified ad-1'><a title='{huge}' class='firstImage' href='/auto-oglasi/6/x'></a></article>",
+        2: "<!--" * 40_000,
+        3: "<article " * 40_000,
+        4: "<script>" * 40_000 + "<!" * 40_000,
+        5: "<article class='classified ad-1'><a class='firstImage' " + "<a " * 40_000,
+    }
+    rows = spark.createDataFrame([(i, "u", h) for i, h in pages.items()], "page_id long, url string, html string")
+    found = {r.page_id: r.ad_number for r in E.page_ads(rows).where("ad_number is not null").collect()}
+    assert found == {0: 5, 1: 6}
+    assert E.page_counter(rows).count() == len(pages)
+    bad = E.ad_page_listings(rows).collect()
+    assert all(r.parse_error[0] == "content" for r in bad)
+
+
+def test_blocks_of_any_depth_and_open_ones(spark):
+    deep = "<div>" * 5_000 + "Prednji" + "</div>" * 5_000
+    open_feature = "<div class='uk-width-medium-1-4'>Deep" + "<div>" * 300 + "er" + "</div>" * 300
+    rows = [
+        (0, "/", ad_page(info={"Pogon": deep})),
+        (1, "/", ad_page(features={"Stanje": ["<div>" * 300 + "Garažiran" + "</div>" * 300, "Nov"]})),
+        (2, "/", ad_page(tail="<h2>Oprema</h2><div>" + open_feature)),
+    ]
+    got = {r.page_id: r for r in E.ad_page_listings(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].parse_error for i in range(3)] == [[], [], []]
+    assert got[0].drive == "Prednji"
+    assert got[1].details == ["Garažiran", "Nov"]
+    assert got[2].options == ["Deeper"]
