@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,12 +42,15 @@ def build_session(
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for state and stream checkpoints.
+    """A fresh folder for state, stream checkpoints and tables between steps.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``, which every
-    executor can reach. Only where that is unset (tests, a laptop) a temporary one is made.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``, which every executor
+    can reach. Where that is unset, a session whose executors are this very process gets a
+    temporary folder; any other is refused, as its executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    if base:
+        return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.mkdtemp(prefix=f'{name}-')}/table"
