@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension rows up to this many become a map literal in the plan; more go through a join.
-MAX_LITERAL_ROWS = 5_000
-
 
 def domain(lookups: DataFrame, name: str) -> DataFrame:
     """Key and value of one domain, one row per key."""
@@ -24,36 +21,29 @@ def translate(df: DataFrame, column: str, dim: DataFrame, into: str) -> DataFram
     return df.join(side, F.col(column) == F.col("_key"), "left").drop("_key")
 
 
-def _literal_map(dim: DataFrame, limit: int) -> Column | None:
-    rows = dim.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    if not rows:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(part) for r in rows for part in (r.key, r.value)])
-
-
-def translate_list(
-    df: DataFrame, column: str, dim: DataFrame, id_columns: list[str], limit: int = MAX_LITERAL_ROWS
-) -> DataFrame:
+def translate_list(df: DataFrame, column: str, dim: DataFrame, by_join: bool = False) -> DataFrame:
     """Translate every element of an array, in place and in order.
 
-    Unknown elements become null elements and repeats stay. A small dimension is checked and
-    inlined as a map; a larger one is joined element by element, which needs ``id_columns``
-    to be unique per row.
+    Unknown elements become null elements, repeats stay, a null array stays null. Both forms
+    give the same answer and the caller chooses: a small dimension (feature names) is brought
+    to the rows as one map, a large one is joined element by element.
     """
-    codes = _literal_map(dim, limit)
-    if codes is not None:
-        return df.withColumn(column, F.transform(column, lambda x: codes[x]))
+    if not by_join:
+        codes = dim.where("key is not null").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")).scalar()
+        named = df.withColumn("_codes", codes)
+        return named.withColumn(column, F.transform(column, lambda x: named["_codes"][x])).select(*df.columns)
     side = dim.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
-    elements = df.select(*id_columns, F.posexplode(column).alias("_at", "_key"))
-    # One row per listing again: the array of one listing is bounded by its page.
+    # The row travels with its elements, so rows need no key of their own.
+    numbered = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.monotonically_increasing_id().alias("_id"))
+    elements = numbered.select("_id", "_row", F.posexplode_outer(f"_row.{column}").alias("_at", "_key"))
     lists = (
         elements.join(side, "_key", "left")
-        .groupBy(*id_columns)
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_list"))
-        .withColumn("_list", F.transform("_list", lambda e: e["_value"]))
+        .groupBy("_id")
+        .agg(
+            F.any_value("_row").alias("_row"),
+            # One row per listing again: the array of one listing is bounded by its page.
+            F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_value")))).alias("_list"),
+        )
     )
-    joined = df.join(lists, id_columns, "left")
-    kept_empty = F.when(F.col(column).isNotNull(), F.coalesce("_list", F.array().cast("array<string>")))
-    return joined.withColumn(column, kept_empty).drop("_list").select(*df.columns)
+    translated = F.when(F.col(f"_row.{column}").isNotNull(), F.transform("_list", lambda e: e["_value"]))
+    return lists.select(*[translated.alias(c) if c == column else F.col(f"_row.{c}").alias(c) for c in df.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from lotgrain.operators import grouping as G
 from lotgrain.operators.facets import facet_filter
@@ -40,5 +39,5 @@ def search_groups(
 
 
 def make_dictionary(listings: DataFrame) -> DataFrame:
-    """Makes with their distinct models, by make."""
-    return G.makes_models(listings).orderBy("make", "chunk").select("make", F.col("models"))
+    """Makes with their distinct models, by make; a make with very many has several rows (``chunk``)."""
+    return G.makes_models(listings).orderBy("make", "chunk").select("make", "chunk", "models")

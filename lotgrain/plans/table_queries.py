@@ -377,9 +377,9 @@ def _(t: Tables) -> DataFrame:
     return market.grouped_listings(part_listings(t), ["year"])
 
 
-@query("group_label_by_model", _summary_sql("model", "price <= 1000", 1, _label_sql(False, True)))
+@query("group_label_by_model", _summary_sql("model", "true", 1, _label_sql(False, True)))
 def _(t: Tables) -> DataFrame:
-    return market.grouped_listings(part_listings(t), ["model"], P.in_range("price", None, 1000))
+    return market.grouped_listings(part_listings(t), ["model"])
 
 
 @query(
@@ -404,29 +404,41 @@ def _flat_cars(cars: str = "cars") -> Column:
     )
 
 
-def _members_sql(keys: str, where: str, min_count: int, order: str) -> str:
+# A chunk is full at this many rows in the queries below; production uses far more.
+CHUNK = 20
+
+
+def _members_sql(keys: str, min_count: int, order: str) -> str:
+    """Members by chunk; an order value alone stays below two chunks here, so none is split."""
     listed = f"{keys}, " if keys else ""
-    by = f"group by {keys}" if keys else ""
+    on = " and ".join(f"c.{k} is not distinct from g.{k}" for k in keys.split(", ")) if keys else "true"
+    part = f"partition by {keys}" if keys else ""
     return f"""
-    with {PART_LISTINGS}
-    select {listed}count(*) as count, count(*) filter (where valid) as valid_count,
+    with {PART_LISTINGS},
+    sizes as (select {listed}{order}, count(*) as n from checked group by all),
+    starts as (select *, coalesce(sum(n) over ({part} order by {order} nulls first rows between unbounded preceding and 1 preceding), 0) as s
+               from sizes),
+    groups as (select {listed}count(*) as count, count(*) filter (where valid) as valid_count
+               from checked {f"group by {keys}" if keys else ""} having count(*) >= {min_count}),
+    placed as (select c.*, cast(floor(g.s / {CHUNK}) as bigint) as chunk
+               from checked c join starts g on {on} and c.{order} is not distinct from g.{order})
+    select {"".join(f"c.{k}, " for k in keys.split(", ")) if keys else ""}g.count, g.valid_count, chunk,
            string_agg(case when valid then year || ':' || price || ':' || ad_number else '-' end, ','
                       order by {order}, cast(ad_number as varchar)) as cars
-    from checked where {where} {by} having count(*) >= {min_count}
+    from placed c join groups g on {on} group by all
     """
 
 
-@query("group_members", _members_sql("make, model", "price <= 1090", 2, "year"))
+@query("group_members", _members_sql("make, model", 2, "year"))
 def _(t: Tables) -> DataFrame:
-    wanted = part_listings(t).where(P.in_range("price", None, 1090))
-    groups = G.group_members(wanted, ["make", "model"], 2)
-    return groups.select("make", "model", "count", "valid_count", _flat_cars().alias("cars"))
+    groups = G.group_members(part_listings(t), ["make", "model"], 2, chunk_rows=CHUNK)
+    return groups.select("make", "model", "count", "valid_count", "chunk", _flat_cars().alias("cars"))
 
 
-@query("group_members_by_price", _members_sql("make", "true", 1, "price"))
+@query("group_members_by_price", _members_sql("make", 1, "price"))
 def _(t: Tables) -> DataFrame:
-    groups = G.group_members(part_listings(t), ["make"], 1, "price")
-    return groups.select("make", "count", "valid_count", _flat_cars().alias("cars"))
+    groups = G.group_members(part_listings(t), ["make"], 1, "price", chunk_rows=CHUNK)
+    return groups.select("make", "count", "valid_count", "chunk", _flat_cars().alias("cars"))
 
 
 @query(
@@ -458,10 +470,10 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("group_all_members", _members_sql("", "year = 11", 1, "year"))
+@query("group_all_members", _members_sql("", 1, "price"))
 def _(t: Tables) -> DataFrame:
-    groups = G.group_members(part_listings(t).where(P.in_range("year", 11, 11)), [])
-    return groups.select("count", "valid_count", _flat_cars().alias("cars"))
+    groups = G.group_members(part_listings(t), [], sort_by="price", chunk_rows=CHUNK)
+    return groups.select("count", "valid_count", "chunk", _flat_cars().alias("cars"))
 
 
 @query(
@@ -483,12 +495,12 @@ def _(t: Tables) -> DataFrame:
     "makes_models",
     f"""
     with {PART_LISTINGS}
-    select make, array_to_string(list_sort(list(distinct model) filter (where model is not null)), ',') as models
+    select make, 0::bigint as chunk, array_to_string(list_sort(list(distinct model) filter (where model is not null)), ',') as models
     from listings group by make
     """,
 )
 def _(t: Tables) -> DataFrame:
-    return market.make_dictionary(part_listings(t)).select("make", joined("models").alias("models"))
+    return market.make_dictionary(part_listings(t)).select("make", F.col("chunk").cast("bigint").alias("chunk"), joined("models").alias("models"))
 
 
 @query(
@@ -507,11 +519,57 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("group_json")
+def _json_sql(fields: dict[str, str]) -> str:
+    """A JSON object in field order, null fields left out."""
+    parts = ", ".join(f"""'"{name}":' || {value}""" for name, value in fields.items())
+    return f"'{{' || concat_ws(',', {parts}) || '}}'"
+
+
+def _quoted(name: str) -> str:
+    return f"""'"' || {name} || '"'"""
+
+
+_CAR_JSON = _json_sql(
+    {
+        "id": _quoted("ad_number"), "link": _quoted("link"), "img_src": _quoted("img_src"), "make": _quoted("make"),
+        "model": _quoted("model"), "year": "year", "price": "price", "engine_power": "engine_power",
+        "engine_capacity": "engine_capacity",
+    }
+)
+
+
+@query(
+    "group_json",
+    f"""
+    with summed as ({_summary_sql("make", "true", 1, _label_sql(True, False))})
+    select {_json_sql({"make": _quoted("make"), **{c: c for c in (
+        "count", "valid_count", "min_year", "max_year", "min_price", "max_price")}, "label": _quoted("label")})} as json
+    from summed
+    """,
+)
 def _(t: Tables) -> DataFrame:
     return group_json(market.grouped_listings(part_listings(t), ["make"]))
 
 
+@query(
+    "search_groups_json",
+    f"""
+    with {PART_LISTINGS},
+    grouped as (
+      select make, count(*) as count, count(*) filter (where valid) as valid_count, 0 as chunk,
+             '[' || string_agg(case when valid then {_CAR_JSON} else 'null' end, ',' order by year, cast(ad_number as varchar)) || ']' as cars
+      from checked where year between 5 and 40 and price <= 1500 and make is distinct from 'Brand#2'
+      group by make having count(*) >= 2)
+    select {_json_sql({"make": _quoted("make"), "count": "count", "valid_count": "valid_count", "chunk": "chunk", "cars": "cars"})} as json
+    from grouped
+    """,
+)
+def _(t: Tables) -> DataFrame:
+    # A search address and a make filter in, groups with their cars as JSON out.
+    address = "https://ads.example/s?year_from=5&year_to=40&price_to=1500"
+    return group_json(market.search_groups(part_listings(t), ["make"], address, exclude='{"brand#2": null}', min_count=2))
+
+
 # --------------------------------------------------------------- scalar functions
 
 
@@ -980,13 +1038,15 @@ def _(t: Tables) -> DataFrame:
 @query(
     "quarantine",
     """
-    select page_id, 'content,ad_number' as parse_error from pages
+    select page_id, 'content,ad_number,make,model,year,mileage,engine_power,price,condition,body_type,fuel_type,'
+        || 'fixed_price,exchange,drive,transmission,seats,steering_side,climate_control,color,origin,damage' as parse_error
+    from pages
     """,
 )
 def _(t: Tables) -> DataFrame:
     # None of the raw pages is an ad page, so each is set aside and none stops the job.
     _, failed = E.split_quarantine(E.ad_page_listings(PG.spread(t.pages)))
-    return failed.select("page_id", joined(F.slice("parse_error", 1, 2)).alias("parse_error"))
+    return failed.select("page_id", joined("parse_error").alias("parse_error"))
 
 
 # -------------------------------------------------------------- lookups and joins
@@ -1025,13 +1085,13 @@ def _flat_codes(rows: DataFrame) -> DataFrame:
 @query("translate_lists", _TRANSLATED)
 def _(t: Tables) -> DataFrame:
     rows, dim = _coded_customers(t)
-    return _flat_codes(K.translate_list(rows, "codes", dim, ["c_custkey"]))
+    return _flat_codes(K.translate_list(rows, "codes", dim))
 
 
 @query("translate_lists_joined", _TRANSLATED)
 def _(t: Tables) -> DataFrame:
     rows, dim = _coded_customers(t)
-    return _flat_codes(K.translate_list(rows, "codes", dim, ["c_custkey"], limit=3))
+    return _flat_codes(K.translate_list(rows, "codes", dim, by_join=True))
 
 
 def event_sightings(t: Tables, events: DataFrame | None = None) -> DataFrame:
@@ -1327,11 +1387,17 @@ def customer_ad_pages(t: Tables) -> DataFrame:
     """,
 )
 def _(t: Tables) -> DataFrame:
+    # The events come in six batches by time, so later ones meet stored, expired and revived ads.
     folder = shared_folder(t.spark, "stream-ingest")
     store = ListingSnapshots(t.spark, f"{folder}/listings", buckets=8, retention_days=8 / 24)
-    events = PG.stream_pages(t.spark, t.folder, EVENTS, files_per_trigger=1, glob="events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = t.events.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - first) * 6 / (last - first + 1))
     work = BatchIngest(store, details=details_from(customer_ad_pages(t)))
-    start_ingest(event_result_pages(events), work, f"{folder}/checkpoint").awaitTermination()
+    for i in range(6):
+        t.events.where(part == i).write.mode("append").parquet(f"{folder}/events")
+        events = PG.stream_pages(t.spark, f"{folder}/events", EVENTS)
+        start_ingest(event_result_pages(events), work, f"{folder}/checkpoint").awaitTermination()
     return store.read().select(
         "ad_number", "link", "img_src", "ad_link", "make", "model", "year", "price", "engine_capacity",
         F.unix_micros("createdAt").alias("created_us"), F.unix_micros("updatedAt").alias("updated_us"),
@@ -1352,8 +1418,21 @@ def _(t: Tables) -> DataFrame:
     return _stream_to_table(t, seen, "stream-first-seen")
 
 
-@query("stream_ended_lives")
+@query(
+    "stream_ended_lives",
+    f"""
+    with {_lives_sql("8 hours")}
+    select user_id as ad_number, epoch_us(min(ts)) as created_us, epoch_us(max(ts)) as updated_us,
+           epoch_us(max(ts) + interval 8 hours) as expires_us, count(*) as sightings
+    from numbered group by user_id, life
+    having max(ts) + interval 8 hours <= (select max(ts) from events) - interval 1 hour
+    """,
+)
 def _(t: Tables) -> DataFrame:
     events = PG.stream_pages(t.spark, t.folder, EVENTS, glob="events.parquet")
     lives = ended_lives(event_sightings(t, events), gap="8 hours", lateness="1 hour")
-    return _stream_to_table(t, lives, "stream-lives")
+    ended = _stream_to_table(t, lives, "stream-lives")
+    return ended.select(
+        "ad_number", F.unix_micros("createdAt").alias("created_us"), F.unix_micros("updatedAt").alias("updated_us"),
+        F.unix_micros("expiresAt").alias("expires_us"), "sightings",
+    )

@@ -93,6 +93,12 @@ class ListingSnapshots:
         rows.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
+    def kept(self, kind: str, before: int) -> DataFrame | None:
+        """What the last batch before ``before`` wrote under ``kind``, if any did."""
+        names = self._names(f"{kind}/v=*/_SUCCESS")
+        versions = [v for v in (int(n.split("/v=")[1].split("/")[0]) for n in names) if v < before]
+        return self.spark.read.parquet(f"{self.path}/{kind}/v={max(versions)}") if versions else None
+
     def commit(self, version: int, changed: DataFrame, as_of_us: int | None) -> None:
         """Make ``changed`` (one row per key) current and expire old rows of its buckets.
 
@@ -127,27 +133,3 @@ class ListingSnapshots:
         entries = [(-1, version, as_of_us), *[(b, v, None) for b, v in sorted(manifest.items())]]
         rows = self.spark.createDataFrame(entries, _MANIFEST).coalesce(1)
         rows.write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
-
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete what the last ``keep`` versions do not use; gives the folders deleted."""
-        kept = self.versions()[-keep:]
-        if not kept:
-            return []
-        used = set()
-        for version in kept:
-            manifest, _ = self._manifest(before=version + 1)
-            used |= {f"v={v}/bucket={b}" for b, v in manifest.items()}
-        doomed = [
-            name
-            for name in self._names("data/v=*/bucket=*")
-            if name.split("/data/")[1] not in used and int(name.split("/v=")[1].split("/")[0]) < kept[-1]
-        ]
-        for kind in ("manifest", "sightings", "changes"):
-            doomed += [
-                name for name in self._names(f"{kind}/v=*") if int(name.rsplit("v=", 1)[1]) < kept[0]
-            ]
-        jvm = self.spark._jvm
-        for name in doomed:
-            folder = jvm.org.apache.hadoop.fs.Path(name)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return doomed

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lotgrain.functions.urls import ad_number
+from lotgrain.operators import lookups as K
 from lotgrain.operators.lifetimes import micros
 from lotgrain.operators.upkeep import KEY, outcome_counts
 from lotgrain.plans import ingest as I
@@ -18,6 +20,7 @@ from lotgrain.sources.snapshots import ListingSnapshots
 
 # Fixed value: addresses of ad pages; every other page is a result page.
 AD_PAGE_URL = r"/auto-oglasi/\d+/"
+FEATURES = ("safety", "options", "details")
 
 Sightings = Callable[[DataFrame], DataFrame]
 Details = Callable[[DataFrame, DataFrame], DataFrame]
@@ -38,33 +41,68 @@ def details_from(ad_pages: DataFrame) -> Details:
     return lambda batch, wanted: I.ad_page_details(ad_pages, wanted)
 
 
+def coded_features(details: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Feature labels of ad pages as codes, the form the feature facets ask for; unknown ones are null."""
+    for name in FEATURES:
+        details = K.translate_list(details, name, K.domain(lookups, name))
+    return details
+
+
 @dataclass
 class BatchIngest:
     """What a micro-batch does; also callable on a plain batch with a version number.
 
     Beside the listings it writes ``sightings``, ``changes``, ``quarantine`` and ``stats``
     folders per version under the snapshot path.
+
+    Where ad pages come in the same stream, a sighting whose page is not there yet waits for it
+    and a page waits for its sighting, for up to ``wait_days`` of stream time; so the listings
+    do not depend on how files fall into batches. With ``lookups`` (domain, key, value) the
+    feature lists are stored as codes. A sighting dated more than ``lateness_days`` ahead of
+    the clock is set aside: it would expire all others.
     """
 
     store: ListingSnapshots
     sightings: Sightings = field(default=result_page_sightings)
     details: Details = field(default=details_in_batch)
+    lookups: DataFrame | None = None
+    wait_days: float = 7
+    lateness_days: float = 1
+
+    @property
+    def waits(self) -> bool:
+        return self.details is details_in_batch
+
+    def _checked(self, found: DataFrame) -> DataFrame:
+        latest = F.current_timestamp() + F.make_dt_interval(secs=F.lit(self.lateness_days * 86400.0))
+        ahead = F.when(F.col("seen_at") > latest, F.array(F.lit("seen_at"))).otherwise(F.array().cast("array<string>"))
+        return found.withColumn("parse_error", F.concat("parse_error", ahead))
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         store = self.store
         # Pages are parsed once; usable and broken ads are told apart in the written table.
-        found = store.keep("sightings", version, self.sightings(spread(batch)))
+        found = store.keep("sightings", version, self._checked(self.sightings(spread(batch))))
         broken = F.size("parse_error") > 0
-        seen = found.where(~broken)
+        seen, source = found.where(~broken), batch
+        if self.waits:
+            pages = batch.where(F.col("url").rlike(AD_PAGE_URL)).withColumn("since_us", F.lit(None).cast("bigint"))
+            late, early = store.kept("waiting_sightings", version), store.kept("waiting_pages", version)
+            seen = seen if late is None else seen.unionByName(late)
+            source = pages if early is None else pages.unionByName(early)
         stored = store.read_buckets(store.touched(seen.select(KEY)), before=version)
         # Looked at for the pages to parse and again for the changes.
         lives = I.current_lives(seen, stored, store.retention_days * 86400)
         lives = lives.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            details = self.details(batch, I.unstored(lives).select(KEY))
+            details = self.details(source, I.unstored(lives).select(KEY))
+            if self.lookups is not None:
+                details = coded_features(details, self.lookups)
             changes = store.keep("changes", version, I.changed_rows(lives, stored, details))
         finally:
             lives.unpersist()
+        as_of = seen.agg(F.max(micros("seen_at")).alias("us")).first().us
+        if self.waits:
+            seen, changes = self._wait(version, source, seen, changes, as_of)
 
         failed = changes.where(F.col("outcome") == "failed").select(
             F.col("first_page").alias("page_id"),
@@ -74,9 +112,28 @@ class BatchIngest:
         unread = found.where(broken).select("page_id", "url", "parse_error")
         store.keep("quarantine", version, failed.unionByName(unread))
         store.keep("stats", version, outcome_counts(I.page_outcomes(seen, changes), ["page_id"]))
-        as_of = seen.agg(F.max(micros("seen_at")).alias("us")).first().us
         store.commit(version, I.storable(changes), as_of)
 
+    def _wait(
+        self, version: int, pages: DataFrame, seen: DataFrame, changes: DataFrame, as_of: int | None
+    ) -> tuple[DataFrame, DataFrame]:
+        """Put aside what waits for its other half; gives the sightings and changes that are decided."""
+        oldest = F.lit(None).cast("bigint") if as_of is None else F.lit(as_of - round(self.wait_days * 86_400_000_000))
+        young = F.coalesce(micros("seen_at") >= oldest, F.lit(True))
+        no_page = changes.where((F.col("outcome") == "failed") & (F.col("parse_error") == F.array(F.lit("ad_page"))))
+        missing = seen.join(no_page.select(F.col("sighted_number").alias(KEY)), KEY, "left_semi")
+        # All sightings of an ad wait as long as its last one is young.
+        open_keys = missing.where(young).select(KEY).distinct()
+        self.store.keep("waiting_sightings", version, missing.join(open_keys, KEY, "left_semi").select(*seen.columns))
+        since = F.coalesce("since_us", F.lit(as_of).cast("bigint"))
+        used = changes.where(F.col("outcome") == "inserted").select(F.col("sighted_number").alias("_number"))
+        unused = pages.withColumn("_number", ad_number(F.col("url"))).join(used, "_number", "left_anti").drop("_number")
+        still = unused.withColumn("since_us", since).where(F.coalesce(F.col("since_us") >= oldest, F.lit(True)))
+        self.store.keep("waiting_pages", version, still.select(*pages.columns))
+        waiting = self.store.kept("waiting_sightings", version + 1).select(KEY).distinct()
+        decided = changes.join(waiting, F.col("sighted_number") == waiting[KEY], "left_anti")
+        return seen.join(waiting, KEY, "left_anti"), decided
+
 
 def start_ingest(
     pages: DataFrame, work: BatchIngest, checkpoint: str, available_now: bool = True

@@ -131,9 +131,12 @@ def test_no_shuffle_beyond_the_keys(cars):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
 
 
-@pytest.mark.parametrize("limit", [10, 1])
-def test_translate_list(spark, limit):
+@pytest.mark.parametrize("by_join", [False, True])
+def test_translate_list(spark, by_join):
     dim = spark.createDataFrame([("ABS", "abs"), ("Anti-lock", "abs"), ("ESP", "esp")], "key string, value string")
-    df = spark.createDataFrame([(1, ["ABS", "?", "Anti-lock"]), (2, []), (3, None)], "id int, safety array<string>")
-    rows = K.translate_list(df, "safety", dim, ["id"], limit=limit).orderBy("id").collect()
-    assert [r.safety for r in rows] == [["abs", None, "abs"], [], None]
+    df = spark.createDataFrame([(1, ["ABS", "?", "Anti-lock"]), (2, []), (3, None), (None, ["ESP"]), (None, ["ABS"])], "id int, safety array<string>")
+    rows = K.translate_list(df, "safety", dim, by_join).collect()
+    assert sorted((str(r.id), r.safety) for r in rows) == [
+        ("1", ["abs", None, "abs"]), ("2", []), ("3", None), ("None", ["abs"]), ("None", ["esp"]),
+    ]
+    assert K.translate_list(df, "safety", dim.limit(0), by_join).where("id = 1").first().safety == [None, None, None]

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from lotgrain.operators.facets import facet_filter
 from lotgrain.plans import ingest as I
 from lotgrain.schema import RESULT_PAGES
 from lotgrain.sources.pages import stream_pages
@@ -113,14 +114,6 @@ def test_batch_without_usable_ads(spark, store, ad_pages):
     assert list(state(store)) == [1]
 
 
-def test_vacuum_keeps_what_is_in_use(spark, store, ad_pages):
-    for version, ads in enumerate([(1, 2, 5), (1,), (1,)]):
-        run(spark, store, ad_pages, version, result_page(version, version, *ads))
-    before = state(store)
-    assert store.vacuum(keep=2)
-    assert state(store) == before and store.versions() == [1, 2]
-
-
 @pytest.mark.parametrize("split", [[6], [1, 2, 1, 2]])
 def test_any_page_split_gives_the_same_listings(spark, store, ad_pages, split):
     pages = [
@@ -157,6 +150,48 @@ def test_stream_equals_batch(spark, store, ad_pages, tmp_path):
     assert state(store) == state(other) and len(state(store)) == 3
 
 
+@pytest.mark.parametrize("pages_first", [False, True])
+def test_pages_and_sightings_wait_for_each_other(spark, store, pages_first):
+    sighted = [[result_page(1, 0, 1, 2)], [result_page(2, 1, 5, 1)], [result_page(3, 2, 2)]]
+    pages = [[AD_PAGES[0], AD_PAGES[1]], [AD_PAGES[3]], []]
+    batches = [*zip(pages, sighted)] if pages_first else [*zip([[], *pages[:2]], sighted)]
+    rows = [a for a, _ in batches], [b for _, b in batches]
+    order = [rows[0][0], *[b + a for a, b in zip(rows[0][1:], rows[1])], rows[1][2]] if pages_first else [b + a for a, b in batches]
+    for version, batch in enumerate(order):
+        BatchIngest(store)(spark.createDataFrame(batch, RESULT_PAGES), version)
+    assert state(store) == {
+        1: ("/auto-oglasi/1/p1", "/auto-oglasi/1/p2", 0, 1),
+        2: ("/auto-oglasi/2/p1", "/auto-oglasi/2/p3", 0, 2),
+        5: ("/auto-oglasi/5/p2", None, 1, 1),
+    }
+    quarantined = [spark.read.parquet(f"{store.path}/quarantine/v={v}").count() for v in range(len(order))]
+    assert quarantined == [0] * len(order)
+
+
+def test_waiting_ends(spark, store):
+    for version, at in enumerate([0, 4, 9]):
+        BatchIngest(store)(spark.createDataFrame([result_page(version, at, *([7] if at == 0 else [1])), AD_PAGES[0]], RESULT_PAGES), version)
+    failed = [[(r.url, r.parse_error) for r in spark.read.parquet(f"{store.path}/quarantine/v={v}").collect()] for v in range(3)]
+    assert failed == [[], [], [("/auto-oglasi/7/p0", ["ad_page"])]]
+    assert list(state(store)) == [1]
+
+
+def test_a_page_from_the_future_is_set_aside(spark, store, ad_pages):
+    ahead = (datetime.now() - DAY0).days + 30
+    run(spark, store, ad_pages, 0, result_page(1, 0, 1), result_page(2, ahead, 2))
+    assert list(state(store)) == [1]
+    assert spark.read.parquet(f"{store.path}/quarantine/v=0").first().parse_error == ["seen_at"]
+
+
+def test_features_are_stored_as_codes_that_facets_find(spark, store, ad_pages):
+    lookups = spark.createDataFrame([("safety", "ABS", "abs"), ("details", "Garažiran", "garage")], "domain string, key string, value string")
+    work = BatchIngest(store, details=details_from(ad_pages), lookups=lookups)
+    work(spark.createDataFrame([result_page(1, 0, 1)], RESULT_PAGES), 0)
+    row = store.read().first()
+    assert (row.safety, row.options, row.details) == (["abs", None], [], ["garage"])
+    assert store.read().where(facet_filter("?abs=1", lookups)).count() == 1
+
+
 def test_refreshed_rows_keep_their_record(spark, store, ad_pages):
     run(spark, store, ad_pages, 0, result_page(1, 0, 1))
     first = store.read().first()
