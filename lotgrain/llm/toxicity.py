@@ -97,12 +97,12 @@ class Words(dict):
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
-        self.lexicon, self.known = lexicon, []
+        self.lexicon = lexicon
+        self.kinds = np.zeros((1 << 14, 7), np.float32)  # a row for each word met
 
     def start(self) -> None:
         if len(self) > self.MOST:
             self.clear()
-            self.known = []
 
     def __missing__(self, word: bytes) -> int:
         open_, undone = bare(word), plain(word)
@@ -117,8 +117,11 @@ class Words(dict):
         odd = bool(_INNER.search(word.strip(_EDGES)))
         you = open_ in SECOND_PERSON
         shout = len(open_) > 3 and word.isupper()
-        self.known.append((fixed, learned, hidden, odd, you, shout, len(open_) == 1))
-        self[word] = at = len(self.known) - 1
+        at = len(self)
+        if at == len(self.kinds):
+            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+        self.kinds[at] = (fixed, learned, hidden, odd, you, shout, len(open_) == 1)
+        self[word] = at
         return at
 
 
@@ -130,12 +133,7 @@ def features(text: bytes | None, words: Words) -> list[float]:
     ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
     n = len(ids)
     per_word, per_char = 1.0 / max(n, 1), 1.0 / max(len(text), 1)
-    kinds = np.array(words.known, np.float64).reshape(-1, 7) if n and n * 4 > len(words.known) else None
-    if kinds is None:
-        found = np.array([words.known[i] for i in ids.tolist()], np.float64).reshape(-1, 7)
-    else:
-        found = kinds[ids]
-    fixed, learned, hidden, odd, you, shout, single = found.T
+    fixed, learned, hidden, odd, you, shout, single = words.kinds[ids].T.astype(np.float64)
     hits = (fixed > 0) | (learned > 0)
     apart = 0
     if single.sum() >= 3:
