@@ -405,6 +405,12 @@ def near_rows():
         copy = list(hub)
         copy[i] = f"c{i}"
         rows.append(" ".join(copy))
+    base = [f"b{i}" for i in range(100)]
+    rows.append(" ".join(base))
+    for i in range(0, 90, 2):  # a large group whose members are linked with their common source alone
+        copy = list(base)
+        copy[i], copy[i + 1] = f"d{i}", f"e{i}"
+        rows.append(" ".join(copy))
     rows += ["exact copy of a text"] * 40 + ["Exact  COPY of a text", "two words", "two  words", "", " ", None]
     rng.shuffle(rows)
     return list(enumerate(rows))
@@ -417,6 +423,23 @@ def test_near_duplicates_match_brute_force(spark, near_rows, size, percent):
     assert got == near_by_brute_force(near_rows, size, percent)
 
 
+def test_large_nodes_are_peeled(spark, monkeypatch):
+    # Tiny leaves and no way down: every group has to be found by peeling.
+    monkeypatch.setattr(chosen_path, "LEAF", 2)
+    monkeypatch.setattr(chosen_path, "LEVELS", 1)
+    rng = random.Random(1)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)] if g else [f"g1w{i}" for i in range(45)] + [f"x{i}" for i in range(15)]
+        for _ in range(12):
+            copy = list(base)
+            copy[rng.randrange(60)] = f"n{rng.random()}"
+            rows.append(" ".join(copy))
+    docs = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path.near_duplicates(spark.createDataFrame(docs, DOCS), 3, 80).collect()}
+    assert got == near_by_brute_force(docs, 3, 80)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [*ODD, (9, "same text as null id here"), (None, "same text as null id here"), (None, "alone with no id at all")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(7))
