@@ -307,6 +307,55 @@ def _(t: Tables) -> DataFrame:
     return rows.withColumn("safety", coded).where(wanted).select("ad_number", "make")
 
 
+_ONE_OF = ("body_type", "fuel_type", "transmission", "climate_control", "damage", "interior_material")
+_CODE_PARAMS = ("chassis", "fuel", "gearbox", "air_condition", "damaged", "interior_material")
+
+
+@query(
+    "facet_all",
+    f"""
+    select p_partkey as ad_number from part
+    where floor(p_retailprice) <= 1800 and p_size >= 2 and p_size + 40 between 43 and 90 and p_size * 40 <= 1950
+      and p_partkey * 10 >= 50
+      and {" and ".join(f"(p_partkey + {i}) % 10 <> 9" for i in range(len(_ONE_OF)))}
+      and p_partkey % 5 <> 0 and p_partkey % 6 <> 0
+      and p_partkey % 7 <> 0 and p_partkey % 11 <> 0 and p_partkey % 13 <> 0
+      and p_brand in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') and p_brand is distinct from 'Brand#2'
+    """,
+)
+def _(t: Tables) -> DataFrame:
+    # Every facet is active at once; codes are the nations' keys, labels 'L' and the code.
+    key = F.col("p_partkey")
+
+    def label(i: int, codes: int) -> Column:
+        return F.concat(F.lit("L"), ((key + i) % codes).cast("string"))
+
+    rows = t.part.select(
+        key.alias("ad_number"), F.col("p_brand").alias("make"), F.col("p_type").alias("model"),
+        F.floor("p_retailprice").cast("int").alias("price"), F.col("p_size").alias("year"),
+        (F.col("p_size") + 40).alias("engine_power"), (F.col("p_size") * 40).alias("engine_capacity"),
+        (key * 10).alias("mileage"),
+        *[label(i, 10).alias(c) for i, c in enumerate(_ONE_OF)],
+        F.when(key % 5 != 0, F.lit("L1")).otherwise(F.lit("L0")).alias("steering_side"),
+        F.when(key % 6 != 0, F.lit("L2")).otherwise(F.lit("L0")).alias("emission_class"),
+        F.array(F.lit("abs"), F.when(key % 7 != 0, F.lit("esp"))).alias("safety"),
+        F.array(F.when(key % 11 != 0, F.lit("car_play"))).alias("options"),
+        F.array(F.lit("x"), F.when(key % 13 != 0, F.lit("garage"))).alias("details"),
+    )
+    code = F.col("n_nationkey").cast("string")
+    domains = F.explode(F.array(*[F.lit(c) for c in (*_ONE_OF, "steering_side", "emission_class")]))
+    lookups = t.nation.select(domains.alias("domain"), code.alias("key"), F.concat(F.lit("L"), code).alias("value"))
+    features = [("safety", "ABS", "abs"), ("safety", "ESP", "esp"), ("options", "CarPlay", "car_play"), ("details", "Garage", "garage")]
+    lookups = lookups.unionByName(t.spark.createDataFrame(features, lookups.schema))
+    codes = "&".join(f"{p}[]={i}" for p in _CODE_PARAMS for i in range(9))
+    address = (
+        "https://ads.example/s?price_to=1800&year_from=2&power_from=43&power_to=90&engine_volume_to=1950&mileage_from=50"
+        f"&{codes}&wheel_side=1&emission_class=2&abs=1&esp=1&carPlay=1&garage=0&brand=Brand%231&brand2=Brand%233"
+    )
+    wanted = facet_filter(address, lookups, '{"Brand#2": null, "Brand#4": null}', '{"Brand#2": null}', same)
+    return rows.where(wanted).select("ad_number")
+
+
 # --------------------------------------------------------------------- grouping
 
 
