@@ -23,6 +23,8 @@ from lotgrain.schema import MEMBER_FIELDS, REQUIRED_MEMBER_FIELDS
 GROUP_KEYS = ("make", "model", "year")
 # Rows per array; a chunk stays below about four times this.
 CHUNK_ROWS = 10_000
+# Width of the ranges of a number that is ordered over all rows.
+RANGE_WIDTH = 1024
 
 
 def check_keys(keys: Sequence[str]) -> list[str]:
@@ -120,14 +122,25 @@ def chunk_plan(
     Values share a chunk until it is full; a value that alone exceeds a chunk is split.
     """
     sizes = rows.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    return sizes.select(
+
+    def before(*by: str, of: str) -> Column:
+        earlier = Window.partitionBy(*by).orderBy(F.col(of).asc_nulls_first())
+        return F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if keys:
+        starts = sizes.withColumn("_start", before(*keys, of=order))
+    else:
+        # One group for all rows: sums within ranges of the order first, then over the ranges'
+        # totals, so that no task sees more than a range or one row per range.
+        ranged = sizes.withColumn("_range", F.floor(F.col(order) / RANGE_WIDTH))
+        totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_n"))
+        offsets = totals.select(F.col("_range").alias("_r"), before(of="_range").alias("_offset"))
+        inner = ranged.withColumn("_inner", before("_range", of=order))
+        starts = inner.join(offsets, F.col("_range").eqNullSafe(F.col("_r"))).withColumn("_start", F.col("_inner") + F.col("_offset"))
+    return starts.select(
         *keys,
         order,
-        F.floor(start / chunk_rows).alias("_base"),
+        F.floor(F.col("_start") / chunk_rows).alias("_base"),
         F.greatest(F.floor(F.col("_n") / chunk_rows), F.lit(1)).alias("_splits"),
     )
 
