@@ -63,9 +63,13 @@ def optional_int_is_bad(text: Column) -> Column:
     return F.coalesce((stripped != "") & whole_number(stripped).isNull(), F.lit(False))
 
 
+# Where a word of a camelCase name begins; the same for Java's and Python's expressions.
+CAMEL_BORDER = r"(?<!^)(?=[A-Z])"
+
+
 def snake_case(name: Column) -> Column:
     """camelCase to snake_case, for names without any underscore."""
-    split_up = F.lower(F.regexp_replace(name, r"(?<!^)(?=[A-Z])", "_"))
+    split_up = F.lower(F.regexp_replace(name, CAMEL_BORDER, "_"))
     return F.when(F.contains(name, F.lit("_")), name).otherwise(split_up)
 
 

@@ -15,7 +15,7 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotgrain.functions.text import normalize_name
+from lotgrain.functions.text import CAMEL_BORDER, normalize_name
 from lotgrain.operators import predicates as P
 
 Params = dict[str, str | list[str]]
@@ -49,7 +49,7 @@ def snake_name(name: str) -> str:
     """camelCase parameter name to snake_case, unless it has an underscore already."""
     if "_" in name:
         return name
-    return re.sub(r"(.)(?=[A-Z])", r"\1_", name).lower()
+    return re.sub(CAMEL_BORDER, "_", name).lower()
 
 
 def search_params(url: str | None) -> Params:

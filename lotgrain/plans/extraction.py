@@ -225,6 +225,14 @@ def ad_page_texts(pages: DataFrame, html: str = "html", details_after_basics: bo
     def text(part: str, label_pattern: str) -> Column:
         return M.plain_text(M.block_after(F.col(part), label_pattern))
 
+    # An ad without this label has no capacity; one whose label has no block cannot be read.
+    capacity = M.exact_text(BASIC_LABELS["engine_capacity"])
+    unread = {"engine_capacity": F.when(F.col("_basic").rlike(capacity), F.lit(""))}
+
+    def basic(name: str, label: str) -> Column:
+        found = text("_basic", M.exact_text(label))
+        return F.coalesce(found, unread[name]) if name in unread else found
+
     def features(name: str, label: str) -> Column:
         part = "_behind" if name == "details" and details_after_basics else "_content"
         blocks = M.marked_blocks(M.block_after(F.col(part), M.text_with(label)), _FEATURE)
@@ -234,7 +242,7 @@ def ad_page_texts(pages: DataFrame, html: str = "html", details_after_basics: bo
     return parts.select(
         *kept,
         "price_text",
-        *[text("_basic", M.exact_text(v)).alias(f"{n}_text") for n, v in BASIC_LABELS.items()],
+        *[basic(n, v).alias(f"{n}_text") for n, v in BASIC_LABELS.items()],
         *[text("_info", M.exact_text(v)).alias(f"{n}_text") for n, v in INFO_LABELS.items()],
         *[text("_info", M.text_with(v)).alias(f"{n}_text") for n, v in OPTIONAL_INFO_LABELS.items()],
         *[features(n, v).alias(n) for n, v in FEATURE_LABELS.items()],

@@ -75,6 +75,12 @@ def test_errors_are_data(parsed):
     assert parsed[99].parse_error[0] == "content"
 
 
+def test_a_label_without_a_block_is_no_missing_label(spark):
+    html = ad_page(basic={"Kubikaža": None}).replace("</section>", "<p>Kubikaža</p></section>", 1)
+    row = E.ad_page_listings(spark.createDataFrame([(1, "/", html)], "page_id long, url string, html string")).first()
+    assert row.parse_error == ["engine_capacity"]
+
+
 def test_optional_fields(parsed):
     assert parsed[1].engine_capacity == 0
     assert parsed[8].battery_range == 300
