@@ -1,20 +1,22 @@
 """Near-duplicate documents by chosen-path similarity join.
 
 1. A text becomes the set of its word shingles; equal sets are one class, represented once.
-2. Every class has minwise tokens (minima of ``TREES * LEVELS`` hash functions). In each of
-   ``TREES`` independent trees a class goes down from the root along the tokens chosen for the
-   tree and the level; classes with the same tokens so far meet in a node. Nodes with one class
-   end, nodes of at most ``LEAF`` end as leaves, larger ones branch further, for ``LEVELS``.
-3. Every class is compared with one class of its nodes, the least, which it met most often;
-   verified links give first components. A large group of copies so costs one comparison for
-   each of its members, not one for each pair.
-4. Nodes whose classes are not all connected yet are compared exhaustively, pair by pair, for
-   pairs of different components that met in at least ``VOTES`` trees.
-
-Every link is confirmed on the full sets. Two sets of similarity 0.85 miss each other in less
-than one of ten thousand cases: in a tree they stay together for four levels with probability
-0.52, and 16 trees are independent. Components come from repeated minimum labels, with a table
-written to the shared folder after each round; nothing but totals comes to the driver.
+2. Every class has minwise tokens (minima of ``TOKENS`` hash functions). In each of ``TREES``
+   independent trees a class goes down from the root along the tokens chosen for the tree;
+   classes with the same tokens so far meet in a node. At each of ``DEPTHS``, nodes with one
+   class end, nodes of at most ``LEAF`` end as leaves, and larger ones branch further.
+3. In every node each class is paired with the most popular one: popular is a class whose
+   tokens many others share, such as the text that many copies were made from. A large group so
+   costs one comparison for each member, not one for each pair.
+4. Leaves are compared exhaustively: pairs that are not linked already.
+
+Pairs count if they met in at least ``VOTES`` trees, and every link is confirmed on the full
+sets. Two sets of similarity 0.85 are together in a tree for four levels with probability
+0.52, so among 16 trees they miss each other in less than one of a thousand cases if their
+nodes are leaves by then. Larger nodes at that depth are large groups of nearly equal texts:
+there a pair that resembles each other but not the popular class goes on to depth 12, where
+it is found with a probability of 0.7 to 0.95. Components come from repeated minimum labels, with a table written
+to the shared folder after each round; nothing but totals comes to the driver.
 """
 
 from __future__ import annotations
@@ -35,15 +37,17 @@ from lotgrain.llm.windows import Powers, window_hashes, word_hashes
 SHINGLE = 5
 PERCENT = 80
 TREES = 16
-LEVELS = 4
+TOKENS = 64
+#: How many tokens a path has where nodes are counted.
+DEPTHS = (1, 2, 3, 4, 6, 9, 12)
 LEAF = 16
 VOTES = 2
 #: Bits of the filter that keeps texts without any candidate from being shingled for comparison: 8 MB.
 FILTER_BITS = 1 << 26
 
 _RNG = np.random.default_rng(11)
-_XOR = _RNG.integers(0, 1 << 63, TREES * LEVELS, np.uint64)
-_FACTOR = _RNG.integers(0, 1 << 63, TREES * LEVELS, np.uint64) | np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, TOKENS, np.uint64)
+_FACTOR = _RNG.integers(0, 1 << 63, TOKENS, np.uint64) | np.uint64(1)
 
 
 def shingle_set(text: bytes | None, size: int, powers: Powers) -> np.ndarray:
@@ -88,20 +92,29 @@ def sketches(docs: DataFrame, size: int, text: str, keep: list[str]) -> DataFram
     return with_text_columns(docs, fields, make, text, keep)
 
 
+def _chosen(tree: int) -> list[int]:
+    """The order in which a tree takes the tokens; the first four are no other tree's."""
+    own = list(range(tree, TOKENS, TREES))
+    rest = [i for i in range(TOKENS) if i not in own]
+    return own + np.random.default_rng(tree).permutation(rest).tolist()
+
+
 def _nodes(classes: DataFrame) -> list[DataFrame]:
-    """Per level a table of (path, tree, cls, n_shingles, members, pivot), for nodes of more than one class."""
+    """Per depth a table of (path, cls, n_shingles, tree, members), for nodes of more than one class."""
+    orders = F.array(*[F.array(*[F.lit(i + 1) for i in _chosen(t)[: max(DEPTHS)]]) for t in range(TREES)])
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    token = F.element_at("tokens", F.col("tree") + 1)
-    frontier = classes.select("cls", "n_shingles", "tokens", tree).select("cls", "n_shingles", "tree", F.xxhash64("tree", token).alias("path"))
-    levels = []
-    for level in range(1, LEVELS + 1):
-        sizes = frontier.groupBy("path").agg(F.count("*").alias("members"), F.min("cls").alias("pivot")).where("members > 1")
-        levels.append(written(frontier.join(sizes, "path"), f"paths-{level}"))
+    frontier, done, levels = classes.select("cls", "n_shingles", "tokens", tree).withColumn("path", F.col("tree").cast("long")), 0, []
+    for depth in DEPTHS:
+        path = F.col("path")
+        for i in range(done, depth):
+            path = F.xxhash64(path, F.element_at("tokens", F.element_at(F.element_at(orders, F.col("tree") + 1), i + 1)))
+        frontier = frontier.select(path.alias("path"), "cls", "n_shingles", "tree")
+        sizes = frontier.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
+        levels.append(written(frontier.join(sizes, "path"), f"paths-{depth}"))
         large = levels[-1].where(F.col("members") > LEAF)
-        if level == LEVELS or large.isEmpty():
+        if depth == DEPTHS[-1] or large.isEmpty():
             break
-        token = F.element_at("tokens", F.col("tree") + (1 + TREES * level))
-        frontier = large.join(classes.select("cls", "tokens"), "cls").select("cls", "n_shingles", "tree", F.xxhash64("path", token).alias("path"))
+        frontier, done = large.drop("members").join(classes.select("cls", "tokens"), "cls"), depth
     return levels
 
 
@@ -110,10 +123,9 @@ def _possible(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _set_filter(pairs: DataFrame) -> np.ndarray:
-    """A bit for each class that stands in a pair, by the class modulo FILTER_BITS, whatever the number of pairs."""
-    place = F.pmod("cls", F.lit(FILTER_BITS)) + 1
-    places = pairs.select(F.explode(F.array("a", "b")).alias("cls")).select(place.alias("place"))
+def _set_filter(classes: DataFrame) -> np.ndarray:
+    """A bit for each class, by the class modulo FILTER_BITS: 8 MB, whatever their number."""
+    places = classes.select((F.pmod("cls", F.lit(FILTER_BITS)) + 1).alias("place"))
     maps = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in maps.collect():
@@ -122,9 +134,9 @@ def _set_filter(pairs: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, size: int, text: str) -> DataFrame:
-    """(cls, shingles) of the classes in pairs, once each, and of a few others that share a bit with one."""
-    shared = docs.sparkSession.sparkContext.broadcast(_set_filter(pairs))
+def _sets(docs: DataFrame, classes: DataFrame, size: int, text: str) -> DataFrame:
+    """(cls, shingles) of the classes given, once each, and of a few others that share a bit with one."""
+    shared = docs.sparkSession.sparkContext.broadcast(_set_filter(classes))
     fields = "cls long, shingles array<long>"
     schema = arrow_schema(fields)
 
@@ -147,16 +159,12 @@ def _sets(docs: DataFrame, pairs: DataFrame, size: int, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, fields).dropDuplicates(["cls"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, written."""
-    if pairs.isEmpty():
-        return pairs
-    sets = written(_sets(docs, pairs, size, text), f"{name}-sets")
     left, right = (sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left, "a").join(right, "b")
     alike = shared * 100 >= (F.size("set_a") + F.size("set_b") - shared) * percent
-    return written(joined.where(alike).select("a", "b"), f"{name}-links")
+    return written(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,20 +186,40 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _open_pairs(nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that met in at least VOTES trees, of possible sizes.
+def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of possible sizes that met in leaves of at least VOTES trees; a leaf holds LEAF classes at most."""
+    left = leaves.select("path", "tree", F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = leaves.select("path", F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
+    met = left.join(right, "path").where((F.col("a") < F.col("b")) & _possible("n_a", "n_b", percent))
+    return met.groupBy("a", "b").agg(F.count_distinct("tree").alias("votes")).where(F.col("votes") >= VOTES).select("a", "b")
+
+
+def _popularity(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cls, popular) of the classes in large nodes: how many of them share its tokens, over all tokens."""
+    crowd = nodes.where(F.col("members") > LEAF).select("cls").distinct()
+    tokens = classes.join(crowd, "cls").select("cls", F.posexplode("tokens").alias("i", "token"))
+    shared = tokens.groupBy("i", "token").agg(F.count("*").alias("n")).where("n > 1")
+    return tokens.join(shared, ["i", "token"]).groupBy("cls").agg(F.sum("n").alias("popular"))
 
-    Only nodes whose members are not all connected take part, and in a node with a component
-    that holds most of it, only the others look for partners.
+
+def _stars(nodes: DataFrame, percent: int) -> DataFrame:
+    """(tree, cls, pivot) for every other class of each node: pivot is the node's most popular class.
+
+    Equally popular ones of a large node take turns by tree.
     """
-    placed = nodes.select("path", "tree", "cls", "n_shingles").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
-    rows = placed.join(mixed, "path")
-    left = rows.select("path", "tree", F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"))
-    right = rows.select("path", F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.col("root").alias("root_b"))
-    apart = (F.col("root_a") < F.col("root_b")) & _possible("n_a", "n_b", percent)
-    met = left.join(right, "path").where(apart).groupBy("a", "b").agg(F.count_distinct("tree").alias("votes"))
-    return met.where(F.col("votes") >= VOTES).select("a", "b")
+    turn = F.when(F.col("members") > LEAF, F.xxhash64("cls", "tree")).otherwise(F.col("cls"))
+    rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles")
+    most = nodes.groupBy("path").agg(F.max(rank).alias("top"))
+    near = nodes.join(most, "path").where(F.col("cls") != F.col("top.cls"))
+    return near.where(_possible("n_shingles", "top.n_shingles", percent)).select("tree", "cls", F.col("top.cls").alias("pivot"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are not known to be connected through (cls, root)."""
+    for end in ("a", "b"):
+        own = roots.withColumnsRenamed({"cls": end, "root": f"root_{end}"})
+        pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_a != root_b").select("a", "b")
 
 
 def near_duplicates(
@@ -215,31 +243,18 @@ def near_duplicates(
         "classes",
     )
     levels = _nodes(classes.select("cls", "n_shingles", "tokens"))
-    nodes = reduce(DataFrame.unionAll, levels)
-
-    # First links: each class and the least class of its nodes that it met most often.
-    sizes = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
-    often = nodes.where("cls != pivot").groupBy("cls", "n_shingles", "pivot").count()
-    parents = often.groupBy(F.col("cls").alias("a"), F.col("n_shingles").alias("n_a")).agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b"))
-    first = written(parents.join(sizes, "b").where(_possible("n_a", "n_b", percent)).select("a", "b"), "first-pairs")
-    links = _confirmed(first, docs, shingle, percent, text, "first")
-    roots = components(links)
-
-    # The rest: leaves, and large nodes of the last level, that are not one component yet.
-    last = len(levels)
-    ends = reduce(DataFrame.unionAll, [t if i == last else t.where(F.col("members") <= LEAF) for i, t in enumerate(levels, 1)])
-    rest = written(_open_pairs(ends, roots, percent), "open-pairs")
-    more = _confirmed(rest, docs, shingle, percent, text, "open")
-    if not more.isEmpty():
-        contracted = more
-        for end in ("a", "b"):
-            contracted = contracted.join(roots.withColumnsRenamed({"cls": end, "root": f"root_{end}"}), end, "left").withColumn(
-                end, F.coalesce(f"root_{end}", end)
-            ).drop(f"root_{end}")
-        over = components(contracted).withColumnsRenamed({"cls": "was", "root": "final"})
-        everyone = roots.unionAll(more.select(F.explode(F.array("a", "b")).alias("cls")).select("cls", F.col("cls").alias("root")))
-        every = everyone.groupBy("cls").agg(F.min("root").alias("was"))
-        roots = written(every.join(over, "was", "left").select("cls", F.coalesce("final", "was").alias("root")), "roots")
+    popular = _popularity(classes, levels[0])
+    nodes = written(reduce(DataFrame.unionAll, levels).join(popular, "cls", "left"), "nodes")
+    stars = _stars(nodes, percent).groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg(F.count_distinct("tree").alias("votes"))
+    stars = written(stars.where(F.col("votes") >= VOTES).select("a", "b"), "star-pairs")
+    leaves = written(_leaf_pairs(nodes.where(F.col("members") <= LEAF), percent), "leaf-pairs")
+    ends = stars.unionAll(leaves).select(F.explode(F.array("a", "b")).alias("cls"))
+    sets = written(_sets(docs, ends, shingle, text), "sets")
+    first = _confirmed(stars, sets, percent)
+    # Most leaf pairs share a popular class that both are linked with.
+    near = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
+    more = _confirmed(_apart(leaves, near), sets, percent)
+    roots = components(first.unionAll(more))
 
     ids = classes.select("cls", "least_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component"))
