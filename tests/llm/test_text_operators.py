@@ -423,10 +423,11 @@ def test_near_duplicates_match_brute_force(spark, near_rows, size, percent):
     assert got == near_by_brute_force(near_rows, size, percent)
 
 
-def test_large_nodes_are_peeled(spark, monkeypatch):
-    # Tiny leaves and no way down: every group has to be found by peeling.
+@pytest.mark.parametrize("depths", [(1,), (1, 3, 12)])
+def test_groups_larger_than_a_leaf(spark, monkeypatch, depths):
+    # Tiny leaves: groups have to be found through their popular classes.
     monkeypatch.setattr(chosen_path, "LEAF", 2)
-    monkeypatch.setattr(chosen_path, "LEVELS", 1)
+    monkeypatch.setattr(chosen_path, "DEPTHS", depths)
     rng = random.Random(1)
     rows = []
     for g in range(3):
