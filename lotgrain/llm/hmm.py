@@ -24,6 +24,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotgrain.llm.labelled import remainder
-from lotgrain.llm.rows import arrow_schema, slices, with_text_columns, written
+from lotgrain.llm.rows import arrow_schema, run_lengths, slices, with_text_columns, written
 
 STATES = 6
 SYMBOLS = 2_000
@@ -104,9 +105,10 @@ class Vocabulary:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of head words; a rarer word has -1 minus its class."""
-        get = self.head.get
-        found = [get(w, -1) for w in words]
-        return np.array([i if i >= 0 else -1 - word_class(w) for i, w in zip(found, words, strict=True)] if -1 in found else found, np.int64)
+        found = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(found < 0).tolist():
+            found[i] = -1 - word_class(words[i])
+        return found
 
     def symbols_of(self, numbers: np.ndarray) -> np.ndarray:
         if not len(self.symbol):
@@ -116,7 +118,19 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, symbols: int = SYMBOLS) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("c"), "word").limit(head_words).toPandas()
+    # Words of equal or nearly equal counts are in the head together or not at all: the least
+    # count is settled on a histogram, and no task sends more than the head has.
+    step = F.floor(F.log2("c") * 16)
+    least, room = None, head_words - 1
+    for row in sorted(counts.where(F.col("word") != F.lit(END)).groupBy(step.alias("s")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["s"]
+    chosen = F.col("word") == F.lit(END)
+    head = counts.where(chosen if least is None else chosen | (step >= F.lit(least))).toPandas()
+    head["first"] = head["word"].map(lambda w: bytes(w) != END)
+    head = head.sort_values(["first", "c", "word"], ascending=[True, False, True])
     words = [bytes(w) for w in head["word"]]
     symbols = min(symbols, len(words))
     kind = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(CLASSES))
@@ -140,7 +154,6 @@ class Model:
         """log10 likelihood of each of the sequences that lie one behind the other in ``symbols``."""
         out = np.zeros(len(sizes))
         begins = np.cumsum(sizes) - sizes
-        states = len(self.start)
         # First symbols, then each sequence's pieces: short ones as vectors, long ones as matrices.
         alpha = self.start * self.emit[symbols[begins]]
         scale = alpha.sum(axis=1)
@@ -159,29 +172,35 @@ class Model:
             now /= scale[:, None]
             sums[:alive] += np.log10(scale)
         out[order] += sums
-        for doc in np.flatnonzero(long_).tolist():
-            out[doc] += self._long(symbols[begins[doc] + 1 : begins[doc] + sizes[doc]], alpha[doc], states)
+        out[long_] += self._long(symbols, begins[long_] + 1, sizes[long_] - 1, alpha[long_])
         return out
 
-    def _long(self, symbols: np.ndarray, alpha: np.ndarray, states: int) -> float:
-        """Matrices of all pieces at once, then their product from the left."""
-        n = -(-len(symbols) // PIECE)
-        left = np.minimum(PIECE, len(symbols) - np.arange(n) * PIECE)
-        now = np.broadcast_to(np.eye(states), (n, states, states)).copy()
-        total = 0.0
-        for t in range(PIECE):
-            alive = n if t < left[-1] else n - 1
-            if not alive:
-                break
-            now[:alive] = (now[:alive] @ self.step) * self.emit[symbols[np.arange(alive) * PIECE + t]][:, None, :]
-            scale = now[:alive].max(axis=(1, 2))
-            now[:alive] /= scale[:, None, None]
-            total += float(np.log10(scale).sum())
-        for piece in now:
-            alpha = alpha @ piece
-            scale = alpha.sum()
-            alpha, total = alpha / scale, total + float(np.log10(scale))
-        return total
+    def _long(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        """Matrices of all pieces of all sequences at once, then each sequence's product from the left."""
+        states = len(self.start)
+        pieces = -(-sizes // PIECE)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        place = run_lengths(pieces) * PIECE
+        left = np.minimum(PIECE, sizes[owner] - place)
+        order = np.argsort(-left, kind="stable")
+        at = (begins[owner] + place)[order]
+        now = np.broadcast_to(np.eye(states), (len(owner), states, states)).copy()
+        sums, alive = np.zeros(len(owner)), len(owner)
+        for t in range(int(left.max(initial=0))):
+            alive = int(np.searchsorted(-left[order[:alive]], -t, side="left"))
+            part = (now[:alive] @ self.step) * self.emit[symbols[at[:alive] + t]][:, None, :]
+            scale = part.max(axis=(1, 2))
+            now[:alive] = part / scale[:, None, None]
+            sums[:alive] += np.log10(scale)
+        logs = np.bincount(owner[order], sums, len(sizes))
+        matrices = np.empty_like(now)
+        matrices[order] = now
+        for doc, matrix in zip(owner.tolist(), matrices, strict=True):
+            after = alpha[doc] @ matrix
+            scale = after.sum()
+            alpha[doc] = after / scale
+            logs[doc] += np.log10(scale)
+        return logs
 
     def expected(self, symbols: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts (starts, steps, emissions) of sequences; ``first`` marks those that begin a document."""
@@ -220,18 +239,14 @@ class Model:
         return gammas[: len(sizes)][first].sum(axis=0), steps * self.step, emissions
 
 
-def _sequences(texts: list[bytes | None], words: Vocabulary) -> tuple[list[np.ndarray], list[list[bytes]]]:
-    all_words = [tokens(t) for t in texts]
-    return [words.numbers(w) for w in all_words], all_words
-
-
 def _expected_counts(docs: DataFrame, words: Vocabulary, model: Model) -> np.ndarray:
     """Starts, steps and emissions, flat and summed over all documents given."""
     fields = "at int, value double"
     schema = arrow_schema(fields)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
+        words, total = shared.value, 0.0
         parts: list[np.ndarray] = []
         sizes: list[int] = []
         first: list[bool] = []
@@ -304,9 +319,17 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: Model, t
         ("symbols_log", T.DoubleType()), ("rare", T.ArrayType(T.BinaryType())), ("rare_n", T.ArrayType(T.IntegerType())),
     ]
 
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # as large as HEAD_WORDS allows
+
     def make():
+        words = shared.value
+
         def work(texts, _):
-            numbers, all_words = _sequences(texts, words)
+            numbers, rare = [], []
+            for text in texts:
+                own = tokens(text)
+                numbers.append(words.numbers(own))
+                rare.append(Counter(own[i] for i in np.flatnonzero(numbers[-1] < 0).tolist()))
             sizes = np.array([len(n) for n in numbers])
             flat = np.concatenate(numbers)
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -316,7 +339,6 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: Model, t
             logs = words.log_count[np.maximum(flat, 0)] * is_head if len(words.log_count) else np.zeros(len(flat))
             class_norm = np.where(in_class, words.log_class[np.maximum(symbols - words.symbols, 0)], 0.0)
             per_doc = lambda x: np.bincount(owner, x, len(sizes))
-            rare = [Counter(w[i] for i in np.flatnonzero(n < 0).tolist()) for w, n in zip(all_words, numbers, strict=True)]
             return [
                 sizes, per_doc(is_head).astype(np.int64), per_doc(logs), per_doc(np.where(in_class, logs, 0.0) - class_norm),
                 model.forward(symbols, sizes), [list(r) for r in rare], [list(r.values()) for r in rare],
