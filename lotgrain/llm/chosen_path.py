@@ -1,22 +1,21 @@
 """Near-duplicate documents by chosen-path similarity join.
 
 1. A text becomes the set of its word shingles; equal sets are one class, represented once.
-2. Every class has minwise tokens (minima of ``TOKENS`` hash functions). In each of ``TREES``
-   independent trees a class goes down from the root along the tokens chosen for the tree;
-   classes with the same tokens so far meet in a node. At each of ``DEPTHS``, nodes with one
-   class end, nodes of at most ``LEAF`` end as leaves, and larger ones branch further.
-3. In every node each class is paired with the most popular one: popular is a class whose
-   tokens many others share, such as the text that many copies were made from. A large group so
+2. In each of a number of independent trees a class goes down along minwise tokens (minima of
+   random hash functions), as many as the round is deep; classes with the same tokens meet in a node.
+3. In every node each class is paired with the most popular one: popular is a class that many
+   others meet, such as the text that many copies were made from. A large group so
    costs one comparison for each member, not one for each pair.
-4. Leaves are compared exhaustively: pairs that are not linked already.
-
-Pairs count if they met in at least ``VOTES`` trees, and every link is confirmed on the full
-sets. Two sets of similarity 0.85 are together in a tree for four levels with probability
-0.52, so among 16 trees they miss each other in less than one of a thousand cases if their
-nodes are leaves by then. Larger nodes at that depth are large groups of nearly equal texts:
-there a pair that resembles each other but not the popular class goes on to depth 12, where
-it is found with a probability of 0.7 to 0.95. Components come from repeated minimum labels, with a table written
-to the shared folder after each round; nothing but totals comes to the driver.
+4. Nodes of at most ``LEAF`` classes are leaves and compared exhaustively: pairs that are not
+   linked already.
+5. Classes of larger nodes that are not all connected by then go on to the next round of
+   ``DEPTHS``, with new and deeper trees. What is still large and not connected after the last is
+   compared exhaustively as well: all pairs of different components, in squares of blocks.
+
+Every link is confirmed on the full sets. Nothing is capped: two similar sets that meet in a node
+are compared there, or connected already, or both in the next round. Components come from repeated
+minimum labels, with a table written to the shared folder after each round; nothing but totals
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -36,18 +35,17 @@ from lotgrain.llm.windows import Powers, window_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
-TREES = 16
-TOKENS = 64
-#: How many tokens a path has where nodes are counted.
-DEPTHS = (1, 2, 3, 4, 6, 9, 12)
+#: How many tokens a path has in each round.
+DEPTHS = (4, 8, 12)
+#: Independent trees of a round.
+TREES = (16, 48, 96)
 LEAF = 16
-VOTES = 2
+#: A node that is still large after the last round is compared in squares of about this many classes a side.
+BLOCK = 256
 #: Bits of the filter that keeps texts without any candidate from being shingled for comparison: 8 MB.
 FILTER_BITS = 1 << 26
 
-_RNG = np.random.default_rng(11)
-_XOR = _RNG.integers(0, 1 << 63, TOKENS, np.uint64)
-_FACTOR = _RNG.integers(0, 1 << 63, TOKENS, np.uint64) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes | None, size: int, powers: Powers) -> np.ndarray:
@@ -65,57 +63,72 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(len(_XOR), 0xFFFFFFFF, np.uint64)
-    for begin in range(0, len(shingles), 4096):
-        some = shingles[begin : begin + 4096, None]
-        least = np.minimum(least, (((some ^ _XOR) * _FACTOR) >> np.uint64(32)).min(axis=0))
-    return least.astype(np.uint32).view(np.int32)
+class Paths:
+    """The paths of sets in a number of trees, each by tokens of its own: minima of random hash functions."""
 
+    def __init__(self, depth: int, n_trees: int) -> None:
+        rng = np.random.default_rng(1000 * depth + 11)
+        self.shape = (n_trees, depth)
+        self.xor = rng.integers(0, 1 << 63, n_trees * depth, np.uint64)
+        self.factor = rng.integers(0, 1 << 63, n_trees * depth, np.uint64) | np.uint64(1)
+        self.start = rng.integers(0, 1 << 63, n_trees, np.uint64)
+        self.rows = max(64, (1 << 18) // (n_trees * depth))
 
-def sketches(docs: DataFrame, size: int, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns, n_shingles, cls (null without shingles) and tokens of every row."""
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        least = np.full(len(self.xor), 0xFFFFFFFF, np.uint64)
+        for begin in range(0, len(shingles), self.rows):
+            some = shingles[begin : begin + self.rows, None]
+            least = np.minimum(least, (((some ^ self.xor) * self.factor) >> np.uint64(32)).min(axis=0))
+        path, tokens = self.start, least.reshape(self.shape)
+        for i in range(self.shape[1]):
+            path = (path ^ tokens[:, i]) * _MIX
+            path = path ^ (path >> np.uint64(29))
+        return path.view(np.int64)
+
+    def lists(self, sets: list[np.ndarray]) -> pa.ListArray:
+        at = np.arange(len(sets) + 1, dtype=np.int32) * self.shape[0]
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([self.of(s) for s in sets])))
+
+
+def sketches(docs: DataFrame, size: int, text: str, keep: list[str], depth: int, n_trees: int) -> DataFrame:
+    """The kept columns, n_shingles, cls (null without shingles) and paths of every row."""
 
     def make():
-        powers = Powers()
+        powers, paths = Powers(), Paths(depth, n_trees)
 
         def work(texts, _):
             sets = [shingle_set(t, size, powers) for t in texts]
-            tokens = np.concatenate([minwise(s) for s in sets])
-            at = np.arange(len(sets) + 1, dtype=np.int32) * len(_XOR)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(tokens))
-            return [[len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], lists]
+            return [[len(s) for s in sets], [class_of(s) if len(s) else None for s in sets], paths.lists(sets)]
 
         return work
 
-    fields = [("n_shingles", T.LongType()), ("cls", T.LongType()), ("tokens", T.ArrayType(T.IntegerType()))]
+    fields = [("n_shingles", T.LongType()), ("cls", T.LongType()), ("paths", T.ArrayType(T.LongType()))]
     return with_text_columns(docs, fields, make, text, keep)
 
 
-def _chosen(tree: int) -> list[int]:
-    """The order in which a tree takes the tokens; the first four are no other tree's."""
-    own = list(range(tree, TOKENS, TREES))
-    rest = [i for i in range(TOKENS) if i not in own]
-    return own + np.random.default_rng(tree).permutation(rest).tolist()
-
-
-def _nodes(classes: DataFrame) -> list[DataFrame]:
-    """Per depth a table of (path, cls, n_shingles, tree, members), for nodes of more than one class."""
-    orders = F.array(*[F.array(*[F.lit(i + 1) for i in _chosen(t)[: max(DEPTHS)]]) for t in range(TREES)])
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    frontier, done, levels = classes.select("cls", "n_shingles", "tokens", tree).withColumn("path", F.col("tree").cast("long")), 0, []
-    for depth in DEPTHS:
-        path = F.col("path")
-        for i in range(done, depth):
-            path = F.xxhash64(path, F.element_at("tokens", F.element_at(F.element_at(orders, F.col("tree") + 1), i + 1)))
-        frontier = frontier.select(path.alias("path"), "cls", "n_shingles", "tree")
-        sizes = frontier.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        levels.append(written(frontier.join(sizes, "path"), f"paths-{depth}"))
-        large = levels[-1].where(F.col("members") > LEAF)
-        if depth == DEPTHS[-1] or large.isEmpty():
-            break
-        frontier, done = large.drop("members").join(classes.select("cls", "tokens"), "cls"), depth
-    return levels
+def _deeper(sets: DataFrame, classes: DataFrame, depth: int, n_trees: int) -> DataFrame:
+    """(cls, n_shingles, paths) of the classes given, in a later round's trees."""
+    fields = "cls long, n_shingles long, paths array<long>"
+    schema = arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = Paths(depth, n_trees)
+        for batch in batches:
+            shingles = batch.column("shingles")
+            flat, at = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(shingles.offsets)
+            own = [flat[i:j] for i, j in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
+            if own:
+                columns = [batch.column("cls"), pa.array([len(s) for s in own], pa.int64()), paths.lists(own)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return sets.join(classes, "cls", "left_semi").select("cls", "shingles").mapInArrow(run, fields)
+
+
+def _nodes(classes: DataFrame) -> DataFrame:
+    """(path, cls, n_shingles, members) of the nodes of more than one class, written."""
+    rows = classes.select("cls", "n_shingles", F.explode("paths").alias("path"))
+    sizes = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
+    return written(rows.join(sizes, "path"), "nodes")
 
 
 def _possible(a: str, b: str, percent: int):
@@ -186,32 +199,46 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _leaf_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of possible sizes that met in leaves of at least VOTES trees; a leaf holds LEAF classes at most."""
-    left = leaves.select("path", "tree", F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"))
+def _leaf_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of possible sizes that met in a leaf; a leaf holds LEAF classes at most."""
+    leaves = nodes.where(F.col("members") <= LEAF)
+    left = leaves.select("path", F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"))
     right = leaves.select("path", F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
     met = left.join(right, "path").where((F.col("a") < F.col("b")) & _possible("n_a", "n_b", percent))
-    return met.groupBy("a", "b").agg(F.count_distinct("tree").alias("votes")).where(F.col("votes") >= VOTES).select("a", "b")
+    return met.select("a", "b").distinct()
 
 
-def _popularity(classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cls, popular) of the classes in large nodes: how many of them share its tokens, over all tokens."""
-    crowd = nodes.where(F.col("members") > LEAF).select("cls").distinct()
-    tokens = classes.join(crowd, "cls").select("cls", F.posexplode("tokens").alias("i", "token"))
-    shared = tokens.groupBy("i", "token").agg(F.count("*").alias("n")).where("n > 1")
-    return tokens.join(shared, ["i", "token"]).groupBy("cls").agg(F.sum("n").alias("popular"))
+def _stars(nodes: DataFrame, popular: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): b is the most popular class of a node, a any other of possible size.
 
-
-def _stars(nodes: DataFrame, percent: int) -> DataFrame:
-    """(tree, cls, pivot) for every other class of each node: pivot is the node's most popular class.
-
-    Equally popular ones of a large node take turns by tree.
+    Equally popular ones of a large node take turns by node.
     """
-    turn = F.when(F.col("members") > LEAF, F.xxhash64("cls", "tree")).otherwise(F.col("cls"))
+    named = nodes.join(popular, "cls", "left")
+    turn = F.when(F.col("members") > LEAF, F.xxhash64("cls", "path")).otherwise(F.col("cls"))
     rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles")
-    most = nodes.groupBy("path").agg(F.max(rank).alias("top"))
+    most = named.groupBy("path").agg(F.max(rank).alias("top"))
     near = nodes.join(most, "path").where(F.col("cls") != F.col("top.cls"))
-    return near.where(_possible("n_shingles", "top.n_shingles", percent)).select("tree", "cls", F.col("top.cls").alias("pivot"))
+    return near.where(_possible("n_shingles", "top.n_shingles", percent)).select(F.col("cls").alias("a"), F.col("top.cls").alias("b")).distinct()
+
+
+def _mixed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, cls, n_shingles, members, root) of large nodes whose classes are not all connected yet, written."""
+    placed = nodes.where(F.col("members") > LEAF).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
+    return written(placed.join(mixed, "path"), "mixed")
+
+
+def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of a node's classes that are of possible sizes and not connected yet.
+
+    Squares of about BLOCK classes a side meet, so no task holds a node, whatever its size.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = mixed.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = rows.select("path", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "a"), ("n_shingles", "n_a"), ("root", "root_a"))])
+    right = rows.select("path", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "b"), ("n_shingles", "n_b"), ("root", "root_b"))])
+    apart = (F.col("root_a") < F.col("root_b")) & _possible("n_a", "n_b", percent)
+    return left.join(right, ["path", "i", "j"]).where(apart).select("a", "b").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -235,31 +262,37 @@ def near_duplicates(
     a component of null ids only has none; its rows are kept.
     """
     keep = keep or [doc_id]
-    rows = written(sketches(docs, shingle, text, keep), "sketches")
+    plan = list(zip(DEPTHS, TREES))
+    rows = written(sketches(docs, shingle, text, keep, *plan[0]), "sketches")
     classes = written(
         rows.where(F.col("cls").isNotNull())
         .groupBy("cls")
-        .agg(F.min(doc_id).alias("least_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens")),
+        .agg(F.min(doc_id).alias("least_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("paths").alias("paths")),
         "classes",
     )
-    levels = _nodes(classes.select("cls", "n_shingles", "tokens"))
-    popular = _popularity(classes, levels[0])
-    nodes = written(reduce(DataFrame.unionAll, levels).join(popular, "cls", "left"), "nodes")
-    stars = _stars(nodes, percent).groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg(F.count_distinct("tree").alias("votes"))
-    stars = written(stars.where(F.col("votes") >= VOTES).select("a", "b"), "star-pairs")
-    leaves = written(_leaf_pairs(nodes.where(F.col("members") <= LEAF), percent), "leaf-pairs")
-    ends = stars.unionAll(leaves).select(F.explode(F.array("a", "b")).alias("cls"))
-    sets = written(_sets(docs, ends, shingle, text), "sets")
-    first = _confirmed(stars, sets, percent)
-    # Most leaf pairs share a popular class that both are linked with.
-    near = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
-    more = _confirmed(_apart(leaves, near), sets, percent)
-    roots = components(first.unionAll(more))
+    nodes = _nodes(classes)
+    popular = nodes.where(F.col("members") > LEAF).groupBy("cls").agg(F.sum("members").alias("popular"))
+    sets = written(_sets(docs, nodes, shingle, text), "sets")
+    links = []
+    for i in range(len(plan)):
+        first = _confirmed(written(_stars(nodes, popular, percent), "star-pairs"), sets, percent)
+        # Most leaf pairs share a popular class that both are linked with.
+        near = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
+        links += [first, _confirmed(written(_apart(_leaf_pairs(nodes, percent), near), "leaf-pairs"), sets, percent)]
+        roots = components(reduce(DataFrame.unionAll, links))
+        mixed = _mixed(nodes, roots)
+        if mixed.isEmpty():
+            break
+        if i + 1 < len(plan):
+            nodes = _nodes(written(_deeper(sets, mixed.select("cls").distinct(), *plan[i + 1]), "deeper"))
+        else:
+            links.append(_confirmed(written(_open_pairs(mixed, percent), "open-pairs"), sets, percent))
+            roots = components(reduce(DataFrame.unionAll, links))
 
     ids = classes.select("cls", "least_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component"))
     named = ids.join(least, "root").select("cls", "component").hint("rebalance")
-    out = rows.drop("tokens").join(named, "cls", "left")
+    out = rows.drop("paths").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col(doc_id)).otherwise(F.col("component"))
     return out.select(
         *keep, "n_shingles", "cls", component.alias("component_id"), F.col(doc_id).eqNullSafe(component).alias("kept")

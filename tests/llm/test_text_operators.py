@@ -441,6 +441,26 @@ def test_groups_larger_than_a_leaf(spark, monkeypatch, depths):
     assert got == near_by_brute_force(docs, 3, 80)
 
 
+@pytest.mark.parametrize("depths", [None, (1,)])
+def test_a_large_group_without_a_hub(spark, monkeypatch, depths):
+    # 400 edits of a text that is not there: each is linked with one other at most, and close to all of them.
+    if depths:
+        monkeypatch.setattr(chosen_path, "DEPTHS", depths)
+    monkeypatch.setattr(chosen_path, "BLOCK", 32)
+    rng = random.Random(12)
+    rows = []
+    for i in range(200):
+        places = rng.sample(range(5, 195, 6), 7)
+        for edited in (places[:3], places):
+            words = [f"w{n}" for n in range(200)]
+            for n in edited:
+                words[n] = f"e{i}x{n}"
+            rows.append(" ".join(words))
+    docs = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path.near_duplicates(spark.createDataFrame(docs, DOCS), 5, 80).collect()}
+    assert got == near_by_brute_force(docs, 5, 80)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [*ODD, (9, "same text as null id here"), (None, "same text as null id here"), (None, "alone with no id at all")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(7))
