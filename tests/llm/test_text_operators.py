@@ -461,6 +461,19 @@ def test_a_large_group_without_a_hub(spark, monkeypatch, depths):
     assert got == near_by_brute_force(docs, 5, 80)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_keep_pairs_at_the_threshold(percent):
+    rng = np.random.default_rng(3)
+    for depth in chosen_path.DEPTHS:
+        n = chosen_path.trees(percent, depth)
+        assert (1 - (percent / 100) ** depth) ** n <= 1e-4
+        paths = chosen_path.Paths(depth, n)
+        for _ in range(150):
+            words = rng.integers(0, 1 << 63, 200, np.uint64)
+            alone = 100 - percent
+            assert (paths.of(words[: 200 - alone]) == paths.of(np.r_[words[: 200 - 2 * alone], words[200 - alone :]])).any()
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [*ODD, (9, "same text as null id here"), (None, "same text as null id here"), (None, "alone with no id at all")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(7))
