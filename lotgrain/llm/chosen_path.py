@@ -3,9 +3,9 @@
 1. A text becomes the set of its word shingles; equal sets are one class, represented once.
 2. In each of a number of independent trees a class goes down along minwise tokens (minima of
    random hash functions), as many as the round is deep; classes with the same tokens meet in a node.
-3. In every node each class is paired with the most popular one: popular is a class that many
-   others meet, such as the text that many copies were made from. A large group so
-   costs one comparison for each member, not one for each pair.
+3. In every node each class is paired with the most popular ones of its size band and of the two
+   bands next to it: popular is a class that many others meet, such as the text that many copies
+   were made from. A large group so costs a few comparisons for each member, not one for each pair.
 4. Nodes of at most ``LEAF`` classes are leaves and compared exhaustively: pairs that are not
    linked already.
 5. Classes of larger nodes that are not all connected by then go on to the next round of
@@ -221,15 +221,18 @@ def _leaf_pairs(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(nodes: DataFrame, popular: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): b is the most popular class of a node, a any other of possible size.
+    """Pairs (a, b): b is the most popular class of a size band of a node, a any other class of possible size.
 
+    Sizes of one band are all possible for each other; those of the bands next to it may be.
     Equally popular ones of a large node take turns by node.
     """
-    named = nodes.join(popular, "cls", "left")
+    band = F.floor(F.log("n_shingles") / math.log(100 / percent)) if percent < 100 else F.col("n_shingles")
+    named = nodes.join(popular, "cls", "left").withColumn("band", band)
     turn = F.when(F.col("members") > LEAF, F.xxhash64("cls", "path")).otherwise(F.col("cls"))
     rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles")
-    most = named.groupBy("path").agg(F.max(rank).alias("top"))
-    near = nodes.join(most, "path").where(F.col("cls") != F.col("top.cls"))
+    most = named.groupBy("path", "band").agg(F.max(rank).alias("top"))
+    bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    near = nodes.withColumn("band", band).select("path", "cls", "n_shingles", bands).join(most, ["path", "band"]).where(F.col("cls") != F.col("top.cls"))
     return near.where(_possible("n_shingles", "top.n_shingles", percent)).select(F.col("cls").alias("a"), F.col("top.cls").alias("b")).distinct()
 
 

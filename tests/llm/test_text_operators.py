@@ -474,6 +474,17 @@ def test_trees_keep_pairs_at_the_threshold(percent):
             assert (paths.of(words[: 200 - alone]) == paths.of(np.r_[words[: 200 - 2 * alone], words[200 - alone :]])).any()
 
 
+def test_every_size_band_of_a_node_has_a_pivot(spark):
+    # The most popular class is far too long for the others, which differ in size as well.
+    sizes = {0: 5000, **{i: 100 for i in range(1, 20)}, **{i: 115 for i in range(20, 40)}}
+    nodes = spark.createDataFrame([(7, c, n, 40) for c, n in sizes.items()], "path long, cls long, n_shingles long, members long")
+    popular = spark.createDataFrame([(c, 900 if c == 0 else 40) for c in sizes], "cls long, popular long")
+    pairs = [(r.a, r.b) for r in chosen_path._stars(nodes, popular, 80).collect()]
+    assert all(100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b]) for a, b in pairs)
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert {r.cls: r.root for r in chosen_path.components(links).collect()} == {c: 1 for c in sizes if c}
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [*ODD, (9, "same text as null id here"), (None, "same text as null id here"), (None, "alone with no id at all")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(7))
