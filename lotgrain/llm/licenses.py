@@ -5,7 +5,8 @@ same hashes in a few license templates (a fixed list, so its side is broadcast).
 for its diagonal, the document position minus the template position: an unchanged copy of a
 template puts all votes on one diagonal, and an inserted or missing word moves the rest to a
 neighbouring one. Votes are counted per diagonal, diagonals at most ``DRIFT`` apart whose
-stretches lie close together merge into one span, and each span is verified word by word.
+stretches lie close together merge into one span. Every hit is verified on its two words, and a
+span of a wording has to hold the pairs that tell it from other wordings.
 """
 
 from __future__ import annotations
@@ -35,6 +36,21 @@ WORDINGS = [
     ("all rights reserved", "all-rights-reserved"),
 ]
 SHARE = 0.75
+
+# The words of a wording that tell it from others; a span without one of these pairs is none of it.
+DECIDING = {
+    "apache-2.0": ["apache license", "version 2"],
+    "mit-notice": ["mit license"],
+    "mit-grant": ["hereby granted"],
+    "gpl-3": ["gnu general", "general public", "version 3"],
+    "gpl-2": ["gnu general", "general public", "version 2"],
+    "bsd": ["are permitted"],
+    "mpl": ["mozilla public"],
+    "cc-by": ["cc by", "by 4"],
+    "cc-by-sa": ["cc by", "by sa", "sa 4"],
+    "cc-by-nc": ["cc by", "by nc", "nc 4"],
+    "all-rights-reserved": ["all rights", "rights reserved"],
+}
 #: Diagonals of one span differ by at most this many words; so do the gaps between its stretches.
 DRIFT = 2
 
@@ -55,25 +71,28 @@ def pair_hashes(words: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, is_base, template_words, t_pos, pair) for every word pair of every template."""
-    rows = [(i, label, kind, phrase) for i, (phrase, label, kind) in enumerate(
-        [(p, x, True) for p, x in BASE.items()] + [(p, x, False) for p, x in WORDINGS]
-    )]
-    named = spark.createDataFrame(rows, "template int, label string, is_base boolean, phrase string")
-    words = F.split("phrase", " ")
-    return named.select(
-        "template", "label", "is_base", words.alias("template_words"), F.posexplode(pair_hashes(words)).alias("t_pos", "pair")
-    )
+    """(template, label, is_base, template_words, deciding, t_pos, pair) for every word pair of every template.
+
+    ``deciding`` has the positions of the pairs that a span must hold.
+    """
+    rows = []
+    for i, (phrase, label, kind) in enumerate([(p, x, True) for p, x in BASE.items()] + [(p, x, False) for p, x in WORDINGS]):
+        words = phrase.split()
+        pairs = [" ".join(words[k : k + 2]) for k in range(len(words) - 1)]
+        rows.append((i, label, kind, words, [] if kind else [pairs.index(p) for p in DECIDING[label]]))
+    named = spark.createDataFrame(rows, "template int, label string, is_base boolean, template_words array<string>, deciding array<int>")
+    return named.select("*", F.posexplode(pair_hashes(F.col("template_words"))).alias("t_pos", "pair"))
 
 
 def _verified(spans: DataFrame) -> DataFrame:
-    """Exact words for base phrases, a sufficient share of the word pairs for wordings."""
+    """Exact words for base phrases, a sufficient share of the word pairs and all deciding ones for wordings."""
     length = F.size("template_words")
     exact = F.col("is_base") & (F.col("span_words") == F.col("template_words"))
+    decided = F.size(F.array_except("deciding", "found")) == 0
     return (
-        spans.withColumn("share", F.col("pairs_found") / (length - 1))
-        .where(exact | (~F.col("is_base") & (F.col("share") >= SHARE)))
-        .drop("span_words", "template_words")
+        spans.withColumn("share", F.size("found") / (length - 1))
+        .where(exact | (~F.col("is_base") & (F.col("share") >= SHARE) & decided))
+        .drop("span_words", "template_words", "deciding", "found")
     )
 
 
@@ -87,14 +106,15 @@ def find_licenses(docs: DataFrame, key: list[str], text: str = "text") -> DataFr
     words = docs.select(*key, F.xxhash64(text).alias("_text"), words_of(text).alias("_words"))
     pairs = words.select(*key, "_text", "_words", F.posexplode(pair_hashes(F.col("_words"))).alias("d_pos", "pair"))
     known = F.broadcast(templates(docs.sparkSession))
-    hits = pairs.join(known, "pair").select(
-        *key, "_text", "template", "label", "is_base", "template_words", "t_pos", "d_pos",
+    same_words = F.slice("_words", F.col("d_pos") + 1, 2) == F.slice("template_words", F.col("t_pos") + 1, 2)
+    hits = pairs.join(known, "pair").where(same_words).select(
+        *key, "_text", "template", "label", "is_base", "template_words", "deciding", "t_pos", "d_pos",
         (F.col("d_pos") - F.col("t_pos")).alias("diagonal"),
         # As many words as a template has, from where this hit puts its start: for verification.
         F.slice("_words", F.greatest(F.col("d_pos") - F.col("t_pos") + 1, F.lit(1)), F.size("template_words")).alias("span_words"),
     )
     by = [*key, "_text", "template"]
-    kept = ["label", "is_base", "template_words"]
+    kept = ["label", "is_base", "template_words", "deciding"]
     votes = hits.groupBy(*by, "diagonal").agg(
         *[F.any_value(c).alias(c) for c in kept],
         F.collect_set("t_pos").alias("votes"),
@@ -117,7 +137,7 @@ def find_licenses(docs: DataFrame, key: list[str], text: str = "text") -> DataFr
         .groupBy(*by, "span")
         .agg(
             *[F.any_value(c).alias(c) for c in kept],
-            F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("pairs_found"),
+            F.array_distinct(F.flatten(F.collect_list("votes"))).alias("found"),
             F.min("start").alias("first_word"),
             (F.max("end") + 1).alias("last_word"),
             F.any_value("span_words").alias("span_words"),

@@ -64,6 +64,23 @@ def test_license_wordings_survive_a_change(spark):
     assert r.labels == "apache,apache-2.0" and r.n_base == 1 and r.first_word == 6
 
 
+def test_license_wordings_are_told_apart(spark):
+    gpl = "This work is licensed under the GNU {} License version {}"
+    want = {
+        gpl.format("General Public", 2): "gpl,gpl-2",
+        gpl.format("General Public", 3): "gpl,gpl-3",
+        gpl.format("Lesser General Public", 3): "gpl",
+        "licensed under CC BY 4.0": "cc-by",
+        "licensed under CC BY-SA 4.0": "cc-by-sa",
+        "licensed under CC BY-NC 4.0": "cc-by-nc",
+        "licensed under CC BY-NC-SA 4.0": "",
+        "this source code form is subject to the terms of the eclipse public license": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), DOCS)
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_license_odd_rows(spark):
     got = licenses.scan_licenses(spark.createDataFrame([*ODD, (4, "mit license"), (None, "mit license")], DOCS)).collect()
     assert len(got) == len(ODD) + 2
