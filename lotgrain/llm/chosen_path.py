@@ -7,18 +7,24 @@
    bands next to it: popular is a class that many others meet, such as the text that many copies
    were made from. A large group so costs a few comparisons for each member, not one for each pair.
 4. Nodes of at most ``LEAF`` classes are leaves and compared exhaustively: pairs that are not
-   linked already.
-5. Classes of larger nodes that are not all connected by then go on to the next round of
-   ``DEPTHS``, with new and deeper trees. What is still large and not connected after the last is
-   compared exhaustively as well: all pairs of different components, in squares of blocks.
-
-The trees of a round share no token, and their number follows from the threshold and the depth: a
-pair at the threshold misses all of them with a probability of ``LOSS`` at most, a closer one
-with less (at 0.80 four tokens deep 18 trees, eight 51, twelve 130; at 0.85 13, 29 and 61). One
-meeting is enough.
+   connected already.
+5. Classes of larger nodes that are not all connected by then branch further: they go on to the
+   next of ``ROUNDS``, with new and deeper trees, whose nodes are smaller. This goes on as long as
+   a further round is cheaper than comparing what is left; then pairs of different components
+   are compared in all nodes that are still large, in squares of blocks.
+
+The trees of a round are independent, and their number follows from threshold and depth: a pair at
+the threshold misses all trees of a round with the probability stated there at most, a closer
+one with less (at 0.80 four tokens deep 18 trees, eight 51, twelve 97, twenty 397; at 0.85 13, 29,
+45 and 117). One meeting is enough. A pair whose texts lie in large nodes of one round must meet
+again in the next, so all in all it is lost with the probability of the last round it goes
+through: 1e-2 at most for a pair at the threshold within a large group of texts that are almost,
+but not quite, alike; 1e-4 elsewhere.
 
 Every link is confirmed on the full sets. Nothing is capped: two similar sets that meet in a node
-are compared there, or connected already, or both in the next round. Components come from repeated
+are compared there, or connected already, or both in the next round. What the group of almost
+alike texts costs grows by a power below two: at a similarity s below the threshold t that of
+1 + log t / log s. Components come from repeated
 minimum labels, with a table written to the shared folder after each round; nothing but totals
 comes to the driver.
 """
@@ -41,10 +47,13 @@ from lotgrain.llm.windows import Powers, window_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
-#: How many tokens a path has in each round.
-DEPTHS = (4, 8, 12)
-#: Two sets of just the similarity asked for miss each other in all trees of a round with this probability at most.
-LOSS = 1e-4
+#: How many tokens a path has in each round, and with which probability two sets of just the similarity
+#: asked for miss each other in all of its trees at most.
+ROUNDS = ((4, 1e-4), (8, 1e-4), (12, 1e-3), (20, 1e-2), (28, 1e-2), (40, 1e-2), (56, 1e-2))
+#: To compare two sets costs about as much as so many rows of (path, class) of a further round.
+PAIR_ROWS = 8
+#: Trees draw their tokens from at most so many random hash functions.
+POOL = 1024
 LEAF = 16
 #: A node that is still large after the last round is compared in squares of about this many classes a side.
 BLOCK = 256
@@ -69,29 +78,36 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def trees(percent: int, depth: int) -> int:
-    """How many independent trees of a depth keep the loss of a pair at the threshold within LOSS."""
+def trees(percent: int, depth: int, loss: float) -> int:
+    """How many independent trees of a depth keep the loss of a pair at the threshold within ``loss``."""
     together = (percent / 100) ** depth
-    return math.ceil(math.log(LOSS) / math.log1p(-together)) if together < 1 else 1
+    return math.ceil(math.log(loss) / math.log1p(-together)) if together < 1 else 1
 
 
 class Paths:
-    """The paths of sets in a number of trees, each by tokens of its own: minima of random hash functions."""
+    """The paths of sets in a number of trees, each by tokens of its own: minima of random hash functions.
+
+    Many deep trees share a pool of functions, of which each tree has its own choice: two sets
+    agree on much the same share of a pool as they would on functions of each tree's own.
+    """
 
     def __init__(self, depth: int, n_trees: int) -> None:
         rng = np.random.default_rng(1000 * depth + 11)
+        n = n_trees * depth
         self.shape = (n_trees, depth)
-        self.xor = rng.integers(0, 1 << 63, n_trees * depth, np.uint64)
-        self.factor = rng.integers(0, 1 << 63, n_trees * depth, np.uint64) | np.uint64(1)
+        self.chosen = np.arange(n) if n <= POOL else np.concatenate([rng.choice(POOL, depth, replace=False) for _ in range(n_trees)])
+        n = min(n, POOL)
+        self.xor = rng.integers(0, 1 << 63, n, np.uint64)
+        self.factor = rng.integers(0, 1 << 63, n, np.uint64) | np.uint64(1)
         self.start = rng.integers(0, 1 << 63, n_trees, np.uint64)
-        self.rows = max(64, (1 << 18) // (n_trees * depth))
+        self.rows = max(64, (1 << 18) // n)
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self.xor), 0xFFFFFFFF, np.uint64)
         for begin in range(0, len(shingles), self.rows):
             some = shingles[begin : begin + self.rows, None]
             least = np.minimum(least, (((some ^ self.xor) * self.factor) >> np.uint64(32)).min(axis=0))
-        path, tokens = self.start, least.reshape(self.shape)
+        path, tokens = self.start, least[self.chosen].reshape(self.shape)
         for i in range(self.shape[1]):
             path = (path ^ tokens[:, i]) * _MIX
             path = path ^ (path >> np.uint64(29))
@@ -211,17 +227,23 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with the root of each class so far, without nodes whose classes are all connected, written."""
+    placed = nodes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    open_ = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
+    return written(placed.join(open_, "path"), "open-nodes")
+
+
 def _leaf_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of possible sizes that met in a leaf; a leaf holds LEAF classes at most."""
+    """Pairs (a, b) of possible sizes and of different roots that met in a leaf; a leaf holds LEAF classes at most."""
     leaves = nodes.where(F.col("members") <= LEAF)
-    left = leaves.select("path", F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = leaves.select("path", F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"))
-    met = left.join(right, "path").where((F.col("a") < F.col("b")) & _possible("n_a", "n_b", percent))
-    return met.select("a", "b").distinct()
+    left, right = (leaves.select("path", F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _possible("n_a", "n_b", percent)
+    return left.join(right, "path").where(apart).select("a", "b").distinct()
 
 
 def _stars(nodes: DataFrame, popular: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): b is the most popular class of a size band of a node, a any other class of possible size.
+    """Pairs (a, b): b is the most popular class of a size band of a node, a any class of possible size and another root.
 
     Sizes of one band are all possible for each other; those of the bands next to it may be.
     Equally popular ones of a large node take turns by node.
@@ -229,27 +251,26 @@ def _stars(nodes: DataFrame, popular: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log("n_shingles") / math.log(100 / percent)) if percent < 100 else F.col("n_shingles")
     named = nodes.join(popular, "cls", "left").withColumn("band", band)
     turn = F.when(F.col("members") > LEAF, F.xxhash64("cls", "path")).otherwise(F.col("cls"))
-    rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles")
+    rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles", "root")
     most = named.groupBy("path", "band").agg(F.max(rank).alias("top"))
     bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    near = nodes.withColumn("band", band).select("path", "cls", "n_shingles", bands).join(most, ["path", "band"]).where(F.col("cls") != F.col("top.cls"))
-    return near.where(_possible("n_shingles", "top.n_shingles", percent)).select(F.col("cls").alias("a"), F.col("top.cls").alias("b")).distinct()
+    near = nodes.withColumn("band", band).select("path", "cls", "n_shingles", "root", bands).join(most, ["path", "band"])
+    return near.where(F.col("root") != F.col("top.root")).where(_possible("n_shingles", "top.n_shingles", percent)).select(F.col("cls").alias("a"), F.col("top.cls").alias("b")).distinct()
 
 
-def _mixed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(path, cls, n_shingles, members, root) of large nodes whose classes are not all connected yet, written."""
-    placed = nodes.where(F.col("members") > LEAF).join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
-    return written(placed.join(mixed, "path"), "mixed")
+def _n_open(nodes: DataFrame) -> int:
+    """How many pairs of different roots the nodes hold."""
+    alike = nodes.groupBy("path", "root").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"))
+    return alike.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")).first()["pairs"] or 0
 
 
-def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of a node's classes that are of possible sizes and not connected yet.
 
     Squares of about BLOCK classes a side meet, so no task holds a node, whatever its size.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = mixed.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = nodes.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     left = rows.select("path", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "a"), ("n_shingles", "n_a"), ("root", "root_a"))])
     right = rows.select("path", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "b"), ("n_shingles", "n_b"), ("root", "root_b"))])
     apart = (F.col("root_a") < F.col("root_b")) & _possible("n_a", "n_b", percent)
@@ -277,7 +298,7 @@ def near_duplicates(
     a component of null ids only has none; its rows are kept.
     """
     keep = keep or [doc_id]
-    plan = [(depth, trees(percent, depth)) for depth in DEPTHS]
+    plan = [(depth, trees(percent, depth, loss)) for depth, loss in ROUNDS]
     rows = written(sketches(docs, shingle, text, keep, *plan[0]), "sketches")
     classes = written(
         rows.where(F.col("cls").isNotNull())
@@ -285,7 +306,7 @@ def near_duplicates(
         .agg(F.min(doc_id).alias("least_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("paths").alias("paths")),
         "classes",
     )
-    nodes = _nodes(classes)
+    nodes = _nodes(classes).withColumn("root", F.col("cls"))
     popular = nodes.where(F.col("members") > LEAF).groupBy("cls").agg(F.sum("members").alias("popular"))
     sets = written(_sets(docs, nodes, shingle, text), "sets")
     links = []
@@ -295,14 +316,16 @@ def near_duplicates(
         near = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
         links += [first, _confirmed(written(_apart(_leaf_pairs(nodes, percent), near), "leaf-pairs"), sets, percent)]
         roots = components(reduce(DataFrame.unionAll, links))
-        mixed = _mixed(nodes, roots)
-        if mixed.isEmpty():
+        large = _rooted(nodes.where(F.col("members") > LEAF).drop("root"), roots)
+        if large.isEmpty():
             break
-        if i + 1 < len(plan):
-            nodes = _nodes(written(_deeper(sets, mixed.select("cls").distinct(), *plan[i + 1]), "deeper"))
+        if i + 1 < len(plan) and PAIR_ROWS * _n_open(large) > large.select("cls").distinct().count() * plan[i + 1][1]:
+            deeper = written(_deeper(sets, large.select("cls").distinct(), *plan[i + 1]), "deeper")
+            nodes = _rooted(_nodes(deeper), roots)
         else:
-            links.append(_confirmed(written(_open_pairs(mixed, percent), "open-pairs"), sets, percent))
+            links.append(_confirmed(written(_open_pairs(large, percent), "open-pairs"), sets, percent))
             roots = components(reduce(DataFrame.unionAll, links))
+            break
 
     ids = classes.select("cls", "least_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("least_id").alias("component"))
