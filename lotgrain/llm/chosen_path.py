@@ -153,10 +153,13 @@ def _deeper(sets: DataFrame, classes: DataFrame, depth: int, n_trees: int) -> Da
 
 
 def _nodes(classes: DataFrame) -> DataFrame:
-    """(path, cls, n_shingles, members) of the nodes of more than one class, written."""
-    rows = classes.select("cls", "n_shingles", F.explode("paths").alias("path"))
-    sizes = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-    return written(rows.join(sizes, "path"), "nodes")
+    """(path, cls, n_shingles, root, members) of the nodes whose classes are not all connected, written.
+
+    ``classes`` has the root of each class so far: itself in the first round.
+    """
+    rows = classes.select("cls", "n_shingles", "root", F.explode("paths").alias("path"))
+    sizes = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return written(rows.join(sizes.where("low != high").select("path", "members"), "path"), "nodes")
 
 
 def _possible(a: str, b: str, percent: int):
@@ -227,11 +230,11 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes with the root of each class so far, without nodes whose classes are all connected, written."""
-    placed = nodes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_ = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
-    return written(placed.join(open_, "path"), "open-nodes")
+def _still_open(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The large nodes with the roots known now, without those whose classes are all connected, written."""
+    placed = nodes.where(F.col("members") > LEAF).drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
+    return written(placed.join(mixed, "path", "left_semi"), "open-nodes")
 
 
 def _leaf_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -306,7 +309,7 @@ def near_duplicates(
         .agg(F.min(doc_id).alias("least_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("paths").alias("paths")),
         "classes",
     )
-    nodes = _nodes(classes).withColumn("root", F.col("cls"))
+    nodes = _nodes(classes.withColumn("root", F.col("cls")))
     popular = nodes.where(F.col("members") > LEAF).groupBy("cls").agg(F.sum("members").alias("popular"))
     sets = written(_sets(docs, nodes, shingle, text), "sets")
     links = []
@@ -316,12 +319,12 @@ def near_duplicates(
         near = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
         links += [first, _confirmed(written(_apart(_leaf_pairs(nodes, percent), near), "leaf-pairs"), sets, percent)]
         roots = components(reduce(DataFrame.unionAll, links))
-        large = _rooted(nodes.where(F.col("members") > LEAF).drop("root"), roots)
+        large = _still_open(nodes, roots)
         if large.isEmpty():
             break
         if i + 1 < len(plan) and PAIR_ROWS * _n_open(large) > large.select("cls").distinct().count() * plan[i + 1][1]:
             deeper = written(_deeper(sets, large.select("cls").distinct(), *plan[i + 1]), "deeper")
-            nodes = _rooted(_nodes(deeper), roots)
+            nodes = _nodes(deeper.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
         else:
             links.append(_confirmed(written(_open_pairs(large, percent), "open-pairs"), sets, percent))
             roots = components(reduce(DataFrame.unionAll, links))
