@@ -42,12 +42,12 @@ HEAD_WORDS = 200_000
 ADDED = 0.1
 #: Slices of sixteen parts that one step of Baum-Welch sees; together they are all documents.
 STEPS = [(0, 1), (1, 2), (2, 3), (3, 5), (5, 7), (7, 10), (10, 16)]
-#: The E-step works on stretches of at most so many tokens; scoring is exact for any length.
-STRETCH = 512
-#: Longer sequences are scored in pieces of this length, as products of matrices.
+#: Longer sequences are taken in pieces of this length; products of matrices carry the state across their borders,
+#: so that scores and expected counts are those of the whole sequence.
 PIECE = 2_048
-#: Tokens whose state probabilities a task holds at a time in the E-step.
-HELD = 1 << 19
+STRETCH = 1_024
+#: Tokens whose state probabilities a task holds at a time.
+HELD = 1 << 18
 COUNTED = 300_000
 
 END = b""  # no word is empty
@@ -98,22 +98,22 @@ class Vocabulary:
     def __post_init__(self):
         n = len(self.head)
         own = np.array([word_class(w) for w in self.head], np.int64).reshape(-1)
-        self.symbol = np.where(np.arange(n) < self.symbols, np.arange(n), self.symbols + own)
+        self.symbol = np.where(np.arange(n) < self.symbols, np.arange(n), self.symbols + own).astype(np.int32)
         self.log_count = np.log10(self.counts + ADDED)
         self.log_class = np.log10(self.class_total + ADDED * (self.class_distinct + 1))
         self.n_symbols = self.symbols + CLASSES
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of head words; a rarer word has -1 minus its class."""
-        found = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
+        found = np.fromiter(map(self.head.get, words, repeat(-1)), np.int32, len(words))
         for i in np.flatnonzero(found < 0).tolist():
             found[i] = -1 - word_class(words[i])
         return found
 
     def symbols_of(self, numbers: np.ndarray) -> np.ndarray:
         if not len(self.symbol):
-            return self.symbols - 1 - numbers
-        return np.where(numbers >= 0, self.symbol[np.maximum(numbers, 0)], self.symbols - 1 - numbers)
+            return np.int32(self.symbols - 1) - numbers
+        return np.where(numbers >= 0, self.symbol[np.maximum(numbers, 0)], np.int32(self.symbols - 1) - numbers)
 
 
 def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, symbols: int = SYMBOLS) -> Vocabulary:
@@ -175,26 +175,30 @@ class Model:
         out[long_] += self._long(symbols, begins[long_] + 1, sizes[long_] - 1, alpha[long_])
         return out
 
-    def _long(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, alpha: np.ndarray) -> np.ndarray:
-        """Matrices of all pieces of all sequences at once, then each sequence's product from the left."""
+    def _products(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece the product of step and emission over its symbols, scaled, and log10 of the scale."""
         states = len(self.start)
-        pieces = -(-sizes // PIECE)
-        owner = np.repeat(np.arange(len(sizes)), pieces)
-        place = run_lengths(pieces) * PIECE
-        left = np.minimum(PIECE, sizes[owner] - place)
-        order = np.argsort(-left, kind="stable")
-        at = (begins[owner] + place)[order]
-        now = np.broadcast_to(np.eye(states), (len(owner), states, states)).copy()
-        sums, alive = np.zeros(len(owner)), len(owner)
-        for t in range(int(left.max(initial=0))):
-            alive = int(np.searchsorted(-left[order[:alive]], -t, side="left"))
+        order = np.argsort(-sizes, kind="stable")
+        at, left = begins[order], -sizes[order]
+        now = np.broadcast_to(np.eye(states), (len(order), states, states)).copy()
+        sums, alive = np.zeros(len(order)), len(order)
+        for t in range(int(sizes.max(initial=0))):
+            alive = int(np.searchsorted(left[:alive], -t, side="left"))
             part = (now[:alive] @ self.step) * self.emit[symbols[at[:alive] + t]][:, None, :]
             scale = part.max(axis=(1, 2))
             now[:alive] = part / scale[:, None, None]
             sums[:alive] += np.log10(scale)
-        logs = np.bincount(owner[order], sums, len(sizes))
-        matrices = np.empty_like(now)
-        matrices[order] = now
+        matrices, logs = np.empty_like(now), np.empty_like(sums)
+        matrices[order], logs[order] = now, sums
+        return matrices, logs
+
+    def _long(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        """Matrices of all pieces of all sequences at once, then each sequence's product from the left."""
+        pieces = -(-sizes // PIECE)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        place = run_lengths(pieces) * PIECE
+        matrices, sums = self._products(symbols, begins[owner] + place, np.minimum(PIECE, sizes[owner] - place))
+        logs = np.bincount(owner, sums, len(sizes))
         for doc, matrix in zip(owner.tolist(), matrices, strict=True):
             after = alpha[doc] @ matrix
             scale = after.sum()
@@ -202,41 +206,80 @@ class Model:
             logs[doc] += np.log10(scale)
         return logs
 
-    def expected(self, symbols: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts (starts, steps, emissions) of sequences; ``first`` marks those that begin a document."""
+    def expected(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts (starts, steps, emissions) of whole sequences that lie one behind the other.
+
+        Sequences are cut into pieces of STRETCH. Products over the pieces give the forward
+        vector before and the backward vector behind each of them; with these, pieces are
+        taken in batches of HELD tokens, however long a sequence is.
+        """
         states = len(self.start)
-        order = np.argsort(-sizes, kind="stable")
-        sizes, first = sizes[order], first[order]
-        begins = (np.cumsum(np.bincount(order, sizes, len(order)).astype(np.int64)) - np.bincount(order, sizes, len(order)).astype(np.int64))[order]
+        pieces = -(-sizes // STRETCH)
+        place = run_lengths(pieces) * STRETCH
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        begins = (np.cumsum(sizes) - sizes)[owner] + place
+        lengths = np.minimum(STRETCH, sizes[owner] - place)
+        first = place == 0
+        # Before a piece: the state distribution at the token ahead of it. Behind it: the likelihood of the rest.
+        ahead, behind = np.zeros((len(owner), states)), np.ones((len(owner), states))
+        cut = np.flatnonzero(pieces[owner] > 1)
+        if len(cut):
+            # A sequence's first symbol is entered through the start, not through a step.
+            skip = first[cut].astype(np.int64)
+            matrices = dict(zip(cut.tolist(), self._products(symbols, begins[cut] + skip, lengths[cut] - skip)[0], strict=True))
+            now = self.start
+            for i in cut.tolist():
+                if first[i]:
+                    now = self.start * self.emit[symbols[begins[i]]]
+                else:
+                    ahead[i] = now
+                now = now @ matrices[i]
+                now = now / now.sum()
+            for i in reversed(cut.tolist()):
+                if not first[i]:
+                    back = matrices[i] @ behind[i]
+                    behind[i - 1] = back / back.max()
+        out = [np.zeros(states), np.zeros((states, states)), np.zeros((len(self.emit), states))]
+        order = np.argsort(-lengths, kind="stable")
+        ends = np.cumsum(lengths[order])
+        low = 0
+        while low < len(order):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + HELD, side="right")))
+            some = order[low:high]
+            for total, part in zip(out, self._batch(symbols, begins[some], lengths[some], first[some], ahead[some], behind[some]), strict=True):
+                total += part
+            low = high
+        return out[0], out[1] * self.step, out[2]
+
+    def _batch(self, symbols, begins, sizes, first, ahead, behind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, unscaled steps and emissions of pieces, longest first."""
         longest = int(sizes[0])
         alive = np.searchsorted(-sizes, -np.arange(longest), side="left")
         offset = np.r_[0, np.cumsum(alive)]
         sym = np.concatenate([symbols[begins[:n] + t] for t, n in enumerate(alive.tolist())])
         emit = self.emit[sym]
-        alphas, scales = np.empty((len(sym), states)), np.empty(len(sym))
-        settled = np.full(states, 1 / states)
-        for _ in range(20):
-            settled = settled @ self.step
-        now = np.where(first[:, None], self.start, settled)
+        alphas, scales = np.empty_like(emit), np.empty(len(sym))
+        now = np.where(first[:, None], self.start, ahead @ self.step)
         for t, n in enumerate(alive.tolist()):
             a, b = offset[t], offset[t + 1]
             now = (now[:n] if t == 0 else now[:n] @ self.step) * emit[a:b]
             scales[a:b] = now.sum(axis=1)
             now /= scales[a:b, None]
             alphas[a:b] = now
-        gammas = np.empty_like(alphas)
-        steps = np.zeros((states, states))
-        beta = np.ones((len(sizes), states))
+        beta = behind / (alphas[offset[sizes - 1] + np.arange(len(sizes))] * behind).sum(axis=1, keepdims=True)
+        steps = np.zeros_like(self.step)
         for t in range(longest - 1, -1, -1):
             a, b, n = offset[t], offset[t + 1], alive[t]
-            gammas[a:b] = alphas[a:b] * beta[:n]
+            weighted = emit[a:b] * beta[:n] / scales[a:b, None]
+            emit[a:b] = alphas[a:b] * beta[:n]  # from here on the state probabilities
             if t:
-                weighted = emit[a:b] * beta[:n] / scales[a:b, None]
                 steps += alphas[offset[t - 1] : offset[t - 1] + n].T @ weighted
                 beta[:n] = weighted @ self.step.T
-        gammas /= gammas.sum(axis=1, keepdims=True)
-        emissions = np.stack([np.bincount(sym, gammas[:, k], len(self.emit)) for k in range(states)], axis=1)
-        return gammas[: len(sizes)][first].sum(axis=0), steps * self.step, emissions
+            else:
+                steps += ahead[~first].T @ weighted[~first]
+        emit /= emit.sum(axis=1, keepdims=True)
+        emissions = np.stack([np.bincount(sym, emit[:, k], len(self.emit)) for k in range(len(self.start))], axis=1)
+        return emit[: len(sizes)][first].sum(axis=0), steps, emissions
 
 
 def _expected_counts(docs: DataFrame, words: Vocabulary, model: Model) -> np.ndarray:
@@ -248,25 +291,22 @@ def _expected_counts(docs: DataFrame, words: Vocabulary, model: Model) -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = shared.value, 0.0
         parts: list[np.ndarray] = []
-        sizes: list[int] = []
-        first: list[bool] = []
+        held = 0
 
         def add() -> None:
-            nonlocal total
-            found = model.expected(np.concatenate(parts), np.array(sizes), np.array(first))
+            nonlocal total, held
+            found = model.expected(np.concatenate(parts), np.array([len(p) for p in parts]))
             total = total + np.concatenate([x.ravel() for x in found])
-            parts.clear(), sizes.clear(), first.clear()
+            parts.clear()
+            held = 0
 
         for _, texts in slices(batches, "text"):
             for value in texts:
-                symbols = words.symbols_of(words.numbers(tokens(value)))
-                for begin in range(0, len(symbols), STRETCH):
-                    parts.append(symbols[begin : begin + STRETCH])
-                    sizes.append(len(parts[-1]))
-                    first.append(begin == 0)
-                    if len(sizes) * STRETCH > 2 * HELD or (len(sizes) % 64 == 0 and sum(sizes) > HELD):
-                        add()
-        if sizes:
+                parts.append(words.symbols_of(words.numbers(tokens(value))))
+                held += len(parts[-1])
+                if held > HELD:
+                    add()
+        if parts:
             add()
         if not isinstance(total, float):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], schema=schema)
@@ -324,25 +364,31 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, model: Model, t
     def make():
         words = shared.value
 
-        def work(texts, _):
-            numbers, rare = [], []
-            for text in texts:
-                own = tokens(text)
-                numbers.append(words.numbers(own))
-                rare.append(Counter(own[i] for i in np.flatnonzero(numbers[-1] < 0).tolist()))
+        def block(numbers: list[np.ndarray]) -> list[np.ndarray]:
             sizes = np.array([len(n) for n in numbers])
             flat = np.concatenate(numbers)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
+            owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             symbols = words.symbols_of(flat)
+            scores = model.forward(symbols, sizes)
             is_head = flat >= 0
-            in_class = symbols >= words.symbols
             logs = words.log_count[np.maximum(flat, 0)] * is_head if len(words.log_count) else np.zeros(len(flat))
-            class_norm = np.where(in_class, words.log_class[np.maximum(symbols - words.symbols, 0)], 0.0)
-            per_doc = lambda x: np.bincount(owner, x, len(sizes))
-            return [
-                sizes, per_doc(is_head).astype(np.int64), per_doc(logs), per_doc(np.where(in_class, logs, 0.0) - class_norm),
-                model.forward(symbols, sizes), [list(r) for r in rare], [list(r.values()) for r in rare],
-            ]
+            known, head_log = np.bincount(owner, is_head, len(sizes)), np.bincount(owner, logs, len(sizes))
+            in_class = np.flatnonzero(symbols >= words.symbols)
+            logs = logs[in_class] - words.log_class[symbols[in_class] - words.symbols]
+            return [sizes, known.astype(np.int64), head_log, np.bincount(owner[in_class], logs, len(sizes)), scores]
+
+        def work(texts, _):
+            done, numbers, rare, held = [], [], [], 0
+            for i, text in enumerate(texts):
+                own = tokens(text)
+                numbers.append(words.numbers(own))
+                rare.append(Counter(own[i] for i in np.flatnonzero(numbers[-1] < 0).tolist()))
+                held += len(own)
+                del own
+                if held > HELD or i + 1 == len(texts):
+                    done.append(block(numbers))
+                    numbers, held = [], 0
+            return [*map(np.concatenate, zip(*done, strict=True)), [list(r) for r in rare], [list(r.values()) for r in rare]]
 
         return work
 

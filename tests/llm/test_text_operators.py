@@ -142,7 +142,7 @@ def test_forward_and_expected_counts_match_enumeration():
         logs.append(math.log10(total))
     flat, sizes = np.concatenate(sequences), np.array([len(s) for s in sequences])
     assert np.allclose(model.forward(flat, sizes), logs)
-    for got, want in zip(model.expected(flat, sizes, np.ones(3, bool)), (starts, steps, emissions), strict=True):
+    for got, want in zip(model.expected(flat, sizes), (starts, steps, emissions), strict=True):
         assert np.allclose(got, want)
 
 
@@ -158,6 +158,32 @@ def test_long_sequences_in_pieces_match_steps():
         assert math.isclose(model.forward(s, np.array([n]))[0], log + math.log10(alpha.sum()), rel_tol=1e-9)
 
 
+def test_expected_counts_of_long_sequences_match_the_uncut_recursion(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = hmm.Model(np.array([0.5, 0.3, 0.2]), rng.dirichlet([3, 1, 1], 3), rng.dirichlet([1] * 5, 3).T.copy())
+    sequences = [rng.integers(0, 5, n) for n in (5000, 1, hmm.STRETCH, hmm.STRETCH + 1, 3 * hmm.STRETCH, 70, 2)]
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+    for s in sequences:
+        alphas, betas, scales = np.empty((len(s), 3)), np.ones((len(s), 3)), np.empty(len(s))
+        for t, x in enumerate(s):
+            now = (model.start if t == 0 else alphas[t - 1] @ model.step) * model.emit[x]
+            scales[t] = now.sum()
+            alphas[t] = now / scales[t]
+        for t in range(len(s) - 2, -1, -1):
+            betas[t] = model.step @ (model.emit[s[t + 1]] * betas[t + 1]) / scales[t + 1]
+        gammas = alphas * betas
+        want[0] += gammas[0]
+        for t, x in enumerate(s):
+            want[2][x] += gammas[t]
+            if t:
+                want[1] += np.outer(alphas[t - 1], model.emit[x] * betas[t]) * model.step / scales[t]
+    for held in (hmm.HELD, 1500):
+        monkeypatch.setattr(hmm, "HELD", held)
+        got = model.expected(np.concatenate(sequences), np.array([len(s) for s in sequences]))
+        for g, w in zip(got, want, strict=True):
+            assert np.allclose(g, w)
+
+
 def test_lm_base_scores_match_brute_force_and_model_learns(spark):
     rng = random.Random(5)
     kinds = [[f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]]
