@@ -166,20 +166,21 @@ def block_after(outlined: Column, text: str) -> Column:
 
     A block that is never closed ends with the text. Null when there is no match or no block.
     """
-    quick = F.regexp_extract(outlined, f"{text}[^{OPEN}]*+({OPEN}{BALANCED}{CLOSE})", 1)
-    opened = F.regexp_extract(outlined, f"(?s){text}[^{OPEN}]*+({OPEN}.*+)", 1)
-    # The second form is evaluated for blocks that are deep, not closed, or not there.
+    # The atomic group holds on to the first match, so a block that is deep or open is never
+    # passed over for one behind a later match; its end is then counted out.
+    first = f"(?s)\\A(?>.*?(?:{text})[^{OPEN}]*+(?={OPEN}))"
+    quick = F.regexp_extract(outlined, f"{first}({OPEN}{BALANCED}{CLOSE})", 1)
+    opened = F.regexp_extract(outlined, f"{first}(.*+)", 1)
     return F.coalesce(F.nullif(quick, F.lit("")), F.when(opened != "", _first_block(opened)))
 
 
 def marked_blocks(outlined: Column, mark: str) -> Column:
     """Outlines of all blocks with a spare mark, nested ones too; open ones end with the text."""
-    quick = F.regexp_extract_all(outlined, F.lit(f"{mark}(?=({OPEN}{BALANCED}{CLOSE}))"), 1)
-    parts = F.split(outlined, mark)
-    behind = F.sequence(F.lit(2), F.size(parts))
-    each = F.transform(behind, lambda i: _first_block(F.array_join(F.slice(parts, i, F.size(parts)), mark)))
-    whole = F.when(F.size(parts) > 1, F.filter(each, lambda b: b.startswith(OPEN))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(quick) == F.size(parts) - 1, quick).otherwise(whole)
+    blocks = F.lit(f"(?s){mark}(?=({OPEN}{BALANCED}{CLOSE})|({OPEN}.*+))")
+    quick, rest = (F.regexp_extract_all(outlined, blocks, group) for group in (1, 2))
+    # Only blocks that are deep or open are counted out, from where they begin.
+    counted = F.zip_with(quick, rest, lambda q, r: F.when(q != "", q).otherwise(_first_block(r)))
+    return F.when(F.exists(quick, lambda q: q == ""), counted).otherwise(quick)
 
 
 def plain_text(outlined: Column) -> Column:

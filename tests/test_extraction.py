@@ -162,3 +162,11 @@ def test_blocks_of_any_depth_and_open_ones(spark):
     assert got[0].drive == "Prednji"
     assert got[1].details == ["Garažiran", "Nov"]
     assert got[2].options == ["Deeper"]
+
+
+def test_a_deep_first_block_is_not_passed_over(spark):
+    deep = "<div>" * 70 + "Prednji" + "</div>" * 70
+    row = (0, "/", ad_page(info={"Pogon": deep}).replace("</body>", "<p>Pogon</p><div>Zadnji</div></body>"))
+    again = (1, "/", ad_page(info={"Pogon": deep}) + "<p>Pogon</p><div>Zadnji</div>")
+    got = E.ad_page_listings(spark.createDataFrame([row, again], "page_id long, url string, html string")).collect()
+    assert [(r.drive, r.parse_error) for r in got] == [("Prednji", [])] * 2

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,33 @@ def test_attributes(spark):
     tags = ["<a href='x&amp;y' data-class=\"no\">", '<a class=" b  a ">', "<a CLASS=a>", "<a>"]
     assert values(spark, tags, lambda c: M.attribute(c, "href")) == ["x&y", None, None, None]
     assert values(spark, tags, M.class_text) == ["", "b a", "a", ""]
+
+
+@pytest.mark.parametrize("depth", [1, 5, 59, 60, 61, 70, 5000])
+@pytest.mark.parametrize("closed", [True, False])
+def test_the_first_mention_of_a_label_wins(spark, depth, closed):
+    first = "<div>" * depth + "FIRST" + "</div>" * (depth if closed else depth - 1)
+    html = f"<p>L</p><b>x</b>{first}<p>L</p><div>SECOND</div>"
+    want = "FIRST" if closed else "FIRSTLSECOND"
+    for pattern in (M.exact_text("L"), M.text_with("L")):
+        assert values(spark, [html], lambda c: M.plain_text(M.block_after(M.outline(c), pattern))) == [want]
+
+
+def test_a_first_mention_without_a_block_gives_way(spark):
+    assert values(spark, ["<p>L</p>"], lambda c: M.block_after(M.outline(c), M.exact_text("L"))) == [None]
+    assert values(spark, ["<div><p>L</p></div><p>L</p><div>x</div>"], lambda c: M.plain_text(M.block_after(M.outline(c), M.exact_text("L")))) == ["x"]
+
+
+@pytest.mark.parametrize("open_first", [True, False])
+def test_many_marked_blocks_one_of_them_open(spark, open_first):
+    mark = M.SPARE[0]
+    open_one = "<div class='f'>open"
+    each = "<div class='f'><div>a</div></div>" * 20_000
+    html = open_one + each if open_first else each + open_one
+    marked = {mark + M.OPEN: M.tag_pattern("div", M.needs_class("f"))}
+    began = time.monotonic()
+    found = values(spark, [html], lambda c: M.marked_blocks(M.outline(c, marked), mark))[0]
+    assert time.monotonic() - began < 30
+    assert len(found) == 20_001
+    texts = [x.translate({ord(m): None for m in "\x01\x02\x03\x04"}) for x in found]
+    assert sorted(set(texts), key=len) == (["a", "open" + "a" * 20_000] if open_first else ["a", "open"])
