@@ -110,11 +110,77 @@ def test_main_text(page, text):
     assert html_text.main_text(page, html_text.fit_tree()) == text
 
 
+LONG = "<p>" + "some words of a text that is long enough " * 4 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='overflow-hidden'>{}</div>", "<div style='overflow:hidden'>{}</div>", "<div data-hidden='x' class='x'>{}</div>",
+        "<div class='layout with-sidebar'>{}</div>", "<div class='has-sidebar'><article>{}</article></div>", "<div class=no-sidebar>{}</div>",
+        "<div class='page-header-fixed'>{}</div>", "<div class='sidebar-wrapper'><main>{}</main></div>", "<body class='menu hidden-nav'>{}</body>",
+        "<div id='comments-page'><div class='text-muted'>x</div>{}</div>",
+    ],
+)
+def test_wrappers_are_no_furniture(page):
+    text = "\n".join(["some words of a text that is long enough " * 4] * 3).replace(" \n", "\n").strip()
+    found = html_text.main_text(page.format(LONG * 3), html_text.fit_tree())
+    assert found.removeprefix("x\n") == text
+
+
+@pytest.mark.parametrize("part", ["<h2 id='search'>Search</h2>", "<p class='social-story'>A story of ours</p>", "<ul class='tags-list'><li>one tag</li></ul>"])
+def test_parts_of_an_article_stay(part):
+    kept = html_text.main_text(f"<article>{LONG}{part}{LONG}</article>", html_text.fit_tree()).split("\n")
+    assert len(kept) == 3 and kept[1] in part
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<div hidden>x y</div>", "<div class='a' HIDDEN='until-found'>x</div>", "<div aria-hidden='true'>x</div>", "<p style='color:red;display: none'>x</p>",
+        "<div class='sidebar'>x</div>", "<div class='main-sidebar left'>x</div>", "<div class='ad-container'>x</div>", "<div role='navigation'>x</div>",
+        "<section class='comment-list'>" + LONG * 9 + "</section>", "<div id='comments'><article>" + LONG * 4 + "</article></div>", "<div class='cookieNotice'>x</div>",
+    ],
+)
+def test_furniture_goes(part):
+    want = html_text.main_text(f"<article>{LONG * 3}</article>", html_text.fit_tree())
+    assert want.count("\n") == 2
+    for page in (f"{part}<article>{LONG * 3}</article>", f"<article>{LONG * 3}</article>{part}"):
+        assert html_text.main_text(page, html_text.fit_tree()) == want
+    assert html_text.main_text(f"{LONG * 3}{part}", html_text.fit_tree()) == want
+
+
+def test_tree_is_right_on_its_pages_and_asks_for_neighbours():
+    tree = html_text.fit_tree()
+    assert all(tree(row[:-1]) == bool(row[-1]) for row in html_text.labelled_rows())
+    used = {html_text.FEATURES[f] for f in tree.feature if f >= 0}
+    assert {"words", "links", "links_behind"} <= used and used & {"words_before", "links_before"}
+
+
+def test_features_of_blocks_match_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        blocks = [(rng.choice("p h2 li div".split()), [(rng.random() < 0.3, rng.randint(0, 6)) for _ in range(rng.randint(1, 4))], rng.random() < 0.2) for _ in range(rng.randint(0, 8))]
+        page, want = "", []
+        for tag, runs, hidden in blocks:
+            inner = " ".join(f"<a href=x>{'w ' * n}</a>" if link else "w " * n for link, n in runs)
+            page += f"<nav>{inner}</nav>" if hidden else f"<{tag}>{inner}</{tag}>"
+            words, linked = sum(n for _, n in runs), sum(n for link, n in runs if link)
+            if words:
+                want.append((int(hidden), words, linked / words, int(tag == "h2" and not hidden)))
+        got = html_text.features(html_text.blocks(page))
+        assert len(got) == len(want)
+        for i, (f, words, links, heading) in enumerate(want):
+            before, behind = want[i - 1] if i else (0, 0, 0.0, 0), want[i + 1] if i + 1 < len(want) else (0, 0, 0.0, 0)
+            assert got[i] == pytest.approx((f, 1, words, links, before[1], before[2], behind[1], behind[2], heading))
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (2, None, ""), (None, "u", "<article>x</article>"), (3, "u", "<a " + "b='c' " * 50_000 + ">" + "<!--" * 20_000)]
+    rows += [(4, "u", "<article>" + "long text " * 200_000 + "</article>"), (5, "u", "<div class=ad>" * 3000 + "x" + "</div>" * 3000 + "<article>y</article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract(pages, keep=["page_id", "url"]).collect()
-    assert sorted(r.text for r in got) == ["", "", "", "", "x"]
+    assert sorted(r.text for r in got) == ["", "", "", "", ("long text " * 200_000).strip(), "x", "y"]
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(pages.limit(0)).count() == 0
 
