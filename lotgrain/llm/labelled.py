@@ -17,7 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, wanted, rows: int = S
     """(doc_id, text, target, fold) of up to ``rows`` labelled documents for which ``wanted`` holds.
 
     Null ids and labels teach nothing. An id labelled more than once counts as 1 from a mean of
-    one half. The chosen ids are few by construction, so they are broadcast to the documents.
+    one half; of documents that share an id the least text is taken, so the bound holds for rows as
+    well. The chosen ids are few by construction, so they are broadcast to the documents.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & wanted)
@@ -27,4 +28,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, wanted, rows: int = S
         .limit(rows)
     )
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int").alias("fold")
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "target", fold)
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("target").alias("target"))
+    return texts.select("doc_id", "text", "target", fold)

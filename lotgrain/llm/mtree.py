@@ -32,8 +32,11 @@ PAGE_ROWS = 512
 #: Pages that one task searches together, and queries that it takes at a time.
 GROUP_PAGES = 64
 BLOCK_QUERIES = 1_024
-#: Distances are compared with this relative slack; their rounding is far below it.
-SLACK = 1e-9
+#: Distances are compared with this slack relative to the vectors' length: the rounding of a square root near zero
+#: stays below it up to some thousand components.
+SLACK = 1e-6
+#: Sums of products are exact in doubles below this, in whole numbers below the other.
+EXACT_DOUBLES, EXACT_WHOLE = 1 << 53, 1 << 63
 
 PAGE = "page_group long, pivot binary, radius double, ids binary, vectors binary, parents binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -93,7 +96,7 @@ def _pages(assigned: DataFrame, pivots: np.ndarray) -> DataFrame:
         return {
             "page_group": group, "pivot": pivots[pivot].tobytes(), "radius": float(parents.max()),
             "ids": table.column("vec_id").to_numpy()[order].tobytes(),
-            "vectors": _matrix(table.column("v"))[order].astype(np.int32).tobytes(), "parents": parents[order].tobytes(),
+            "vectors": _matrix(table.column("v"))[order].tobytes(), "parents": parents[order].tobytes(),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +119,11 @@ def _pages(assigned: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 class Page:
-    def __init__(self, row: dict, dimension: int):
+    def __init__(self, row: dict, dimension: int, kind: type):
         self.pivot = np.frombuffer(row["pivot"], np.int64)
         self.radius = row["radius"]
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], np.int32).reshape(-1, dimension).astype(np.float64)
+        self.vectors = np.frombuffer(row["vectors"], np.int64).reshape(-1, dimension).astype(kind)
         self.parents = np.frombuffer(row["parents"], np.float64)
 
 
@@ -132,7 +135,7 @@ def search(pages: list[Page], ids: np.ndarray, queries: np.ndarray, k: int, long
     margin = SLACK * (1 + np.sqrt(4.0 * longest)) + 1e-6
     least = np.maximum(gaps - radii, 0)
     visits = np.argsort(least, axis=1, kind="stable")
-    rows = queries.astype(np.float64)
+    rows = queries.astype(pages[0].vectors.dtype)
     for q in range(len(ids)):
         best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
         reach = np.inf  # distance of the k-th best so far
@@ -167,18 +170,23 @@ def top_k(
 
     Components become floor(scale * x); the score is the inner product of whole numbers, ties
     go to the smaller id. Vectors that are null, empty, or hold null or non-finite components
-    take no part; all others must have one length. Rows that share an id are candidates each,
+    take no part; all others must have one length, and a squared length below 2^63, else an error
+    is raised; products are exact up to there. Rows that share an id are candidates each,
     and none of them for a query of that id; such a query is answered once, for its least vector.
     """
     usable = _usable(vectors, vec_id, embedding, scale)
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = usable.agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.max(F.size("v")).alias("dimension"), F.min(F.size("v")).alias("least")).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if not facts["n"]:
         return vectors.sparkSession.createDataFrame([], empty)
     if facts["dimension"] != facts["least"]:
         raise ValueError("vectors of different lengths")
-    longest, dimension = facts["longest"], facts["dimension"]
+    # A little above, so that rounding leaves no vector beyond it.
+    longest, dimension = int(facts["longest"] * (1 + 1e-12)) + 1, facts["dimension"]
+    if longest >= EXACT_WHOLE:
+        raise ValueError("vectors too long for exact products of whole numbers")
+    kind = np.float64 if longest < EXACT_DOUBLES else np.int64
     chosen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").dropDuplicates(["v"]).collect()
     centres = np.array(sorted(r["v"] for r in chosen), np.int64)
 
@@ -230,7 +238,7 @@ def top_k(
                 if row["q_ids"] is not None:
                     query = row
                 else:
-                    held.append(Page(row, dimension))
+                    held.append(Page(row, dimension, kind))
         yield from answers()
 
     met = as_query.unionByName(as_page).repartition("page_group", "block").sortWithinPartitions("page_group", "block")

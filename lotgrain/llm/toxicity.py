@@ -264,7 +264,12 @@ def score_held_out(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_ou
 
 
 def reject(docs: DataFrame, labels: DataFrame, limit: float = 0.7, modulus: int = 3, held_out: int = 1) -> DataFrame:
-    """The documents, same columns, that score below ``limit``."""
+    """The documents, same columns, that score below ``limit``.
+
+    Labels of one kind only, or none, tell nothing apart: all documents stay.
+    """
     model = train(docs, labels, remainder("doc_id", modulus) != held_out)
+    if not len(model.trees.feature):
+        return docs
     out = unused(docs, "toxicity")
     return score(docs, model, out=out).where(F.col(out) < limit).select(*[f"`{c}`" for c in docs.columns])

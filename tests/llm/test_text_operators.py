@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lotgrain.llm import boosting, bpe, chosen_path, fm_index, hmm, html_text, licenses, mtree, quality, toxicity, windows
+from lotgrain.llm import boosting, bpe, chosen_path, fm_index, hmm, html_text, labelled, licenses, mtree, quality, toxicity, windows
 from lotgrain.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string"
@@ -300,6 +300,23 @@ def test_top_k_of_few_and_no_rows(spark):
     assert mtree.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_is_exact_for_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (1, [4e7, 1.0]), (20, [-1.5e7, 2.5]), (40, [1.2e7 + 1 / 64, 3e7]), (41, [1.2e7, 3e7 + 1 / 64]), (60, [0.0, 0.0])]
+    table = spark.createDataFrame([(i, v, 7, "x") for i, v in rows], "vec_id long, embedding array<double>, score long, pivot string")
+    got = {(r.query_id, r.vec_id): r.score for r in mtree.top_k(table).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    assert got == {(q, i): sum(a * b for a, b in zip(whole[q], whole[i])) for q in (0, 20, 40, 60) for i in whole if i != q}
+    assert got[0, 1] == 163_840_000_000
+
+
+def test_top_k_refuses_what_it_cannot_answer_exactly(spark):
+    schema = "vec_id long, embedding array<double>"
+    with pytest.raises(ValueError, match="different lengths"):
+        mtree.top_k(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], schema))
+    with pytest.raises(ValueError, match="too long"):
+        mtree.top_k(spark.createDataFrame([(0, [1.0]), (1, [1e9])], schema))
+
+
 # ------------------------------------------------------------------------ bpe
 
 
@@ -465,6 +482,21 @@ def test_toxicity_on_held_out_rows(spark, judged):
     assert stay.where("toxicity != 'as it was'").count() == 0
 
 
+def test_sample_holds_one_row_for_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (None, "x"), (3, "c")] + [(4, f"t{i}") for i in range(50)], DOCS)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (4, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = labelled.sample(docs, labels, "toxic", F.lit(True)).collect()
+    assert sorted((r.doc_id, r.text, r.target) for r in got) == [(1, "a", 1), (2, None, 1), (4, "t0", 0)]
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_labels_of_one_kind_reject_nothing(spark, toxic):
+    rows = [(i, f"text {i}") for i in range(30)] + [(None, None), (31, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, toxic) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.reject(docs, labels).count() == len(rows)
+
+
 def test_classifiers_without_labels_or_documents(spark, judged):
     docs, labels = judged
     for scored in (quality.score_held_out, toxicity.score_held_out):
