@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Dimensions of at most so many keys together go to the rows as maps; some hundred kilobytes.
+MAP_KEYS = 10_000
+
 
 def domain(lookups: DataFrame, name: str) -> DataFrame:
     """Key and value of one domain, one row per key."""
@@ -21,29 +26,59 @@ def translate(df: DataFrame, column: str, dim: DataFrame, into: str) -> DataFram
     return df.join(side, F.col(column) == F.col("_key"), "left").drop("_key")
 
 
-def translate_list(df: DataFrame, column: str, dim: DataFrame, by_join: bool = False) -> DataFrame:
-    """Translate every element of an array, in place and in order.
+def translate_lists(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Translate every element of some array columns, in place and in order, in one pass.
 
-    Unknown elements become null elements, repeats stay, a null array stays null. Both forms
-    give the same answer and the caller chooses: a small dimension (feature names) is brought
-    to the rows as one map, a large one is joined element by element.
+    ``dims`` has the dimension of each column. Unknown and null elements become null elements,
+    repeats stay, a null array stays null. The elements of all columns meet all dimensions in a
+    single join, so neither a dimension nor its size matters to the rows' own tasks.
     """
-    if not by_join:
-        codes = dim.where("key is not null").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")).scalar()
-        named = df.withColumn("_codes", codes)
-        return named.withColumn(column, F.transform(column, lambda x: named["_codes"][x])).select(*df.columns)
-    side = dim.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
     # The row travels with its elements, so rows need no key of their own.
-    numbered = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.monotonically_increasing_id().alias("_id"))
-    elements = numbered.select("_id", "_row", F.posexplode_outer(f"_row.{column}").alias("_at", "_key"))
+    numbered = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.monotonically_increasing_id().alias("_id"))
+
+    def named(c: str) -> Column:
+        keys = F.coalesce(F.col("_row")[c], F.array().cast("array<string>"))
+        return F.transform(keys, lambda x, i: F.struct(F.lit(c).alias("_list"), i.alias("_at"), x.alias("_key")))
+
+    elements = numbered.select("_id", "_row", F.explode_outer(F.concat(*map(named, dims))).alias("_e")).select("_id", "_row", "_e.*")
+    sides = [dim.select(F.lit(c).alias("_list"), F.col("key").alias("_key"), F.col("value").alias("_value")) for c, dim in dims.items()]
+    side = reduce(DataFrame.unionAll, sides)
     lists = (
-        elements.join(side, "_key", "left")
+        elements.join(side, ["_list", "_key"], "left")
         .groupBy("_id")
         .agg(
             F.any_value("_row").alias("_row"),
-            # One row per listing again: the array of one listing is bounded by its page.
-            F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_value")))).alias("_list"),
+            # One row per listing again: the arrays of one listing are bounded by its page.
+            F.sort_array(F.collect_list(F.when(F.col("_list").isNotNull(), F.struct("_list", "_at", "_value")))).alias("_all"),
         )
     )
-    translated = F.when(F.col(f"_row.{column}").isNotNull(), F.transform("_list", lambda e: e["_value"]))
-    return lists.select(*[translated.alias(c) if c == column else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+    def translated(c: str) -> Column:
+        own = F.transform(F.filter("_all", lambda e: e["_list"] == c), lambda e: e["_value"])
+        return F.when(F.col("_row")[c].isNotNull(), own)
+
+    return lists.select(*[(translated(c) if c in dims else F.col("_row")[c]).alias(c) for c in df.columns])
+
+
+def translate_list(df: DataFrame, column: str, dim: DataFrame, by_join: bool = True) -> DataFrame:
+    """Translate every element of an array, in place and in order.
+
+    Unknown elements become null elements, repeats stay, a null array stays null. Elements meet
+    the dimension in a join; with ``by_join=False`` a dimension that the caller knows to be
+    small is brought to the rows as one map, with the same answer.
+    """
+    if by_join:
+        return translate_lists(df, {column: dim})
+    codes = dim.where("key is not null").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m")).scalar()
+    named = df.withColumn("_codes", codes)
+    return named.withColumn(column, F.transform(column, lambda x: named["_codes"][x])).select(*df.columns)
+
+
+def translate_checked(df: DataFrame, dims: dict[str, DataFrame], max_keys: int = MAP_KEYS) -> DataFrame:
+    """``translate_lists``, by maps where the dimensions are counted and found small, else by the join."""
+    keys = reduce(DataFrame.unionAll, [d.select("key") for d in dims.values()])
+    if keys.limit(max_keys + 1).count() > max_keys:
+        return translate_lists(df, dims)
+    for column, dim in dims.items():
+        df = translate_list(df, column, dim, by_join=False)
+    return df

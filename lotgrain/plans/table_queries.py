@@ -1134,13 +1134,37 @@ def _flat_codes(rows: DataFrame) -> DataFrame:
 @query("translate_lists", _TRANSLATED)
 def _(t: Tables) -> DataFrame:
     rows, dim = _coded_customers(t)
-    return _flat_codes(K.translate_list(rows, "codes", dim))
+    return _flat_codes(K.translate_list(rows, "codes", dim, by_join=False))
 
 
 @query("translate_lists_joined", _TRANSLATED)
 def _(t: Tables) -> DataFrame:
     rows, dim = _coded_customers(t)
-    return _flat_codes(K.translate_list(rows, "codes", dim, by_join=True))
+    return _flat_codes(K.translate_list(rows, "codes", dim))
+
+
+@query(
+    "translate_lists_together",
+    """
+    select c_custkey, coalesce(case when n_name <> 'NATION_5' then n_name end, '-') || ',-' as nations,
+           coalesce(case when c_mktsegment <> 'BUILDING' then 'S_' || c_mktsegment end, '-') || ',-,S_MACHINERY' as segments,
+           case when c_custkey % 3 <> 0 then '' end as nothing
+    from customer left join nation on c_nationkey = n_nationkey
+    """,
+)
+def _(t: Tables) -> DataFrame:
+    # Three list columns and their dimensions in one join; the third is empty or null.
+    nations = K.domain(nation_lookup(t, "origin").where("value <> 'NATION_5'"), "origin")
+    name = F.col("c_mktsegment")
+    segments = t.customer.select(name.alias("key"), F.concat(F.lit("S_"), name).alias("value")).distinct().where("key <> 'BUILDING'")
+    rows = t.customer.select(
+        "c_custkey",
+        F.array(F.col("c_nationkey").cast("string"), F.lit(None)).alias("nations"),
+        F.array(name, F.lit("?"), F.lit("MACHINERY")).alias("segments"),
+        F.when(F.col("c_custkey") % 3 != 0, F.array().cast("array<string>")).alias("nothing"),
+    )
+    found = K.translate_lists(rows, {"nations": nations, "segments": segments, "nothing": nations})
+    return found.select("c_custkey", *[F.array_join(c, ",", "-").alias(c) for c in ("nations", "segments", "nothing")])
 
 
 def event_sightings(t: Tables, events: DataFrame | None = None) -> DataFrame:
@@ -1453,6 +1477,49 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def part_result_pages(t: Tables) -> DataFrame:
+    """A result page per part, which shows the part as an ad."""
+    key = F.col("p_partkey")
+    html = F.concat(
+        F.lit('<article class="classified ad-'), key, F.lit('"><a class="firstImage" href="/auto-oglasi/'), key,
+        F.lit('/x"><img class="lazy lead" data-srcset="img/'), key, F.lit('"></a></article>'),
+    )
+    return t.part.select(
+        key.alias("page_id"), key.cast("int").alias("page_no"), F.lit("/search").alias("url"), html.alias("html"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("seen_at"),
+    )
+
+
+_PART_WORDS = "string_split(p_name, ' ')"
+
+
+@query(
+    "ingest_coded_features",
+    f"""
+    with words as (select distinct unnest({_PART_WORDS}) as w from part),
+    known as (select w, length(w) % 3 as kind from words),
+    ads as (select p_partkey, p_type, {_PART_WORDS} as names from part where p_type not in ('PROMO', 'LARGE'))
+    select p_partkey as ad_number,
+           array_to_string(list_transform(names, lambda x: case when length(x) % 3 <> 0 then 'has_' || x else '-' end), '|') as safety,
+           case when p_type = 'SMALL' then 'opt_small' else '-' end || '|opt_ab' as options
+    from ads where list_contains(names, (select min(w) from known where kind = 1))
+    """,
+)
+def _(t: Tables) -> DataFrame:
+    # Pages to listings with coded features to a question about one of them; words of some lengths have no code.
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    known = words.withColumn("kind", F.length("w") % 3).where("kind != 0")
+    lookups = known.select(F.lit("safety").alias("domain"), F.col("w").alias("key"), F.concat(F.lit("has_"), "w").alias("value"))
+    options = t.spark.createDataFrame([("options", "SMALL", "opt_small"), ("options", "A&B", "opt_ab")], lookups.schema)
+    lookups = lookups.unionByName(options)
+    folder = shared_folder(t.spark, "coded-features")
+    work = BatchIngest(ListingSnapshots(t.spark, f"{folder}/listings", buckets=8), details=details_from(part_ad_pages(t)), lookups=lookups)
+    work(part_result_pages(t), 0)
+    first = known.where("kind = 1").agg(F.min("w")).first()[0]
+    wanted = facet_filter(f"https://ads.example/s?has_{first}=1", lookups)
+    return work.store.read().where(wanted).select("ad_number", *[F.array_join(c, "|", "-").alias(c) for c in ("safety", "options")])
+
+
 def _stream_to_table(t: Tables, rows: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(t.spark, name)
     writer = rows.writeStream.format("parquet").option("path", f"{folder}/rows")

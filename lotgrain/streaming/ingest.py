@@ -43,9 +43,7 @@ def details_from(ad_pages: DataFrame) -> Details:
 
 def coded_features(details: DataFrame, lookups: DataFrame) -> DataFrame:
     """Feature labels of ad pages as codes, the form the feature facets ask for; unknown ones are null."""
-    for name in FEATURES:
-        details = K.translate_list(details, name, K.domain(lookups, name))
-    return details
+    return K.translate_checked(details, {name: K.domain(lookups, name) for name in FEATURES})
 
 
 @dataclass
