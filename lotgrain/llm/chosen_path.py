@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm.rows import arrow_schema, slices, spaced_words, unused, with_text_columns, written
+from lotgrain.llm.rows import arrow_schema, give_back, slices, spaced_words, unused, with_text_columns, written
 from lotgrain.llm.windows import Powers, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -145,9 +145,11 @@ def _deeper(sets: DataFrame, classes: DataFrame, depth: int, n_trees: int) -> Da
             shingles = batch.column("shingles")
             flat, at = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(shingles.offsets)
             own = [flat[i:j] for i, j in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
-            if own:
-                columns = [batch.column("cls"), pa.array([len(s) for s in own], pa.int64()), paths.lists(own)]
+            for low in range(0, len(own), 1000):
+                some = own[low : low + 1000]
+                columns = [batch.column("cls").slice(low, len(some)), pa.array([len(s) for s in some], pa.int64()), paths.lists(some)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        give_back()
 
     return sets.join(classes, "cls", "left_semi").select("cls", "shingles").mapInArrow(run, fields)
 
@@ -199,6 +201,8 @@ def _sets(docs: DataFrame, classes: DataFrame, size: int, text: str) -> DataFram
                     rows[cls] = shingles.view(np.int64)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.int64()))], schema=schema)
+            del texts, rows
+        give_back()
 
     return docs.select(text).mapInArrow(run, fields).dropDuplicates(["cls"])
 

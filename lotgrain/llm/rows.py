@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +51,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
                 start, size = i + 1, 0
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_text_columns(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],
@@ -79,6 +88,9 @@ def with_text_columns(
             ]
             old = [part.column(c).cast(arrow.field(c).type) for c in stay]
             yield pa.RecordBatch.from_arrays(old + new, schema=arrow)
+            del part, texts, new, old
+        del work
+        give_back()
 
     wanted = list(dict.fromkeys([*stay, text, *(read or [])]))
     return df.select(*[f"`{c}`" for c in wanted]).mapInArrow(run, schema)
