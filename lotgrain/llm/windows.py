@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lotgrain.llm.rows import arrow_schema, run_lengths, slices, spaced_words, unused, with_text_columns
+from lotgrain.llm.rows import arrow_schema, give_back, run_lengths, slices, spaced_words, unused, with_text_columns
 
 WINDOW = 35
-FLUSH_WORDS = 1 << 20
+FLUSH_WORDS = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -130,6 +131,12 @@ def _hashed(size: int, buckets: int, text: str):
             "k1": k1, "k2": k2, "sizes": sizes.tolist(), "blocks": len(cuts) - 1,
         }
 
+    def sent(number: int, words: list, k1: list, k2: list) -> Iterator[pa.RecordBatch]:
+        rows = flush(number, words, k1, k2)
+        while some := list(islice(rows, 32)):
+            yield pa.RecordBatch.from_pylist(some, schema)
+        give_back()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, k1, k2, total, number = [], [], [], 0, 0
         for part, texts in slices(batches, text):
@@ -142,10 +149,10 @@ def _hashed(size: int, buckets: int, text: str):
                 k2.append(b)
                 total += len(hashes)
                 if total >= FLUSH_WORDS:
-                    yield pa.RecordBatch.from_pylist(list(flush(number, words, k1, k2)), schema)
+                    yield from sent(number, words, k1, k2)
                     words, k1, k2, total, number = [], [], [], 0, number + 1
         if words:
-            yield pa.RecordBatch.from_pylist(list(flush(number, words, k1, k2)), schema)
+            yield from sent(number, words, k1, k2)
 
     return run
 
@@ -185,6 +192,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append(row["payload"])
     if blocks:
         yield pa.RecordBatch.from_pylist(answer(flushes, blocks), schema)
+        del flushes, blocks
+    give_back()
 
 
 def _covered(size: int, fields: str):
