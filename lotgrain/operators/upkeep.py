@@ -1,13 +1,14 @@
 """Keeping one current record per ad: upsert, refresh, expiry and the joins around them.
 
-Every operator first reduces its input to one row per key on the map side, so the joins
-below meet each key once however often it was seen.
+Which row of a key counts is settled on numbers alone, in hash maps on the map side; only the
+chosen rows are then brought together, so a key seen a billion times costs no task more than others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +22,50 @@ def duplicate_keys(rows: DataFrame, key: str = KEY) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
-def latest_per_key(rows: DataFrame, key: str = KEY, order: Sequence[str] = ("updatedAt",)) -> DataFrame:
-    """One whole row per key: the last by ``order``."""
+def _place(rows: DataFrame, order: Sequence[str]) -> Column:
+    """The place of a row in one or two columns of time or whole numbers, as one decimal.
+
+    A decimal lies in a fixed slot of an aggregation buffer, so its maximum is kept in a hash
+    map, which a struct would not be. The first of two columns may reach 4e18 in size (any
+    time does); nulls come first.
+    """
+    types = dict(rows.dtypes)
+
+    def number(name: str) -> Column:
+        timed = types[name].startswith(("timestamp", "date"))
+        whole = F.unix_micros(F.col(name).cast("timestamp")) if timed else F.col(name).cast("bigint")
+        return whole.cast("decimal(19,0)")
+
+    if len(order) == 1:
+        return F.coalesce(number(order[0]), F.lit(Decimal(-(2**63)))).cast("decimal(38,0)")
+    if len(order) != 2:
+        raise ValueError(f"one or two columns give the order, not {len(order)}")
+    first = F.coalesce(number(order[0]), F.lit(Decimal(-4 * 10**18)))
+    second = F.coalesce(number(order[1]) + F.lit(Decimal(2**63)), F.lit(Decimal(-1)))
+    return (first * F.lit(Decimal(2 * 10**19)) + second).cast("decimal(38,0)")
+
+
+def _edge(rows: DataFrame, key: str, order: Sequence[str], last: bool = True) -> DataFrame:
+    """``_key`` and ``_at``, the place of its last (or first) row: numbers only, in hash maps."""
+    place = _place(rows, order)
+    return rows.groupBy(F.col(key).alias("_key")).agg((F.max(place) if last else F.min(place)).alias("_at"))
+
+
+def _rows_at(rows: DataFrame, edge: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The rows at the places of ``edge``, one per key.
+
+    Rows meet their edge by key and place, so the rows of a hot key go to many tasks and only
+    what stays is brought together. Of several rows at one place a hash of all columns decides.
+    """
+    at = F.col(key).eqNullSafe(F.col("_key")) & (_place(rows, order) == F.col("_at"))
+    kept = rows.join(edge, at, "left_semi")
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    picked = rows.groupBy(key).agg(F.max_by(whole, F.struct(*order)).alias("_row"))
-    return picked.select("_row.*")
+    return kept.groupBy(key).agg(F.max_by(whole, F.xxhash64(*rows.columns)).alias("_row")).select("_row.*")
+
+
+def latest_per_key(rows: DataFrame, key: str = KEY, order: Sequence[str] = ("updatedAt",)) -> DataFrame:
+    """One whole row per key: the last by ``order``, one or two columns of time or whole numbers."""
+    return _rows_at(rows, _edge(rows, key, order), key, order)
 
 
 def upsert(
@@ -41,9 +81,8 @@ def last_sightings(
     sightings: DataFrame, key: str = KEY, order: Sequence[str] = ("seen_at", "seq"), link: str = "ad_link"
 ) -> DataFrame:
     """Key, link and time of the last sighting of every ad."""
-    return sightings.groupBy(key).agg(
-        F.max_by(link, F.struct(*order)).alias("_link"), F.max(order[0]).alias("_seen")
-    )
+    narrow = sightings.select(*dict.fromkeys([key, link, *order]))
+    return latest_per_key(narrow, key, order).select(key, F.col(link).alias("_link"), F.col(order[0]).alias("_seen"))
 
 
 def refresh(
@@ -87,24 +126,25 @@ def first_sightings(
     sightings: DataFrame, key: str = KEY, order: Sequence[str] = ("seen_at", "seq")
 ) -> DataFrame:
     """The first sighting of every ad, as a whole row."""
-    whole = F.struct(*[F.col(c) for c in sightings.columns])
-    return (
-        sightings.groupBy(key).agg(F.min_by(whole, F.struct(*order)).alias("_row")).select("_row.*")
-    )
+    return _rows_at(sightings, _edge(sightings, key, order, last=False), key, order)
 
 
 def new_ads(
     sightings: DataFrame, stored: DataFrame, key: str = KEY, order: Sequence[str] = ("seen_at", "seq")
 ) -> DataFrame:
     """Ads that are not stored yet, each with its first sighting."""
-    return first_sightings(sightings, key, order).join(stored.select(key), key, "left_anti")
+    known = stored.select(F.col(key).alias("_key"))
+    edge = _edge(sightings, key, order, last=False).join(known, "_key", "left_anti")
+    return _rows_at(sightings, edge, key, order)
 
 
 def known_ads(
     sightings: DataFrame, stored: DataFrame, key: str = KEY, order: Sequence[str] = ("seen_at", "seq")
 ) -> DataFrame:
     """Ads that are stored already, each with its last sighting."""
-    return latest_per_key(sightings, key, order).join(stored.select(key), key, "left_semi")
+    known = stored.select(F.col(key).alias("_key"))
+    edge = _edge(sightings, key, order).join(known, "_key", "left_semi")
+    return _rows_at(sightings, edge, key, order)
 
 
 def merge_short_and_details(

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -95,3 +96,46 @@ def test_overlapping_intervals_join(spark):
     df = spark.createDataFrame(rows, "k int, s long, e long")
     found = LT.number_islands(df, "k", "s", "e", 10).orderBy("s").collect()
     assert [r.life for r in found] == [1, 1, 1, 2]
+
+
+def test_rows_without_time_or_number_come_first_and_repeats_count_once(spark):
+    rows = sightings(spark, (1, 0, 5), (1, 0, 5), (2, 1, 1), (None, 0, 2), (None, 1, 1))
+    bare = rows.where("ad_number = 2").withColumn("seen_at", F.lit(None).cast("timestamp")).withColumn("seq", F.lit(9).cast("long"))
+    rows = rows.unionByName(bare).unionByName(bare.withColumn("ad_number", F.lit(7).cast("long")))
+    rows = rows.unionByName(rows.where("seq = 5").withColumn("seq", F.lit(None).cast("long")))
+    last = {r.ad_number: r.seq for r in S.latest_per_key(rows, order=("seen_at", "seq")).collect()}
+    first = {r.ad_number: r.seq for r in S.first_sightings(rows).collect()}
+    assert last == {1: 5, 2: 1, 7: 9, None: 1} and first == {1: None, 2: 9, 7: 9, None: 2}
+    assert S.latest_per_key(rows.limit(0), order=("seen_at", "seq")).count() == 0
+    with pytest.raises(ValueError):
+        S.latest_per_key(rows, order=("seen_at", "seq", "page_id"))
+
+
+@pytest.mark.parametrize("form", ["upsert", "refresh", "new_ads", "known_ads"])
+def test_rows_are_chosen_in_hash_maps_on_the_map_side(spark, tmp_path, form):
+    sightings(spark, *[(i % 3, i, i) for i in range(1, 20)]).write.parquet(f"{tmp_path}/seen")
+    stored(spark, (1, 1, 0), (5, 2, 0)).write.parquet(f"{tmp_path}/stored")
+    seen, base = spark.read.parquet(f"{tmp_path}/seen"), spark.read.parquet(f"{tmp_path}/stored")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if form == "upsert":
+            rows = S.upsert(base, seen.selectExpr("ad_number", "ad_link link", "ad_link", "1 price", "seen_at createdAt", "seen_at updatedAt", "seq"), order=("updatedAt", "seq"))
+        else:
+            rows = S.refresh(base, seen) if form == "refresh" else getattr(S, form)(seen, base)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # From each scan upwards to the first exchange: filters, projections and hash maps.
+    lines = plan.splitlines()
+    for at in [i for i, line in enumerate(lines) if "FileScan" in line]:
+        depth, below = re.search(r"[A-Z]", lines[at]).start(), []
+        for line in reversed(lines[:at]):
+            here = re.search(r"[A-Z]", line).start()
+            if here < depth:
+                if "Exchange" in line:
+                    break
+                depth = here
+                below.append(line)
+        assert not [line for line in below if "Sort" in line], plan
+    assert plan.count("HashAggregate") >= 2
