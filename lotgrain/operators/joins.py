@@ -11,10 +11,12 @@ MAX_KEY_ROWS = 1_000_000
 MAX_WIDE_ROWS = 100_000
 
 
-def broadcast_if_small(side: DataFrame, max_rows: int = MAX_KEY_ROWS) -> DataFrame:
+def broadcast_if_small(side: DataFrame, max_rows: int = MAX_KEY_ROWS, at_most: int | None = None) -> DataFrame:
     """Broadcast a side that is counted and found small; otherwise leave the join to Spark.
 
-    Adaptive execution would find out too, but only after it has shuffled the large side. Use
-    it on sides that are cached, written, or cheap to count.
+    Adaptive execution would find out too, but only after it has shuffled the large side. A
+    known bound ``at_most`` saves the count where it is small itself. Use this on sides that
+    are cached, written, or cheap to count.
     """
-    return F.broadcast(side) if side.count() <= max_rows else side
+    bounded = at_most is not None and at_most <= max_rows
+    return F.broadcast(side) if bounded or side.count() <= max_rows else side

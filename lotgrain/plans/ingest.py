@@ -15,6 +15,7 @@ from lotgrain.operators.lifetimes import WEEK_SECONDS, fold_sightings, micros, n
 from lotgrain.operators.upkeep import KEY, latest_per_key
 from lotgrain.plans.extraction import ad_page_listings, page_ads
 from lotgrain.schema import LISTINGS
+from lotgrain.sources.snapshots import bucket_of
 
 
 def page_sightings(result_pages: DataFrame) -> DataFrame:
@@ -28,21 +29,35 @@ def page_sightings(result_pages: DataFrame) -> DataFrame:
     )
 
 
-def ad_page_details(ad_pages: DataFrame, wanted: DataFrame) -> DataFrame:
+def bucketed_ad_pages(pages: DataFrame, buckets: int) -> DataFrame:
+    """Ad pages with their number and its bucket, the form to write ``partitionBy("bucket")``."""
+    number = ad_number(F.col("url"))
+    return pages.select("page_id", "url", "html", number.alias(KEY), bucket_of(number, buckets).alias("bucket"))
+
+
+def ad_page_details(
+    ad_pages: DataFrame, wanted: DataFrame, buckets: int | None = None, at_most: int | None = None
+) -> DataFrame:
     """Typed records of the ad pages of the wanted ads, one per ad.
 
     Which page counts (the one with the highest ``page_id``) is settled on numbers alone;
-    only those pages are then moved and parsed.
+    only those pages are then moved and parsed. With ``buckets`` the pages are a table of
+    ``bucketed_ad_pages`` written by bucket, and a few wanted ads read only their buckets.
+    ``at_most`` is a bound of the number of wanted ads, if known.
     """
+    by = ["sighted_number"] if buckets is None else ["sighted_number", "bucket"]
     keys = wanted.select(F.col(KEY).alias("sighted_number"))
-    keys_are_few = wanted.count() <= MAX_KEY_ROWS
-    numbered = ad_pages.select("page_id", ad_number(F.col("url")).alias("sighted_number"))
-    numbered = numbered.join(
-        F.broadcast(keys) if keys_are_few else keys, "sighted_number", "left_semi"
-    )
-    chosen = numbered.groupBy("sighted_number").agg(F.max("page_id").alias("page_id"))
+    if buckets is not None:
+        # The comparison tells Spark that this side is worth pruning the buckets by.
+        keys = keys.withColumn("bucket", bucket_of(F.col("sighted_number"), buckets)).where(F.col("bucket") >= 0)
+    few = (at_most is not None and at_most <= MAX_KEY_ROWS) or wanted.count() <= MAX_KEY_ROWS
+    number = ad_number(F.col("url")) if buckets is None else F.col(KEY)
+    numbered = ad_pages.select("page_id", number.alias("sighted_number"), *by[1:])
+    numbered = numbered.join(F.broadcast(keys) if few else keys, by, "left_semi")
+    chosen = numbered.groupBy(*by).agg(F.max("page_id").alias("page_id"))
     # One page per wanted ad, so the count bounds this side too and pages stay where they are.
-    pages = ad_pages.join(F.broadcast(chosen) if keys_are_few else chosen, "page_id")
+    pages = ad_pages.select("page_id", "url", "html", *by[1:])
+    pages = pages.join(F.broadcast(chosen) if few else chosen, ["page_id", *by[1:]]).drop("bucket")
     return ad_page_listings(pages).dropDuplicates(["sighted_number"])
 
 
@@ -95,17 +110,20 @@ def unstored(lives: DataFrame) -> DataFrame:
     return lives.where(~F.col("is_stored"))
 
 
-def changed_rows(lives: DataFrame, stored: DataFrame, details: DataFrame) -> DataFrame:
+def changed_rows(
+    lives: DataFrame, stored: DataFrame, details: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """Records to write, with ``outcome``, ``first_page`` and ``sightings``.
 
     ``outcome`` is ``inserted``, ``refreshed`` or ``failed`` (no usable ad page; such rows
     carry the sighted number only and are not stored). ``details`` has ``sighted_number``,
-    ``ad_number``, ``parse_error`` and listing columns.
+    ``ad_number``, ``parse_error`` and listing columns. ``at_most`` bounds the number of lives,
+    if known.
     """
     columns = LISTINGS.fieldNames()
     common = ["sighted_number", "sightings", "first_page", "first_link", "parse_error", "number_mismatch"]
     known = lives.where(F.col("is_stored") & (F.col("sightings") > 0)).withColumnRenamed(KEY, "_key")
-    known = broadcast_if_small(known, MAX_WIDE_ROWS)
+    known = broadcast_if_small(known, MAX_WIDE_ROWS, at_most)
     is_later = F.coalesce(F.col("last.us") >= micros("updatedAt"), F.lit(True))
     set_on_refresh = {
         "ad_link": F.when(is_later, F.col("last.link")).otherwise(F.col("ad_link")),

@@ -1,24 +1,39 @@
-"""The table of current listings as versioned parquet folders.
+"""The table of current listings: plain parquet, read as the newest row of each key.
 
-Plain parquet has no MERGE, so a batch writes new files for the buckets it touches and leaves
-the others as they are. ``manifest/v=<n>`` says which version of each bucket is current; it is
-written last, so a batch that dies half-way leaves the previous state in force, and a
+``rows/v=<n>`` holds what batch n changed, ``base/v=<n>/bucket=<b>`` all current rows after some
+batch, written anew every ``compact_every`` batches, and ``clock/v=<n>`` one row with the time
+of the state, its base and the changes since. The clock is written last: a batch that dies half-way changes nothing, and a
 replayed batch writes the same folders again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotgrain.operators.joins import broadcast_if_small
-from lotgrain.operators.upkeep import KEY, not_expired
+from lotgrain.operators.upkeep import KEY, duplicate_keys, latest_per_key, not_expired
 from lotgrain.schema import LISTINGS
 
-_MANIFEST = "bucket int, version bigint, as_of_us bigint"
+_CLOCK = "as_of_us bigint, base bigint, changes array<bigint>, v bigint"
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class State:
+    """The last committed batch, the time of the state, and the folders that make it up."""
+
+    version: int | None = None
+    as_of_us: int | None = None
+    base: int | None = None
+    changes: tuple[int, ...] = ()
 
 
 class ListingSnapshots:
@@ -30,59 +45,80 @@ class ListingSnapshots:
         schema: T.StructType = LISTINGS,
         key: str = KEY,
         retention_days: float = 7,
+        compact_every: int = 16,
     ):
-        """``buckets`` is fixed for the life of a table: size it for 256 MB to 1 GB each."""
+        """``buckets`` is fixed for the life of a table: size it for 256 MB to 1 GB each.
+
+        A batch reads the buckets of its keys in the base and the changes of at most
+        ``compact_every`` batches.
+        """
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.schema, self.key, self.retention_days = schema, key, retention_days
+        self.compact_every = compact_every
 
-    def bucket_of(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
-
-    def _names(self, pattern: str) -> list[str]:
-        jvm = self.spark._jvm
-        glob = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        files = glob.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(glob)
-        return [f.getPath().toString() for f in files or []]
+    def _clock(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(_CLOCK).parquet(f"{self.path}/clock")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _CLOCK)
 
     def versions(self) -> list[int]:
         """Committed versions, oldest first."""
-        found = self._names("manifest/v=*/_SUCCESS")
-        return sorted(int(name.split("/v=")[1].split("/")[0]) for name in found)
-
-    def _manifest(self, before: int | None = None) -> tuple[dict[int, int], int | None]:
-        """Version per bucket and the time of the state; at most ``buckets`` rows are fetched."""
-        usable = [v for v in self.versions() if before is None or v < before]
-        if not usable:
-            return {}, None
-        rows = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/v={usable[-1]}").collect()
-        state = {r.bucket: r.version for r in rows if r.bucket >= 0}
-        return state, next((r.as_of_us for r in rows if r.bucket < 0), None)
-
-    def _load(self, manifest: dict[int, int], only: Iterable[int] | None = None) -> DataFrame:
-        wanted = manifest if only is None else {b: manifest[b] for b in only if b in manifest}
-        folders = [f"{self.path}/data/v={v}/bucket={b}" for b, v in sorted(wanted.items())]
-        if not folders:
+        return sorted(r.v for r in self._clock().select("v").collect())
+
+    def state(self, before: int | None = None) -> State:
+        """The last committed state; one row is fetched."""
+        clock = self._clock() if before is None else self._clock().where(F.col("v") < before)
+        last = clock.orderBy(F.desc("v")).first()
+        return State() if last is None else State(last.v, last.as_of_us, last.base, tuple(last.changes))
+
+    def first_since(self, before: int, oldest_us: int) -> int:
+        """The first version that is not followed by a state older than ``oldest_us``."""
+        old = self._clock().where((F.col("v") < before) & (F.col("as_of_us") < oldest_us))
+        last = old.agg(F.max("v").alias("v")).first().v
+        return 0 if last is None else last + 1
+
+    def current(self, state: State, keys: DataFrame | None = None, at_most: int | None = None) -> DataFrame:
+        """The newest row of each key, expired ones included; only those of ``keys`` when given.
+
+        ``keys`` (the key column, without repeats) meets the rows before any shuffle where it is
+        few, and prunes the buckets of the base. ``at_most`` is a bound of their number, if known.
+        """
+        names = self.schema.fieldNames()
+        parts = []
+        if keys is not None:
+            bucket = bucket_of(F.col(self.key), self.buckets)
+            # The comparison tells Spark that this side is worth pruning the buckets by.
+            keys = broadcast_if_small(keys.withColumn("bucket", bucket).where(F.col("bucket") >= 0), at_most=at_most)
+        for kind, versions in (("base", [state.base] if state.base is not None else []), ("rows", state.changes)):
+            if not versions:
+                continue
+            schema = T.StructType([*self.schema.fields, T.StructField("v", T.LongType())])
+            if kind == "base":
+                schema.add("bucket", T.IntegerType())
+            folders = [f"{self.path}/{kind}/v={v}" for v in versions]
+            rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*folders)
+            if keys is not None:
+                rows = rows.join(keys, [self.key, "bucket"] if kind == "base" else self.key, "left_semi")
+            parts.append(rows.select(*names, "v"))
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        once = len(parts) == 1 and (state.base is not None or len(state.changes) == 1)
+        return (rows if once else latest_per_key(rows, self.key, ("v",))).select(*names)
 
-    def read(self, before: int | None = None, live_only: bool = True) -> DataFrame:
-        """Current listings. Expired ones that still sit in untouched buckets are left out."""
-        manifest, as_of_us = self._manifest(before)
-        rows = self._load(manifest)
-        if as_of_us is None or not live_only:
+    def _live(self, rows: DataFrame, as_of_us: int | None) -> DataFrame:
+        if as_of_us is None:
             return rows
         return rows.where(not_expired(F.timestamp_micros(F.lit(as_of_us)), self.retention_days))
 
-    def touched(self, *keys: DataFrame) -> list[int]:
-        """Buckets of the keys in the first column of each table; at most ``buckets`` values."""
-        found: set[int] = set()
-        for table in keys:
-            bucket = self.bucket_of(table[table.columns[0]].cast("bigint")).alias("b")
-            found |= {r.b for r in table.select(bucket).distinct().collect()}
-        return sorted(found)
-
-    def read_buckets(self, buckets: Iterable[int], before: int | None = None) -> DataFrame:
-        return self._load(self._manifest(before)[0], buckets)
+    def read(self, before: int | None = None, live_only: bool = True) -> DataFrame:
+        """Current listings, without expired ones unless asked for."""
+        state = self.state(before)
+        rows = self.current(state)
+        return self._live(rows, state.as_of_us) if live_only else rows
 
     def keep(self, kind: str, version: int, rows: DataFrame) -> DataFrame:
         """Write a table of a batch beside the listings and read it back.
@@ -93,43 +129,35 @@ class ListingSnapshots:
         rows.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
-    def kept(self, kind: str, before: int) -> DataFrame | None:
-        """What the last batch before ``before`` wrote under ``kind``, if any did."""
-        names = self._names(f"{kind}/v=*/_SUCCESS")
-        versions = [v for v in (int(n.split("/v=")[1].split("/")[0]) for n in names) if v < before]
-        return self.spark.read.parquet(f"{self.path}/{kind}/v={max(versions)}") if versions else None
+    def kept(self, kind: str, version: int | None, schema: T.StructType) -> DataFrame | None:
+        """What the batch ``version`` wrote under ``kind``; nothing where there was no batch."""
+        if version is None:
+            return None
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/v={version}")
 
-    def commit(self, version: int, changed: DataFrame, as_of_us: int | None) -> None:
-        """Make ``changed`` (one row per key) current and expire old rows of its buckets.
+    def commit(self, version: int, changed: DataFrame, as_of_us: int | None, state: State | None = None) -> None:
+        """Make ``changed`` (one row per key) current; a key with two rows refuses the batch.
 
         ``as_of_us`` is the time of the batch in microseconds; time never runs backwards.
+        ``state`` is that before the batch, where it has been read already.
         """
-        manifest, previous_us = self._manifest(before=version)
-        as_of_us = max((t for t in (previous_us, as_of_us) if t is not None), default=None)
-        touched = self.touched(changed.select(self.key))
-        if touched:
-            rows = changed.select(*self.schema.fieldNames())
-            keys = broadcast_if_small(rows.select(self.key))
-            old = self._load(manifest, touched).join(keys, self.key, "left_anti")
-            merged = old.unionByName(rows)
-            if as_of_us is not None:
-                merged = merged.where(
-                    not_expired(F.timestamp_micros(F.lit(as_of_us)), self.retention_days)
-                )
-            # One writer per bucket; keys are unique and hashed, so buckets are even.
+        state = self.state(version) if state is None else state
+        as_of_us = max((t for t in (state.as_of_us, as_of_us) if t is not None), default=None)
+        written = self.keep("rows", version, changed.select(*self.schema.fieldNames()))
+        twice = duplicate_keys(written.select(self.key), self.key).first()
+        if twice is not None:
+            raise ValueError(f"batch {version} has {twice['count']} rows of {self.key} {twice[self.key]}")
+        base, changes = state.base, [*state.changes, version]
+        if len(changes) >= self.compact_every:
+            whole = State(version, as_of_us, base, tuple(changes))
+            base, changes = version, []
+            live = self._live(self.current(whole), as_of_us)
             (
-                merged.withColumn("bucket", self.bucket_of(F.col(self.key)))
+                live.withColumn("bucket", bucket_of(F.col(self.key), self.buckets))
                 .repartition("bucket")
                 .write.mode("overwrite")
                 .partitionBy("bucket")
-                .parquet(f"{self.path}/data/v={version}")
+                .parquet(f"{self.path}/base/v={version}")
             )
-            filled = {
-                int(name.rsplit("bucket=", 1)[1]) for name in self._names(f"data/v={version}/bucket=*")
-            }
-            manifest = {b: v for b, v in manifest.items() if b not in touched}
-            manifest.update({b: version for b in touched if b in filled})
-        # Bucket -1 carries the time of the state.
-        entries = [(-1, version, as_of_us), *[(b, v, None) for b, v in sorted(manifest.items())]]
-        rows = self.spark.createDataFrame(entries, _MANIFEST).coalesce(1)
-        rows.write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
+        clock = self.spark.createDataFrame([(as_of_us, base, changes)], _CLOCK.rsplit(",", 1)[0])
+        clock.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/clock/v={version}")

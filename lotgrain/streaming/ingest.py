@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lotgrain.functions.urls import ad_number
 from lotgrain.operators import lookups as K
 from lotgrain.operators.lifetimes import micros
 from lotgrain.operators.upkeep import KEY, outcome_counts
@@ -36,9 +36,13 @@ def details_in_batch(batch: DataFrame, wanted: DataFrame) -> DataFrame:
     return I.ad_page_details(pages, wanted)
 
 
-def details_from(ad_pages: DataFrame) -> Details:
-    """Ad pages from a table of their own; every batch reads its numbers and the pages it needs."""
-    return lambda batch, wanted: I.ad_page_details(ad_pages, wanted)
+def details_from(ad_pages: DataFrame, buckets: int | None = None) -> Details:
+    """Ad pages from a table of their own; every batch reads its numbers and the pages it needs.
+
+    With ``buckets`` the table was written by ``bucketed_ad_pages`` and bucket, and a batch of
+    few ads reads the buckets of these alone.
+    """
+    return lambda batch, wanted: I.ad_page_details(ad_pages, wanted, buckets)
 
 
 def coded_features(details: DataFrame, lookups: DataFrame) -> DataFrame:
@@ -53,9 +57,10 @@ class BatchIngest:
     Beside the listings it writes ``sightings``, ``changes``, ``quarantine`` and ``stats``
     folders per version under the snapshot path.
 
-    Where ad pages come in the same stream, a sighting whose page is not there yet waits for it
-    and a page waits for its sighting, for up to ``wait_days`` of stream time; so the listings
-    do not depend on how files fall into batches. With ``lookups`` (domain, key, value) the
+    Where ad pages come in the same stream, a batch adds its own to ``ad_pages``, by version and
+    bucket, and reads those of the last ``wait_days`` of stream time; a sighting whose page is
+    not there yet waits for as long. So the listings do not depend on how files fall into
+    batches. With ``lookups`` (domain, key, value) the
     feature lists are stored as codes. A sighting dated more than ``lateness_days`` ahead of
     the clock is set aside: it would expire all others.
     """
@@ -78,29 +83,34 @@ class BatchIngest:
 
     def __call__(self, batch: DataFrame, version: int) -> None:
         store = self.store
+        state = store.state(version)
         # Pages are parsed once; usable and broken ads are told apart in the written table.
-        found = store.keep("sightings", version, self._checked(self.sightings(spread(batch))))
-        broken = F.size("parse_error") > 0
-        seen, source = found.where(~broken), batch
-        if self.waits:
-            pages = batch.where(F.col("url").rlike(AD_PAGE_URL)).withColumn("since_us", F.lit(None).cast("bigint"))
-            late, early = store.kept("waiting_sightings", version), store.kept("waiting_pages", version)
-            seen = seen if late is None else seen.unionByName(late)
-            source = pages if early is None else pages.unionByName(early)
-        stored = store.read_buckets(store.touched(seen.select(KEY)), before=version)
+        checked = self._checked(self.sightings(spread(batch)))
+        broken, noted = F.size("parse_error") > 0, Observation()
+        metrics = F.count_if(~broken).alias("n"), F.max(F.when(~broken, micros("seen_at"))).alias("as_of")
+        found = store.keep("sightings", version, checked.observe(noted, *metrics))
+        times = [t for t in (state.as_of_us, noted.get["as_of"]) if t is not None]
+        seen, at_most, as_of = found.where(~broken), noted.get["n"], max(times, default=None)
+        late = store.kept("waiting_sightings", state.version, found.schema) if self.waits else None
+        if late is not None:
+            seen, at_most = seen.unionByName(late), at_most + late.count()
+        stored = store.current(state, seen.select(KEY).distinct(), at_most)
         # Looked at for the pages to parse and again for the changes.
         lives = I.current_lives(seen, stored, store.retention_days * 86400)
         lives = lives.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            details = self.details(source, I.unstored(lives).select(KEY))
+            wanted = I.unstored(lives).select(KEY)
+            if self.waits:
+                details = I.ad_page_details(self._ad_pages(batch, version, as_of), wanted, store.buckets, at_most)
+            else:
+                details = self.details(batch, wanted)
             if self.lookups is not None:
                 details = coded_features(details, self.lookups)
-            changes = store.keep("changes", version, I.changed_rows(lives, stored, details))
+            changes = store.keep("changes", version, I.changed_rows(lives, stored, details, at_most))
         finally:
             lives.unpersist()
-        as_of = seen.agg(F.max(micros("seen_at")).alias("us")).first().us
         if self.waits:
-            seen, changes = self._wait(version, source, seen, changes, as_of)
+            seen, changes = self._wait(version, found.schema, seen, changes, as_of)
 
         failed = changes.where(F.col("outcome") == "failed").select(
             F.col("first_page").alias("page_id"),
@@ -110,25 +120,32 @@ class BatchIngest:
         unread = found.where(broken).select("page_id", "url", "parse_error")
         store.keep("quarantine", version, failed.unionByName(unread))
         store.keep("stats", version, outcome_counts(I.page_outcomes(seen, changes), ["page_id"]))
-        store.commit(version, I.storable(changes), as_of)
+        store.commit(version, I.storable(changes), as_of, state)
+
+    def _oldest(self, as_of: int | None) -> int | None:
+        return None if as_of is None else as_of - round(self.wait_days * 86_400_000_000)
+
+    def _ad_pages(self, batch: DataFrame, version: int, as_of: int | None) -> DataFrame:
+        """Add the batch's ad pages to those that came before; gives all young enough to count."""
+        store, folder = self.store, f"{self.store.path}/ad_pages"
+        pages = I.bucketed_ad_pages(batch.where(F.col("url").rlike(AD_PAGE_URL)), store.buckets)
+        pages.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
+        oldest = self._oldest(as_of)
+        first = 0 if oldest is None else store.first_since(version, oldest)
+        table = store.spark.read.schema(pages.withColumn("v", F.lit(0).cast("bigint")).schema).parquet(folder)
+        return table.where(F.col("v").between(first, version))
 
     def _wait(
-        self, version: int, pages: DataFrame, seen: DataFrame, changes: DataFrame, as_of: int | None
+        self, version: int, schema: T.StructType, seen: DataFrame, changes: DataFrame, as_of: int | None
     ) -> tuple[DataFrame, DataFrame]:
-        """Put aside what waits for its other half; gives the sightings and changes that are decided."""
-        oldest = F.lit(None).cast("bigint") if as_of is None else F.lit(as_of - round(self.wait_days * 86_400_000_000))
-        young = F.coalesce(micros("seen_at") >= oldest, F.lit(True))
+        """Put aside sightings that wait for their page; gives the sightings and changes that are decided."""
+        young = F.coalesce(micros("seen_at") >= F.lit(self._oldest(as_of)).cast("bigint"), F.lit(True))
         no_page = changes.where((F.col("outcome") == "failed") & (F.col("parse_error") == F.array(F.lit("ad_page"))))
         missing = seen.join(no_page.select(F.col("sighted_number").alias(KEY)), KEY, "left_semi")
         # All sightings of an ad wait as long as its last one is young.
         open_keys = missing.where(young).select(KEY).distinct()
-        self.store.keep("waiting_sightings", version, missing.join(open_keys, KEY, "left_semi").select(*seen.columns))
-        since = F.coalesce("since_us", F.lit(as_of).cast("bigint"))
-        used = changes.where(F.col("outcome") == "inserted").select(F.col("sighted_number").alias("_number"))
-        unused = pages.withColumn("_number", ad_number(F.col("url"))).join(used, "_number", "left_anti").drop("_number")
-        still = unused.withColumn("since_us", since).where(F.coalesce(F.col("since_us") >= oldest, F.lit(True)))
-        self.store.keep("waiting_pages", version, still.select(*pages.columns))
-        waiting = self.store.kept("waiting_sightings", version + 1).select(KEY).distinct()
+        waiting = missing.join(open_keys, KEY, "left_semi").select(*schema.fieldNames())
+        waiting = self.store.keep("waiting_sightings", version, waiting).select(KEY).distinct()
         decided = changes.join(waiting, F.col("sighted_number") == waiting[KEY], "left_anti")
         return seen.join(waiting, KEY, "left_anti"), decided
 

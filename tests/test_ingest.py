@@ -202,6 +202,48 @@ def test_refreshed_rows_keep_their_record(spark, store, ad_pages):
     assert (second.make, second.price, second.safety) == ("Mercedes Benz", 8500, ["ABS", "Nepoznato"])
 
 
+def test_state_is_compacted_and_every_version_can_be_read(spark, tmp_path, ad_pages):
+    store = ListingSnapshots(spark, str(tmp_path / "compacted"), buckets=4, compact_every=2)
+    plain = ListingSnapshots(spark, str(tmp_path / "plain"), buckets=4)
+    pages = [result_page(1, 0, 1, 2), result_page(2, 1, 5), result_page(3, 2, 1), result_page(4, 9, 3, 1)]
+    for version, page in enumerate(pages):
+        for to in (store, plain):
+            run(spark, to, ad_pages, version, page)
+        assert state(store) == state(plain)
+    assert (store.state().base, store.state().changes) == (3, ())
+    assert plain.state().changes == (0, 1, 2, 3)
+    assert [store.read(before=v).count() for v in range(5)] == [0, 2, 3, 3, 2]
+    # Ads 2 and 5 expired; a compacted base has left them out.
+    assert (store.read(live_only=False).count(), plain.read(live_only=False).count()) == (2, 4)
+
+
+def test_a_batch_with_two_rows_of_a_key_is_refused(spark, store, ad_pages):
+    run(spark, store, ad_pages, 0, result_page(1, 0, 1))
+    twice = store.read().unionAll(store.read())
+    with pytest.raises(ValueError, match="2 rows of ad_number 1"):
+        store.commit(1, twice, None)
+    assert store.versions() == [0] and len(state(store)) == 1
+
+
+def test_a_batch_writes_its_own_ad_pages_only(spark, store):
+    for version, batch in enumerate([[AD_PAGES[0]], [AD_PAGES[1], result_page(1, 1, 1)], [result_page(2, 2, 2)]]):
+        BatchIngest(store)(spark.createDataFrame(batch, RESULT_PAGES), version)
+    written = spark.read.parquet(f"{store.path}/ad_pages").select("v", "ad_number").collect()
+    assert sorted(tuple(r) for r in written) == [(0, 1), (1, 2)]
+    assert sorted(state(store)) == [1, 2]
+
+
+def test_ad_pages_by_bucket_are_pruned(spark, ad_pages, tmp_path):
+    I.bucketed_ad_pages(ad_pages, 64).write.partitionBy("bucket").parquet(f"{tmp_path}/pages")
+    table = spark.read.parquet(f"{tmp_path}/pages")
+    wanted = spark.createDataFrame([(1,), (77,)], "ad_number long")
+    rows = I.ad_page_details(table, wanted, buckets=64)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("dynamicpruning" in line for line in scans), plan
+    assert [(r.sighted_number, r.page_id) for r in rows.collect()] == [(1, 1001)]
+
+
 @pytest.mark.parametrize("limit", [10, 0])
 def test_only_wanted_pages_are_parsed(spark, ad_pages, monkeypatch, limit):
     # With and without a broadcast of the wanted ads.
