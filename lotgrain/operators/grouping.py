@@ -114,32 +114,38 @@ def group_rows(listings: DataFrame, keys: Sequence[str], min_count: int = 1) ->
 
 
 def chunk_plan(
-    rows: DataFrame, keys: Sequence[str], order: str, chunk_rows: int = CHUNK_ROWS
+    rows: DataFrame, keys: Sequence[str], order: str, valid: Column, min_count: int = 1, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Where each order value of each group goes: ``_base`` chunk and number of ``_splits``.
 
-    Works on a histogram (one row per group and order value), so it never sees single rows.
-    Values share a chunk until it is full; a value that alone exceeds a chunk is split.
+    Works on a histogram (one row per group and order value), so it never sees single rows; the
+    group's ``count`` and ``valid_count`` are sums over it, and groups below ``min_count`` have
+    no place. Values share a chunk until it is full; a value that alone exceeds a chunk is split.
     """
-    sizes = rows.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_n"), F.count_if(valid).alias("_v"))
 
     def before(*by: str, of: str) -> Column:
         earlier = Window.partitionBy(*by).orderBy(F.col(of).asc_nulls_first())
         return F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
+    whole = Window.partitionBy(*keys)
+    counts = [F.sum("_n").over(whole).alias("count"), F.sum("_v").over(whole).alias("valid_count")]
     if keys:
-        starts = sizes.withColumn("_start", before(*keys, of=order))
+        starts = sizes.select("*", before(*keys, of=order).alias("_start"), *counts)
     else:
         # One group for all rows: sums within ranges of the order first, then over the ranges'
         # totals, so that no task sees more than a range or one row per range.
         ranged = sizes.withColumn("_range", F.floor(F.col(order) / RANGE_WIDTH))
-        totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_n"))
-        offsets = totals.select(F.col("_range").alias("_r"), before(of="_range").alias("_offset"))
-        inner = ranged.withColumn("_inner", before("_range", of=order))
+        totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+        offsets = totals.select(F.col("_range").alias("_r"), before(of="_range").alias("_offset"), *counts)
+        # The condition keeps both sides' histograms the same, so Spark makes one.
+        inner = ranged.where("_v >= 0").withColumn("_inner", before("_range", of=order))
         starts = inner.join(offsets, F.col("_range").eqNullSafe(F.col("_r"))).withColumn("_start", F.col("_inner") + F.col("_offset"))
-    return starts.select(
+    return starts.where(F.col("count") >= max(min_count, 1)).select(
         *keys,
         order,
+        "count",
+        "valid_count",
         F.floor(F.col("_start") / chunk_rows).alias("_base"),
         F.greatest(F.floor(F.col("_n") / chunk_rows), F.lit(1)).alias("_splits"),
     )
@@ -152,22 +158,27 @@ def gather_in_chunks(
     tie: str,
     element: Column,
     into: str,
+    valid: Column,
+    min_count: int = 1,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Arrays of ``element`` per group and ``chunk``, every row in exactly one array.
 
     Inside a chunk the order is (order, tie); chunk numbers grow with ``order`` and may have
-    gaps. A group of up to ``chunk_rows`` rows has the single chunk 0.
+    gaps. A group of up to ``chunk_rows`` rows has the single chunk 0; one below ``min_count``
+    is left out before its rows move. ``count`` and ``valid_count`` are those of the group. A
+    value that is split is dealt out by all columns of its rows, so equal or null ties do not meet.
     """
     keys = list(keys)
-    plan = chunk_plan(rows, keys, order, chunk_rows)
+    plan = chunk_plan(rows, keys, order, valid, min_count, chunk_rows)
     names = [*keys, order]
-    plan = plan.select(*[F.col(n).alias(f"_p_{n}") for n in names], "_base", "_splits")
+    counts = ["count", "valid_count"]
+    plan = plan.select(*[F.col(n).alias(f"_p_{n}") for n in names], *counts, "_base", "_splits")
     on = reduce(and_, [rows[n].eqNullSafe(plan[f"_p_{n}"]) for n in names])
-    share = F.pmod(F.xxhash64(tie), F.col("_splits"))
+    share = F.pmod(F.xxhash64(*rows.columns), F.col("_splits"))
     placed = rows.join(plan, on).withColumn("chunk", F.col("_base") + share)
     item = F.struct(F.col(order).alias("o"), F.col(tie).alias("t"), element.alias("e"))
-    gathered = placed.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(item)).alias(into))
+    gathered = placed.groupBy(*keys, *counts, "chunk").agg(F.sort_array(F.collect_list(item)).alias(into))
     return gathered.withColumn(into, F.transform(into, lambda x: x["e"]))
 
 
@@ -187,14 +198,9 @@ def group_members(
         raise ValueError("members are sorted by year or price")
     keys = check_keys(keys)
     members = with_member_id(listings).select(*MEMBER_FIELDS)
-    counts = group_counts(listings, keys, min_count)
     car = F.when(is_valid_member(), F.struct(*MEMBER_FIELDS))
-    arrays = gather_in_chunks(members, keys, sort_by, "id", car, "cars", chunk_rows)
-    if not keys:
-        return _with_total(arrays, counts).select("count", "valid_count", "chunk", "cars")
-    renamed = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "count", "valid_count")
-    on = reduce(and_, [arrays[k].eqNullSafe(renamed[f"_{k}"]) for k in keys])
-    return arrays.join(renamed, on).select(*keys, "count", "valid_count", "chunk", "cars")
+    arrays = gather_in_chunks(members, keys, sort_by, "id", car, "cars", is_valid_member(), min_count, chunk_rows)
+    return arrays.select(*keys, "count", "valid_count", "chunk", "cars")
 
 
 def makes_models(

@@ -95,6 +95,30 @@ def test_large_groups_come_whole_in_ordered_chunks(spark):
     assert all(r.chunk == 0 for r in chunks if r["count"] <= 50)
 
 
+@pytest.mark.parametrize("keys", [["make"], []])
+def test_null_ids_of_one_price_do_not_meet_in_one_array(spark, keys):
+    n = 50_000
+    rows = spark.range(n).select(
+        F.lit(None).cast("long").alias("ad_number"), F.concat(F.lit("/"), "id").alias("link"), F.lit(None).cast("string").alias("img_src"),
+        F.lit("Hot").alias("make"), F.lit("m").alias("model"), F.lit(2010).alias("year"), F.lit(500).alias("price"),
+        F.lit(1).alias("engine_power"), F.lit(1).alias("engine_capacity"),
+    )
+    chunks = G.group_members(rows, keys, sort_by="price", chunk_rows=1000).select("count", F.size("cars").alias("size")).collect()
+    assert sum(r.size for r in chunks) == n and {r["count"] for r in chunks} == {n}
+    assert len(chunks) == 50 and max(r.size for r in chunks) < 2000
+
+
+def test_groups_below_the_threshold_are_not_gathered(cars):
+    rows = G.group_members(cars, ["make"], 2).collect()
+    assert [(r.make, r["count"], r.valid_count, len(r.cars)) for r in rows] == [("Bmw", 4, 4, 4)]
+
+
+def test_members_come_from_two_scans(spark, cars, tmp_path):
+    cars.write.parquet(f"{tmp_path}/cars")
+    plan = G.group_members(spark.read.parquet(f"{tmp_path}/cars"), ["make"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+
+
 def test_flat_members(cars):
     rows = G.group_rows(cars, ["make"], 2).collect()
     assert sorted(r.id for r in rows) == ["1", "2", "3", "4"] and {r["count"] for r in rows} == {4}
