@@ -30,7 +30,7 @@ from lotgrain.session import shared_folder
 from lotgrain.sources import pages as PG
 from lotgrain.sources.listings import group_json
 from lotgrain.sources.snapshots import ListingSnapshots
-from lotgrain.streaming.ingest import BatchIngest, details_from, start_ingest
+from lotgrain.streaming.ingest import BatchIngest, PageRun, await_run, details_from, start_ingest
 from lotgrain.streaming.watermarked import ended_lives, first_seen
 
 
@@ -1520,6 +1520,37 @@ def _(t: Tables) -> DataFrame:
     return work.store.read().where(wanted).select("ad_number", *[F.array_join(c, "|", "-").alias(c) for c in ("safety", "options")])
 
 
+@query(
+    "ingest_run",
+    """
+    with top as (select max(p_partkey) as total from part),
+    last as (select min(p_partkey) as p, any_value(total) as total from part, top
+             where p_partkey >= 10 and p_partkey * 10 >= total * 7)
+    select 'parts' as run, cast(any_value(p) as int) as last_page, count(*) as pages, count(*) as attempted,
+           count(*) filter (p_type not in ('PROMO', 'LARGE')) as inserted, cast(0 as bigint) as refreshed,
+           count(*) filter (p_type in ('PROMO', 'LARGE')) as failed, cast(any_value(total) as int) as total_ads
+    from part, last where p_partkey between 10 and p
+    """,
+)
+def _(t: Tables) -> DataFrame:
+    # A run from page 10 in two batches; the counters of the last three tenths say that theirs is the last page.
+    total = F.broadcast(t.part.agg(F.max("p_partkey").alias("total")))
+    is_last = F.col("page_id") * 10 >= F.col("total") * 7
+    counter = F.concat(
+        F.lit('<h1 class="uk-h1 js-hide-on-filter">Oglasi</h1><small>Prikazano 1 do '),
+        F.when(is_last, F.col("total")).otherwise(F.col("page_id") - 1), F.lit(" od ukupno "), dotted(F.col("total")), F.lit("</small>"),
+    )
+    pages = part_result_pages(t).join(total).withColumn("html", F.concat(counter, "html"))
+    pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
+    folder = shared_folder(t.spark, "ingest-run")
+    store = ListingSnapshots(t.spark, f"{folder}/listings", buckets=8)
+    work = BatchIngest(store, details=details_from(part_ad_pages(t)), run=PageRun("parts", start_page=10))
+    for half in (F.col("page_id") * 2 < F.col("total"), F.col("page_id") * 2 >= F.col("total")):
+        pages.where(half).drop("total").write.mode("append").parquet(f"{folder}/pages")
+        totals = await_run(start_ingest(PG.stream_pages(t.spark, f"{folder}/pages"), work, f"{folder}/checkpoint"), work)
+    return totals
+
+
 def _stream_to_table(t: Tables, rows: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(t.spark, name)
     writer = rows.writeStream.format("parquet").option("path", f"{folder}/rows")

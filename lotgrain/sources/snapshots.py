@@ -56,13 +56,17 @@ class ListingSnapshots:
         self.schema, self.key, self.retention_days = schema, key, retention_days
         self.compact_every = compact_every
 
-    def _clock(self) -> DataFrame:
+    def table(self, kind: str, schema: str) -> DataFrame:
+        """What all batches kept under ``kind``, by version ``v``; no rows where none has yet."""
         try:
-            return self.spark.read.schema(_CLOCK).parquet(f"{self.path}/clock")
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], _CLOCK)
+            return self.spark.createDataFrame([], schema)
+
+    def _clock(self) -> DataFrame:
+        return self.table("clock", _CLOCK)
 
     def versions(self) -> list[int]:
         """Committed versions, oldest first."""

@@ -15,12 +15,15 @@ from lotgrain.operators import lookups as K
 from lotgrain.operators.lifetimes import micros
 from lotgrain.operators.upkeep import KEY, outcome_counts
 from lotgrain.plans import ingest as I
-from lotgrain.sources.pages import spread
+from lotgrain.plans.extraction import page_counter
+from lotgrain.sources.pages import page_window, spread
 from lotgrain.sources.snapshots import ListingSnapshots
 
 # Fixed value: addresses of ad pages; every other page is a result page.
 AD_PAGE_URL = r"/auto-oglasi/\d+/"
 FEATURES = ("safety", "options", "details")
+_SUMS = ("attempted", "inserted", "refreshed", "failed")
+_RUN = "run string, last_page int, pages bigint, attempted bigint, inserted bigint, refreshed bigint, failed bigint, total_ads int"
 
 Sightings = Callable[[DataFrame], DataFrame]
 Details = Callable[[DataFrame, DataFrame], DataFrame]
@@ -50,6 +53,18 @@ def coded_features(details: DataFrame, lookups: DataFrame) -> DataFrame:
     return K.translate_checked(details, {name: K.domain(lookups, name) for name in FEATURES})
 
 
+@dataclass(frozen=True)
+class PageRun:
+    """One pass over the result pages: from ``start_page`` on, at most ``max_pages`` of them, up to the
+    first one whose counter says it is the last. Pages come in their order; a run may take several batches
+    and restarts, and another name begins another run over the same listings.
+    """
+
+    name: str = "run"
+    start_page: int = 1
+    max_pages: int | None = None
+
+
 @dataclass
 class BatchIngest:
     """What a micro-batch does; also callable on a plain batch with a version number.
@@ -63,6 +78,10 @@ class BatchIngest:
     batches. With ``lookups`` (domain, key, value) the
     feature lists are stored as codes. A sighting dated more than ``lateness_days`` ahead of
     the clock is set aside: it would expire all others.
+
+    With ``run`` result pages outside of it are left out, and ``runs`` has its totals after every
+    batch: pages read, ads attempted, inserted, refreshed and failed, the last page once it is
+    known, and the announced total.
     """
 
     store: ListingSnapshots
@@ -71,6 +90,8 @@ class BatchIngest:
     lookups: DataFrame | None = None
     wait_days: float = 7
     lateness_days: float = 1
+    run: PageRun | None = None
+    _run_is_over: bool = field(default=False, init=False)
 
     @property
     def waits(self) -> bool:
@@ -84,6 +105,10 @@ class BatchIngest:
     def __call__(self, batch: DataFrame, version: int) -> None:
         store = self.store
         state = store.state(version)
+        run, counters = None, None
+        if self.run is not None:
+            run = self._run_before(version)
+            batch, counters, run["last_page"] = self._within_run(batch, version, run["last_page"])
         # Pages are parsed once; usable and broken ads are told apart in the written table.
         checked = self._checked(self.sightings(spread(batch)))
         broken, noted = F.size("parse_error") > 0, Observation()
@@ -119,8 +144,57 @@ class BatchIngest:
         )
         unread = found.where(broken).select("page_id", "url", "parse_error")
         store.keep("quarantine", version, failed.unionByName(unread))
-        store.keep("stats", version, outcome_counts(I.page_outcomes(seen, changes), ["page_id"]))
+        stats = store.keep("stats", version, outcome_counts(I.page_outcomes(seen, changes), ["page_id"]))
+        if run is not None:
+            self._count_run(version, run, counters, stats)
         store.commit(version, I.storable(changes), as_of, state)
+        self._run_is_over = run is not None and self._over(run)
+
+    def _run_before(self, version: int | None = None) -> dict:
+        """The totals of the run before a batch, or up to the last committed one."""
+        rows = self.store.table("runs", f"{_RUN}, v bigint").where(F.col("run") == self.run.name)
+        if version is None:
+            version = self.store.state().version
+            version = 0 if version is None else version + 1
+        last = rows.where(F.col("v") < version).orderBy(F.desc("v")).drop("v").first()
+        return last.asDict() if last else {"run": self.run.name, "last_page": None, "pages": 0, **dict.fromkeys(_SUMS, 0), "total_ads": None}
+
+    def _over(self, run: dict) -> bool:
+        limit = self.run.max_pages
+        return run["last_page"] is not None or (limit is not None and run["pages"] >= limit)
+
+    def _within_run(self, batch: DataFrame, version: int, last: int | None) -> tuple[DataFrame, DataFrame, int | None]:
+        """The batch without result pages outside of the run, the counters of those inside, and the last page if known."""
+        is_ad_page = F.col("url").rlike(AD_PAGE_URL)
+        inside = page_window(self.run.start_page, self.run.max_pages)
+        pages = batch.where(~is_ad_page & inside).select("page_id", "page_no", "html")
+        counted = page_counter(spread(pages)).select("page_id", "page_no", "total", "is_last")
+        # The first last page is seen while the counters are written.
+        noted = Observation()
+        counted = counted.observe(noted, F.min(F.when(F.col("is_last"), F.col("page_no"))).alias("last"))
+        counters = self.store.keep("counters", version, counted)
+        last = min((n for n in (last, noted.get["last"]) if n is not None), default=None)
+        if last is not None:
+            inside, counters = inside & (F.col("page_no") <= last), counters.where(F.col("page_no") <= last)
+        return batch.where(is_ad_page | inside), counters, last
+
+    def _count_run(self, version: int, run: dict, counters: DataFrame, stats: DataFrame) -> None:
+        """Add a batch to the totals of the run and keep them; single numbers are fetched."""
+        read = counters.agg(F.countDistinct("page_id").alias("pages"), F.max("total").alias("total_ads")).first()
+        sums = stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS]).first()
+        run["pages"] += read["pages"]
+        run["total_ads"] = max((n for n in (run["total_ads"], read["total_ads"]) if n is not None), default=None)
+        for c in _SUMS:
+            run[c] += sums[c]
+        self.store.keep("runs", version, self.store.spark.createDataFrame([run], _RUN).coalesce(1))
+
+    def run_totals(self) -> DataFrame:
+        """One row: the totals of the run up to the last committed batch."""
+        return self.store.spark.createDataFrame([self._run_before()], _RUN)
+
+    def run_is_over(self, look: bool = False) -> bool:
+        """Whether the last page, or as many pages as wanted, were read; ``look`` asks the stored totals."""
+        return self._run_is_over or (look and self.run is not None and self._over(self._run_before()))
 
     def _oldest(self, as_of: int | None) -> int | None:
         return None if as_of is None else as_of - round(self.wait_days * 86_400_000_000)
@@ -158,3 +232,15 @@ def start_ingest(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def await_run(query: StreamingQuery, work: BatchIngest, poll_seconds: float = 0.5) -> DataFrame:
+    """Wait until the run is over or the stream has ended, stop the stream, and give the run's totals.
+
+    A batch cut off by the stop has pages outside of the run only, or is done again after a restart.
+    """
+    over = work.run_is_over(look=True)
+    while not over and not query.awaitTermination(poll_seconds):
+        over = work.run_is_over()
+    query.stop()
+    return work.run_totals()

@@ -8,7 +8,7 @@ from lotgrain.plans import ingest as I
 from lotgrain.schema import RESULT_PAGES
 from lotgrain.sources.pages import stream_pages
 from lotgrain.sources.snapshots import ListingSnapshots
-from lotgrain.streaming.ingest import BatchIngest, details_from, start_ingest
+from lotgrain.streaming.ingest import BatchIngest, PageRun, await_run, details_from, start_ingest
 from tests.test_extraction import ad_page
 
 DAY0 = datetime(2024, 1, 1)
@@ -252,3 +252,44 @@ def test_only_wanted_pages_are_parsed(spark, ad_pages, monkeypatch, limit):
     wanted = spark.createDataFrame([(1,), (77,)], "ad_number long")
     rows = I.ad_page_details(ad_pages.unionByName(newer), wanted).collect()
     assert [(r.sighted_number, r.page_id) for r in rows] == [(1, 5000)]
+
+
+def counted(page, to, total):
+    """A result page with its counter."""
+    counter = f"<h1 class='uk-h1 js-hide-on-filter'>x</h1><small>Prikazano 1 do {to} od ukupno {total}</small>"
+    return (*page[:3], counter + page[3], page[4])
+
+
+RUN_PAGES = [
+    counted(result_page(1, 0, 5), 1, 9), counted(result_page(2, 0, 1), 2, 9), counted(result_page(3, 0, 4, 1), 4, 9),
+    counted(result_page(4, 0, 2), 9, 9), counted(result_page(5, 0, 3), 9, 9),
+]
+
+
+def test_a_run_starts_at_its_page_and_ends_at_the_last_one(spark, store, ad_pages):
+    # Nothing of the first batch is in the run, and the last batch has a page too many.
+    split = [1, 2, 2]
+    work, at = BatchIngest(store, details=details_from(ad_pages), run=PageRun("a", start_page=2)), 0
+    for version, size in enumerate(split):
+        work(spark.createDataFrame(RUN_PAGES[at : at + size], RESULT_PAGES), version)
+        at += size
+    assert sorted(state(store)) == [1, 2] and work.run_is_over()
+    expected = {"run": "a", "last_page": 4, "pages": 3, "attempted": 3, "inserted": 2, "refreshed": 1, "failed": 1, "total_ads": 9}
+    assert work.run_totals().first().asDict() == expected
+    # A batch that is done again counts once; another run begins anew over the same listings.
+    work(spark.createDataFrame(RUN_PAGES[at - split[-1] :], RESULT_PAGES), len(split) - 1)
+    assert work.run_totals().first().asDict() == expected
+    other = BatchIngest(store, details=details_from(ad_pages), run=PageRun("b", max_pages=1))
+    assert not other.run_is_over(look=True) and other.run_totals().first()["pages"] == 0
+    other(spark.createDataFrame(RUN_PAGES, RESULT_PAGES), len(split))
+    assert sorted(state(store)) == [1, 2, 5] and other.run_is_over()
+    assert (other.run_totals().first()["pages"], other.run_totals().first()["last_page"]) == (1, None)
+
+
+def test_a_running_stream_stops_at_the_last_page(spark, store, ad_pages, tmp_path):
+    folder = str(tmp_path / "run-pages")
+    spark.createDataFrame(RUN_PAGES[:4], RESULT_PAGES).coalesce(1).write.parquet(folder)
+    work = BatchIngest(store, details=details_from(ad_pages), run=PageRun(start_page=2))
+    query = start_ingest(stream_pages(spark, folder), work, str(tmp_path / "run-checkpoint"), available_now=False)
+    totals = await_run(query, work).first()
+    assert not query.isActive and (totals["last_page"], totals["pages"]) == (4, 3)
