@@ -1534,19 +1534,19 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     # A run from page 10 in two batches; the counters of the last three tenths say that theirs is the last page.
-    total = F.broadcast(t.part.agg(F.max("p_partkey").alias("total")))
-    is_last = F.col("page_id") * 10 >= F.col("total") * 7
+    total = t.part.agg(F.max("p_partkey").alias("total")).scalar()
+    is_last = F.col("page_id") * 10 >= total * 7
     counter = F.concat(
         F.lit('<h1 class="uk-h1 js-hide-on-filter">Oglasi</h1><small>Prikazano 1 do '),
-        F.when(is_last, F.col("total")).otherwise(F.col("page_id") - 1), F.lit(" od ukupno "), dotted(F.col("total")), F.lit("</small>"),
+        F.when(is_last, total).otherwise(F.col("page_id") - 1), F.lit(" od ukupno "), dotted(total), F.lit("</small>"),
     )
-    pages = part_result_pages(t).join(total).withColumn("html", F.concat(counter, "html"))
+    pages = part_result_pages(t).withColumn("html", F.concat(counter, "html"))
     pages = pages.withColumn("page_id", F.col("page_id").cast("long"))
     folder = shared_folder(t.spark, "ingest-run")
     store = ListingSnapshots(t.spark, f"{folder}/listings", buckets=8)
     work = BatchIngest(store, details=details_from(part_ad_pages(t)), run=PageRun("parts", start_page=10))
-    for half in (F.col("page_id") * 2 < F.col("total"), F.col("page_id") * 2 >= F.col("total")):
-        pages.where(half).drop("total").write.mode("append").parquet(f"{folder}/pages")
+    for half in (F.col("page_id") * 2 < total, F.col("page_id") * 2 >= total):
+        pages.where(half).write.mode("append").parquet(f"{folder}/pages")
         totals = await_run(start_ingest(PG.stream_pages(t.spark, f"{folder}/pages"), work, f"{folder}/checkpoint"), work)
     return totals
 
