@@ -21,8 +21,8 @@ _MARKS = BREAK + OPEN + CLOSE + "".join(SPARE)
 QUICK_DEPTH = 60
 
 # What does not end runs to the end of the page, so every character is read once.
-_DROPPED = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<![^>]*+(?:>|\z)"
-_QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
+# The look ahead passes over characters that begin nothing without trying every kind.
+_DROPPED = r"(?is)(?=<[!s])(?:<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<![^>]*+(?:>|\z))"
 # A tag starts with a letter; quoted attribute values may hold '>'. Loops are possessive: the
 # JVM walks them without recursion, whatever the number of attributes.
 _QUOTED_REST = rf"""[^<>"']*+(?:{_QUOTED}[^<>"']*+)*+>"""
@@ -93,8 +93,8 @@ def first_element_text(html: Column, name: str) -> Column:
 
 def tag_pattern(name: str, *needs: str) -> str:
     """Pattern of an opening tag; ``needs`` are attribute patterns it must have."""
-    # Skips values and other characters up to where the needed attribute begins.
-    looks = "".join(rf"""(?=(?:(?!\s{need})(?:[^<>"']|{_QUOTED}))*+\s{need})""" for need in needs)
+    # Skips values and other characters up to where the needed attribute begins; it can begin at white space only.
+    looks = "".join(rf"""(?=(?:[^<>"'\s]++|{_QUOTED}|(?!\s{need})\s)*+\s{need})""" for need in needs)
     return rf"(?i)<{name}\b{looks}{_QUOTED_REST}"
 
 
@@ -148,6 +148,51 @@ def text_with(label: str) -> str:
     return rf"\Q{label}\E"
 
 
+def same_marks(outlined: Column) -> Column:
+    """An outline with one and the same mark for all tags, character for character in the same places."""
+    return F.translate(outlined, _MARKS, BREAK * len(_MARKS))
+
+
+def has_text(same: Column, label: str) -> Column:
+    """Whether an outline with the same marks has a text node that is just this label."""
+    return F.contains(same, F.lit(f"{BREAK}{label}{BREAK}"))
+
+
+def _from(text: Column, found: Column, offset: int) -> Column:
+    """``text`` from ``offset`` characters behind the first place; empty where ``found`` (what is in front of it) is all."""
+    return F.substring(text, F.length(found) + F.lit(offset + 1), F.lit(2**31 - 1))
+
+
+def after_text(outlined: Column, same: Column, label: str) -> Column:
+    """What follows the first text node that is just this label; empty without one.
+
+    ``same`` is the outline with the same marks. Plain comparisons of bytes, no expression.
+    """
+    return _from(outlined, F.substring_index(same, f"{BREAK}{label}{BREAK}", 1), 1 + len(label))
+
+
+def after_text_with(outlined: Column, label: str) -> Column:
+    """What follows the first place of a label; empty without one."""
+    return _from(outlined, F.substring_index(outlined, label, 1), len(label))
+
+
+def from_block(outlined: Column) -> Column:
+    """An outline from its first ``div`` on; empty without one."""
+    return _from(outlined, F.substring_index(outlined, OPEN, 1), 0)
+
+
+def block_at(opened: Column) -> Column:
+    """The block that an outline starts with; null where it is empty. One that stays open ends with the text.
+
+    Blocks without inner ones are cut at the first mark that closes; the others by one expression, or counted out.
+    """
+    head = F.substring_index(opened, CLOSE, 1)
+    flat = (F.length(head) < F.length(opened)) & ~F.contains(F.substring(head, 2, 2**31 - 1), F.lit(OPEN))
+    quick = F.regexp_extract(opened, f"(?s)\\A({OPEN}{BALANCED}{CLOSE})", 1)
+    inner = F.coalesce(F.nullif(quick, F.lit("")), _first_block(opened))
+    return F.when(opened != "", F.when(flat, F.concat(head, F.lit(CLOSE))).otherwise(inner))
+
+
 def _first_block(opened: Column) -> Column:
     """The block that an outline starts with, by counting marks; one that stays open ends with the text."""
     pieces = F.regexp_extract_all(opened, F.lit(f"(?s)[{OPEN}{CLOSE}]|[^{OPEN}{CLOSE}]++"), 0)

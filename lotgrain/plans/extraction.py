@@ -221,32 +221,49 @@ def ad_page_texts(pages: DataFrame, html: str = "html", details_after_basics: bo
     """
     kept = [c for c in pages.columns if c != html]
     parts = _content_parts(pages, html)
-
-    def text(part: str, label_pattern: str) -> Column:
-        return M.plain_text(M.block_after(F.col(part), label_pattern))
-
+    # Labels are looked up by plain comparisons, one step for all of them at a time.
+    marked = settled(
+        parts,
+        [*kept, "price_text", "_content", "_basic", "_behind", "_info"],
+        {"_basic_same": M.same_marks(F.col("_basic")), "_info_same": M.same_marks(F.col("_info"))},
+    )
+    behind = {n: "_behind" if n == "details" and details_after_basics else "_content" for n in FEATURE_LABELS}
+    after = {
+        **{n: M.after_text(F.col("_basic"), F.col("_basic_same"), v) for n, v in BASIC_LABELS.items()},
+        **{n: M.after_text(F.col("_info"), F.col("_info_same"), v) for n, v in INFO_LABELS.items()},
+        **{n: M.after_text_with(F.col("_info"), v) for n, v in OPTIONAL_INFO_LABELS.items()},
+        **{n: M.after_text_with(F.col(behind[n]), v) for n, v in FEATURE_LABELS.items()},
+    }
     # An ad without this label has no capacity; one whose label has no block cannot be read.
-    capacity = M.exact_text(BASIC_LABELS["engine_capacity"])
-    unread = {"engine_capacity": F.when(F.col("_basic").rlike(capacity), F.lit(""))}
+    shows_capacity = M.has_text(F.col("_basic_same"), BASIC_LABELS["engine_capacity"])
+    found = settled(
+        marked,
+        [*kept, "price_text"],
+        {
+            **{f"_{n}": c for n, c in after.items()},
+            "_shows_capacity": shows_capacity,
+            "has_content": F.col("_content").isNotNull(),
+        },
+    )
+    still = [*kept, "price_text", "_shows_capacity", "has_content"]
+    found = settled(found, still, {f"_{n}": M.from_block(F.col(f"_{n}")) for n in after})
+    unread = {"engine_capacity": F.when(F.col("_shows_capacity"), F.lit(""))}
 
-    def basic(name: str, label: str) -> Column:
-        found = text("_basic", M.exact_text(label))
-        return F.coalesce(found, unread[name]) if name in unread else found
+    def text(name: str) -> Column:
+        shown = M.plain_text(M.block_at(F.col(f"_{name}")))
+        return F.coalesce(shown, unread[name]) if name in unread else shown
 
-    def features(name: str, label: str) -> Column:
-        part = "_behind" if name == "details" and details_after_basics else "_content"
-        blocks = M.marked_blocks(M.block_after(F.col(part), M.text_with(label)), _FEATURE)
-        found = F.transform(blocks, lambda b: X.strip_text(M.plain_text(b)))
-        return F.coalesce(found, F.array().cast("array<string>"))
+    def features(name: str) -> Column:
+        blocks = M.marked_blocks(M.block_at(F.col(f"_{name}")), _FEATURE)
+        shown = F.transform(blocks, lambda b: X.strip_text(M.plain_text(b)))
+        return F.coalesce(shown, F.array().cast("array<string>"))
 
-    return parts.select(
+    return found.select(
         *kept,
         "price_text",
-        *[basic(n, v).alias(f"{n}_text") for n, v in BASIC_LABELS.items()],
-        *[text("_info", M.exact_text(v)).alias(f"{n}_text") for n, v in INFO_LABELS.items()],
-        *[text("_info", M.text_with(v)).alias(f"{n}_text") for n, v in OPTIONAL_INFO_LABELS.items()],
-        *[features(n, v).alias(n) for n, v in FEATURE_LABELS.items()],
-        F.col("_content").isNotNull().alias("has_content"),
+        *[text(n).alias(f"{n}_text") for n in (*BASIC_LABELS, *INFO_LABELS, *OPTIONAL_INFO_LABELS)],
+        *[features(n).alias(n) for n in FEATURE_LABELS],
+        "has_content",
     )
 
 

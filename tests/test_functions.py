@@ -125,6 +125,30 @@ def test_the_first_mention_of_a_label_wins(spark, depth, closed):
         assert values(spark, [html], lambda c: M.plain_text(M.block_after(M.outline(c), pattern))) == [want]
 
 
+@pytest.mark.parametrize("html", [
+    "<p>L</p><div>x</div>", "<div>L</div><div>x", "<p>L y</p><p>L</p>z<div>a<div>b</div>c</div>d", "<p>L</p>", "", "no tag L", "L<div>x</div>", None,
+    "<b>ž</b><p>L</p><div><b>š</b></div><p>L</p><div>y</div>", "<p>L</p><div>" + "<div>" * 80 + "x" + "</div>" * 80 + "w</div>v", "<p>L</p></div><div></div>",
+])
+def test_labels_found_by_comparison_as_by_expression(spark, html):
+    def exact(c):
+        o = M.outline(c)
+        return F.struct(M.block_after(o, M.exact_text("L")), M.block_at(M.from_block(M.after_text(o, M.same_marks(o), "L"))))
+
+    def part(c):
+        o = M.outline(c)
+        return F.struct(M.block_after(o, M.text_with("L")), M.block_at(M.from_block(M.after_text_with(o, "L"))))
+
+    for look_up in (exact, part):
+        (found,) = values(spark, [html], look_up)
+        assert found[0] == found[1]
+
+
+def test_dropped_markup_is_looked_for_where_it_can_begin(spark):
+    html = "a<!-- <b> -->b<SCRIPT x>1</script >c<style>d</STYLE>e<!doctype h>f<scripts>g</b>h<!-- open"
+    assert values(spark, [html, "x<", "<", None], M.visible_markup) == ["abcef<scripts>g</b>h", "x<", "<", None]
+    assert M._DROPPED.startswith("(?is)(?=<[!s])")
+
+
 def test_a_first_mention_without_a_block_gives_way(spark):
     assert values(spark, ["<p>L</p>"], lambda c: M.block_after(M.outline(c), M.exact_text("L"))) == [None]
     assert values(spark, ["<div><p>L</p></div><p>L</p><div>x</div>"], lambda c: M.plain_text(M.block_after(M.outline(c), M.exact_text("L")))) == ["x"]
