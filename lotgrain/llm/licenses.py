@@ -54,13 +54,15 @@ DECIDING = {
 #: Diagonals of one span differ by at most this many words; so do the gaps between its stretches.
 DRIFT = 2
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Every ASCII character that is no digit or letter stands between words.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words_of(text: str | Column) -> Column:
-    lowered = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Lower-cased words of digits, letters and non-ASCII characters: one translation, and a split at single spaces."""
+    plain = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def pair_hashes(words: Column) -> Column:
