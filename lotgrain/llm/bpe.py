@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lotgrain.llm.rows import with_text_columns
+from lotgrain.llm.rows import kept, with_text_columns
 
 #: Words whose tokens a task remembers; it forgets all of them when there are more.
 REMEMBERED = 400_000
@@ -71,11 +71,13 @@ class Merges:
         self.singles = len(singles)
         #: Longest token: no token that is still open starts earlier than this before the end.
         self.reach = max(map(len, self.tokens))
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: By one number for two tokens: a times the number of tokens, plus b.
+        self.fits: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.endings = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fits": {}, "endings": None}
+        return self.__dict__ | {"fits": {}, "whole": {}, "endings": None}
 
     def automaton(self) -> ahocorasick.Automaton:
         """Finds, for each position, the tokens that end there, the longest first."""
@@ -94,11 +96,12 @@ class Merges:
         border existed until the token they make was merged; a merge across the border that
         comes before that would have taken place.
         """
-        found = self.fits.get((a, b))
+        pair = a * len(self.tokens) + b
+        found = self.fits.get(pair)
         if found is None:
             if len(self.fits) > 2 * REMEMBERED:
                 self.fits.clear()
-            found = self.fits[a, b] = self._neighbours(a, b)
+            found = self.fits[pair] = self._neighbours(a, b)
         return found
 
     def _neighbours(self, a: int, b: int) -> bool:
@@ -121,18 +124,16 @@ class Merges:
         if whole is not None and self._whole(whole):
             yield self.out[whole]
             return
-        reach, known, neighbours = self.reach, self.fits, self.neighbours
+        if len(data) <= 4 * self.reach:
+            yield from self._tokens(self._lasts(data), 0, 0, len(data))
+            return
+        reach, neighbours = self.reach, self.neighbours
         last: list[int] = []  # the last token of the prefix that ends at base + i + 1
         base = emitted = done = 0
         for at, (token, size) in self.automaton().iter(data.decode("latin-1")):
             end = at + 1
-            if end == done:
+            if end == done or (end > size and not neighbours(last[end - size - base - 1], token)):
                 continue
-            if end > size:
-                left = last[end - size - base - 1]
-                fits = known.get((left, token))
-                if not (neighbours(left, token) if fits is None else fits):
-                    continue
             last.append(token)
             done = end
             if len(last) > 4 * reach:
@@ -146,13 +147,32 @@ class Merges:
                     last, base = last[drop:], base + drop
         yield from self._tokens(last, base, emitted, len(data))
 
+    def _lasts(self, data: bytes) -> list[int]:
+        """The last token of every prefix of a short piece, which needs no emitting on the way."""
+        known, neighbours, n = self.fits.get, self.neighbours, len(self.tokens)
+        last: list[int] = []
+        done = -1
+        for at, (token, size) in self.automaton().iter(data.decode("latin-1")):
+            if at == done:
+                continue
+            if at >= size:
+                left = last[at - size]
+                fits = known(left * n + token)
+                if fits is None:
+                    fits = neighbours(left, token)
+                if not fits:
+                    continue
+            last.append(token)
+            done = at
+        return last
+
     def _whole(self, token: int) -> bool:
         """Whether a token's bytes are encoded as itself (its halves are neighbours up to then)."""
         if token < self.singles:
             return True
-        found = self.fits.get((token, -1))
+        found = self.whole.get(token)
         if found is None:
-            found = self.fits[token, -1] = self._reached(token)
+            found = self.whole[token] = self._reached(token)
         return found
 
     def _reached(self, token: int) -> bool:
@@ -240,15 +260,19 @@ class Encoder:
             self._remember("pieces", piece, found)
         return found
 
+    def _split(self, text: str) -> list[str]:
+        return (self.piece if self.beyond.search(text) else self.plain).findall(text)
+
     def _pieces(self, text: str) -> list[int]:
-        split = self.piece if self.beyond.search(text) else self.plain
-        return list(chain.from_iterable(map(self._piece, split.findall(text))))
+        return list(chain.from_iterable(map(self._piece, self._split(text))))
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Tokens of a space and the word behind it."""
         found = self.words.get(word)
         if found is None:
-            found = tuple(self._pieces(" " + word))
+            pieces = self._split(" " + word)
+            # A word of one piece shares its tokens with it.
+            found = self._piece(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self._piece, pieces)))
             self._remember("words", word, found)
         return found
 
@@ -337,10 +361,6 @@ class Decoder:
         yield state.feed(b"", final=True)
 
 
-#: Encoders of this worker process by the id of their broadcast: tasks share what they remember.
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def digests(docs: DataFrame, merges: Merges, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encodes every text, decodes the tokens again, and adds n_tokens, ids_sha256, decoded_sha256.
 
@@ -354,10 +374,8 @@ def digests(docs: DataFrame, merges: Merges, text: str = "text", keep: list[str]
     number = shared._jbroadcast.id()
 
     def make():
-        if number not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[number] = Encoder(shared.value)
-        encoder, decoder = _ENCODERS[number], Decoder(shared.value)
+        # Tasks of one worker process share what they remember; those of other operators let go of it.
+        encoder, decoder = kept(number, lambda: Encoder(shared.value)), Decoder(shared.value)
         shown = {i: str(i).encode() for i in decoder.bytes_of}
 
         def one(value: bytes | None) -> tuple[int, str, str]:
@@ -379,4 +397,4 @@ def digests(docs: DataFrame, merges: Merges, text: str = "text", keep: list[str]
         return lambda texts, _: [list(c) for c in zip(*map(one, texts), strict=True)]
 
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return with_text_columns(docs, fields, make, text, keep)
+    return with_text_columns(docs, fields, make, text, keep, keeps=number)

@@ -39,8 +39,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Each batch in pieces of bounded text size, with the texts as UTF-8 bytes."""
+#: What this worker process keeps for further tasks of one operator, by a number.
+_KEPT: dict[int, object] = {}
+
+
+def kept(number: int, make: Callable[[], object]):
+    """What ``make`` gives, once per worker process, until a task of another operator lets go of it."""
+    let_go(number)
+    if number not in _KEPT:
+        _KEPT[number] = make()
+    return _KEPT[number]
+
+
+def let_go(but: int | None = None) -> None:
+    """Drop what tasks of other operators kept: a worker process serves one stage after the other."""
+    others = [n for n in _KEPT if n != but]
+    for n in others:
+        del _KEPT[n]
+    if others:
+        give_back()
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str, keeps: int | None = None
+) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Each batch in pieces of bounded text size, with the texts as UTF-8 bytes; ``keeps`` is what the task goes on to use."""
+    let_go(keeps)
     for batch in batches:
         texts = batch.column(text).cast(pa.large_binary()).to_pylist()
         start = size = 0
@@ -66,6 +90,7 @@ def with_text_columns(
     text: str = "text",
     keep: list[str] | None = None,
     read: list[str] | None = None,
+    keeps: int | None = None,
 ) -> DataFrame:
     """``df`` with columns computed from its texts inside the tasks.
 
@@ -81,7 +106,7 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, keeps):
             new = [
                 c if isinstance(c, pa.Array) else pa.array(c, arrow.field(n).type)
                 for (n, _), c in zip(fields, work(texts, part), strict=True)

@@ -11,10 +11,11 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lotgrain.llm import boosting, bpe, chosen_path, fm_index, hmm, html_text, labelled, licenses, mtree, quality, toxicity, windows
+from lotgrain.llm import boosting, bpe, chosen_path, fm_index, hmm, html_text, labelled, licenses, mtree, quality, rows, toxicity, windows
 from lotgrain.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string"
@@ -81,6 +82,15 @@ def test_license_wordings_are_told_apart(spark):
     assert [got[i] for i in range(len(want))] == list(want.values())
 
 
+def test_license_words_are_split_without_an_expression(spark, capsys):
+    texts = [None, "", "  ", "A\x00b\x7fÄÖ x--Y z\u3000q 9.", "-a", "[a]`b{c}@d/e:f"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    split = docs.select("doc_id", licenses.words_of("text").alias("w"))
+    assert [r.w for r in split.orderBy("doc_id").collect()] == [WORD.findall(lower(t or "")) for t in texts]
+    split.explain()
+    assert "regexp" not in capsys.readouterr().out
+
+
 def test_license_odd_rows(spark):
     got = licenses.scan_licenses(spark.createDataFrame([*ODD, (4, "mit license"), (None, "mit license")], DOCS)).collect()
     assert len(got) == len(ODD) + 2
@@ -359,6 +369,24 @@ def test_lookahead_bounds_what_is_held(merges):
     assert merges.reach == 128
 
 
+def test_bpe_words_of_one_piece_share_their_tokens(merges):
+    encoder = bpe.Encoder(merges)
+    list(encoder.stream("some words stand here some 12ab"))
+    assert encoder.words["words"] is encoder.pieces[" words"]
+    assert all(isinstance(pair, int) for pair in merges.fits)
+
+
+def test_what_a_worker_keeps_goes_with_the_next_operator():
+    first = rows.kept(1, lambda: [1])
+    assert rows.kept(1, lambda: [2]) is first
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    list(rows.slices(iter([batch]), "text", keeps=1))
+    assert rows.kept(1, lambda: [2]) is first
+    list(rows.slices(iter([batch]), "text"))
+    assert rows.kept(1, lambda: [2]) == [2]
+    rows.let_go()
+
+
 def test_bpe_odd_rows(spark, merges):
     got = bpe.digests(spark.createDataFrame(ODD, DOCS), merges, keep=["doc_id"]).collect()
     nothing = hashlib.sha256(b"").hexdigest()
