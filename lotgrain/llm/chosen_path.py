@@ -8,7 +8,12 @@
    were made from. A large group so costs a few comparisons for each member, not one for each pair.
 4. Nodes of at most ``LEAF`` classes are leaves and compared exhaustively: pairs that are not
    connected already.
-5. Classes of larger nodes that are not all connected by then branch further: they go on to the
+5. Of the classes of larger nodes that are not all connected by then, those that share a rare
+   shingle are compared: one that ``LEAF`` of them hold at most. Whoever shares none has only the
+   other shingles in common, and these bound how large a similar set can be (see ``_reach``). A
+   class stays in a node only if one of another component there is within its reach, and it within
+   that one's. Of many texts that differ in words of their own most leave here; this loses nothing.
+6. What stays in large nodes branches further: its classes go on to the
    next of ``ROUNDS``, with new and deeper trees, whose nodes are smaller. This goes on as long as
    a further round is cheaper than comparing what is left; then pairs of different components
    are compared in all nodes that are still large, in squares of blocks.
@@ -33,7 +38,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,18 +159,26 @@ def _deeper(sets: DataFrame, classes: DataFrame, depth: int, n_trees: int) -> Da
 
 
 def _nodes(classes: DataFrame) -> DataFrame:
-    """(path, cls, n_shingles, root, members) of the nodes whose classes are not all connected, written.
+    """(path, cls, n_shingles, reach, root, members) of the nodes whose classes are not all connected, written.
 
     ``classes`` has the root of each class so far: itself in the first round.
     """
-    rows = classes.select("cls", "n_shingles", "root", F.explode("paths").alias("path"))
+    rows = classes.select("cls", "n_shingles", "reach", "root", F.explode("paths").alias("path"))
     sizes = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
     return written(rows.join(sizes.where("low != high").select("path", "members"), "path"), "nodes")
 
 
-def _possible(a: str, b: str, percent: int):
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _reach(size, shared, percent: int):
+    """The largest size of a set similar enough to one of ``size`` shingles, of which it holds ``shared`` at most.
+
+    100 * both >= percent * (size + other - both) for the shingles ``both`` in common.
+    """
+    return F.floor(shared * (100 + percent) / percent).cast("long") - size
+
+
+def _possible(a: str, b: str, reach_a: str, reach_b: str):
+    """Whether sets of these sizes and reaches can be similar enough."""
+    return (F.col(a) <= F.col(reach_b)) & (F.col(b) <= F.col(reach_a))
 
 
 def _set_filter(classes: DataFrame) -> np.ndarray:
@@ -234,18 +246,76 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``roots`` and of these ones, from the links between different roots alone."""
+    if roots is None:
+        return components(links)
+    between = written(_apart(links, roots), "between")
+    if between.isEmpty():
+        return roots
+    moved = components(between.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    lower = moved.select(F.col("cls").alias("root"), F.col("root").alias("next"))
+    after = roots.join(lower, "root", "left").select("cls", F.coalesce("next", "root").alias("root"))
+    return written(after.unionByName(moved.join(roots, "cls", "left_anti")), "roots")
+
+
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the roots known now; a class without any is its own."""
+    return rows.drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def _still_open(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """The large nodes with the roots known now, without those whose classes are all connected, written."""
-    placed = nodes.where(F.col("members") > LEAF).drop("root").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("path")
-    return written(placed.join(mixed, "path", "left_semi"), "open-nodes")
+    """The rows of nodes, with the roots known now, that have a possible partner in their node, written.
+
+    One of another root and of sizes within each other's reach: the least size and the longest
+    reach among the other roots are looked at. ``members`` counts what was in the node before.
+    """
+    placed = _placed(nodes.drop("members"), roots)
+    by_root = placed.groupBy("path", "root").agg(F.count("*").alias("n"), F.min("n_shingles").alias("low"), F.max("reach").alias("high"))
+    ends = by_root.groupBy("path").agg(
+        F.sum("n").alias("members"), F.min(F.struct("low", "root")).alias("least"), F.max(F.struct("high", "root")).alias("most"), F.count("*").alias("roots")
+    )
+    ends = ends.where("roots > 1").drop("roots")
+    others = by_root.drop("n").join(ends, "path").groupBy("path", "members", "least", "most").agg(
+        F.min(F.when(F.col("root") != F.col("least.root"), F.col("low"))).alias("low"),
+        F.max(F.when(F.col("root") != F.col("most.root"), F.col("high"))).alias("high"),
+    )
+    low = F.when(F.col("root") == F.col("least.root"), F.col("low")).otherwise(F.col("least.low"))
+    high = F.when(F.col("root") == F.col("most.root"), F.col("high")).otherwise(F.col("most.high"))
+    near = placed.join(others, "path").where((low <= F.col("reach")) & (F.col("n_shingles") <= high))
+    return written(near.select("path", "cls", "n_shingles", "reach", "root", "members"), "open-nodes")
+
+
+def _rare(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(shingle, cls, root, holders, mixed) of the shingles that at most LEAF of the classes (cls, root) hold, written.
+
+    ``mixed`` tells whether the holders are of different roots.
+    """
+    held = sets.join(classes, "cls").select("cls", "root", F.explode("shingles").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count("*").alias("holders"), (F.min("root") != F.max("root")).alias("mixed"))
+    return written(held.join(counts.where(F.col("holders") <= LEAF), "shingle"), "rare")
+
 
+def _rare_pairs(rare: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots that share a rare shingle."""
+    mixed = rare.where("mixed")
+    left, right = (mixed.select("shingle", F.col("cls").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    return left.join(right, "shingle").where("root_a < root_b").select("a", "b").distinct()
 
-def _leaf_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+
+def _shorter_reach(nodes: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """The nodes, where pairs that share a rare shingle are compared: the rest shares the other shingles alone."""
+    counts = rare.groupBy("cls").agg(F.count("*").alias("rare"))
+    n = F.col("n_shingles")
+    reach = F.least("reach", _reach(n, n - F.coalesce("rare", F.lit(0)), percent))
+    return nodes.join(counts, "cls", "left").withColumn("reach", reach).drop("rare")
+
+
+def _leaf_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of possible sizes and of different roots that met in a leaf; a leaf holds LEAF classes at most."""
     leaves = nodes.where(F.col("members") <= LEAF)
-    left, right = (leaves.select("path", F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
-    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _possible("n_a", "n_b", percent)
+    left, right = (leaves.select("path", F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("reach").alias(f"reach_{x}"), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _possible("n_a", "n_b", "reach_a", "reach_b")
     return left.join(right, "path").where(apart).select("a", "b").distinct()
 
 
@@ -253,16 +323,18 @@ def _stars(nodes: DataFrame, popular: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): b is the most popular class of a size band of a node, a any class of possible size and another root.
 
     Sizes of one band are all possible for each other; those of the bands next to it may be.
-    Equally popular ones of a large node take turns by node.
+    Equally popular ones of a large node take turns by node. Where no reach is given, that of the size alone counts.
     """
+    if "reach" not in nodes.columns:
+        nodes = nodes.withColumn("reach", _reach(F.col("n_shingles"), F.col("n_shingles"), percent))
     band = F.floor(F.log("n_shingles") / math.log(100 / percent)) if percent < 100 else F.col("n_shingles")
     named = nodes.join(popular, "cls", "left").withColumn("band", band)
     turn = F.when(F.col("members") > LEAF, F.xxhash64("cls", "path")).otherwise(F.col("cls"))
-    rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles", "root")
+    rank = F.struct(F.coalesce("popular", F.lit(0)).alias("popular"), turn.alias("turn"), "cls", "n_shingles", "reach", "root")
     most = named.groupBy("path", "band").agg(F.max(rank).alias("top"))
     bands = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    near = nodes.withColumn("band", band).select("path", "cls", "n_shingles", "root", bands).join(most, ["path", "band"])
-    return near.where(F.col("root") != F.col("top.root")).where(_possible("n_shingles", "top.n_shingles", percent)).select(F.col("cls").alias("a"), F.col("top.cls").alias("b")).distinct()
+    near = nodes.withColumn("band", band).select("path", "cls", "n_shingles", "reach", "root", bands).join(most, ["path", "band"])
+    return near.where(F.col("root") != F.col("top.root")).where(_possible("n_shingles", "top.n_shingles", "reach", "top.reach")).select(F.col("cls").alias("a"), F.col("top.cls").alias("b")).distinct()
 
 
 def _n_open(nodes: DataFrame) -> int:
@@ -271,25 +343,25 @@ def _n_open(nodes: DataFrame) -> int:
     return alike.agg(F.sum((F.col("n") * F.col("n") - F.col("square")) / 2).alias("pairs")).first()["pairs"] or 0
 
 
-def _open_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(nodes: DataFrame) -> DataFrame:
     """All pairs (a, b) of a node's classes that are of possible sizes and not connected yet.
 
     Squares of about BLOCK classes a side meet, so no task holds a node, whatever its size.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = nodes.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = rows.select("path", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "a"), ("n_shingles", "n_a"), ("root", "root_a"))])
-    right = rows.select("path", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "b"), ("n_shingles", "n_b"), ("root", "root_b"))])
-    apart = (F.col("root_a") < F.col("root_b")) & _possible("n_a", "n_b", percent)
+    left = rows.select("path", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "a"), ("n_shingles", "n_a"), ("reach", "reach_a"), ("root", "root_a"))])
+    right = rows.select("path", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(x) for c, x in (("cls", "b"), ("n_shingles", "n_b"), ("reach", "reach_b"), ("root", "root_b"))])
+    apart = (F.col("root_a") < F.col("root_b")) & _possible("n_a", "n_b", "reach_a", "reach_b")
     return left.join(right, ["path", "i", "j"]).where(apart).select("a", "b").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not known to be connected through (cls, root)."""
+    """Pairs whose ends are not known to be connected through (cls, root), with the roots of both."""
     for end in ("a", "b"):
         own = roots.withColumnsRenamed({"cls": end, "root": f"root_{end}"})
         pairs = pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a != root_b").select("a", "b")
+    return pairs.where("root_a != root_b").select("a", "b", "root_a", "root_b")
 
 
 def near_duplicates(
@@ -313,25 +385,31 @@ def near_duplicates(
         .agg(F.min(doc_id).alias("least_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("paths").alias("paths")),
         "classes",
     )
-    nodes = _nodes(classes.withColumn("root", F.col("cls")))
+    widest = _reach(F.col("n_shingles"), F.col("n_shingles"), percent)
+    nodes = _nodes(classes.withColumn("root", F.col("cls")).withColumn("reach", widest))
     popular = nodes.where(F.col("members") > LEAF).groupBy("cls").agg(F.sum("members").alias("popular"))
     sets = written(_sets(docs, nodes, shingle, text), "sets")
-    links = []
+    roots = None
     for i in range(len(plan)):
         first = _confirmed(written(_stars(nodes, popular, percent), "star-pairs"), sets, percent)
         # Most leaf pairs share a popular class that both are linked with.
         near = first.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("root"))
-        links += [first, _confirmed(written(_apart(_leaf_pairs(nodes, percent), near), "leaf-pairs"), sets, percent)]
-        roots = components(reduce(DataFrame.unionAll, links))
-        large = _still_open(nodes, roots)
+        leaves = _confirmed(written(_apart(_leaf_pairs(nodes), near), "leaf-pairs"), sets, percent)
+        roots = _merged(roots, first.unionAll(leaves))
+        large = _still_open(nodes.where(F.col("members") > LEAF), roots)
+        if large.isEmpty():
+            break
+        rare = _rare(sets, large.select("cls", "root").distinct())
+        roots = _merged(roots, _confirmed(written(_rare_pairs(rare), "rare-pairs"), sets, percent))
+        large = _still_open(_shorter_reach(large, rare, percent), roots)
         if large.isEmpty():
             break
         if i + 1 < len(plan) and PAIR_ROWS * _n_open(large) > large.select("cls").distinct().count() * plan[i + 1][1]:
-            deeper = written(_deeper(sets, large.select("cls").distinct(), *plan[i + 1]), "deeper")
-            nodes = _nodes(deeper.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+            still = large.groupBy("cls").agg(F.any_value("reach").alias("reach"), F.any_value("root").alias("root"))
+            deeper = written(_deeper(sets, still, *plan[i + 1]), "deeper")
+            nodes = _nodes(deeper.join(still, "cls"))
         else:
-            links.append(_confirmed(written(_open_pairs(large, percent), "open-pairs"), sets, percent))
-            roots = components(reduce(DataFrame.unionAll, links))
+            roots = _merged(roots, _confirmed(written(_open_pairs(large), "open-pairs"), sets, percent))
             break
 
     ids = classes.select("cls", "least_id").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

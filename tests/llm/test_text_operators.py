@@ -696,6 +696,30 @@ def test_recall_within_a_large_group_of_almost_alike_texts(spark, monkeypatch):
     assert all(want[got[d][1]][1] == want[d][1] for d in want)
 
 
+def test_unlinked_copies_of_a_text_need_no_deeper_trees(spark, monkeypatch):
+    # Copies of one text with words of their own, all too far from it and from one another, and twins that share theirs.
+    def never(*_):
+        raise AssertionError("shared rare shingles settle this")
+
+    monkeypatch.setattr(chosen_path, "_deeper", never)
+    monkeypatch.setattr(chosen_path, "_open_pairs", never)
+    rng = random.Random(21)
+    rows = [" ".join(f"w{n}" for n in range(150))]
+    for i in range(200):
+        words = [f"w{n}" for n in range(150)]
+        for n in rng.sample(range(150), rng.randint(8, 10)):
+            words[n] = f"e{i}x{n}"
+        rows.append(" ".join(words))
+        if i % 20 == 0:
+            words[rng.randrange(150)] = f"f{i}"
+            rows.append(" ".join(words))
+    docs = list(enumerate(rows))
+    want = near_by_brute_force(docs, 3, 85)
+    assert sum(not w[2] for w in want.values()) == 10
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path.near_duplicates(spark.createDataFrame(docs, DOCS), 3, 85).collect()}
+    assert got == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.cls: r.root for r in chosen_path.components(links).collect()}
