@@ -7,7 +7,9 @@ only if no merge that comes early enough runs across their border. So the transd
 over the bytes and keeps, for each of the last ``reach`` positions, the last token of the
 prefix that ends there; ``reach`` is the length of the longest token and is computed from the
 merge list. The encodings of all prefixes within reach share their older tokens: those can no
-longer change and are emitted. Memory is bounded by ``reach``, however long a text is.
+longer change and are emitted. Memory is bounded by ``reach``, however long a text is. A piece of few
+bytes needs no such walk: it is tried from the longest token on, back and forth, until all
+neighbours fit; the first way through is the encoding, since there is only one.
 
 The decoder turns tokens to bytes and bytes to text by a state machine over UTF-8, piece by
 piece; a malformed sequence becomes U+FFFD.
@@ -17,6 +19,7 @@ The vocabulary file is a parameter; it is read on the driver and sent to the tas
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -34,6 +37,8 @@ from lotgrain.llm.rows import kept, with_text_columns
 REMEMBERED = 400_000
 #: Bytes of text that are encoded at a time, cut where a piece ends.
 STRETCH = 1 << 16
+#: Pieces of at most so many bytes are tried from the longest token on.
+SHORT = 32
 
 # The split pattern of this vocabulary.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,9 +80,12 @@ class Merges:
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.endings = None
+        #: Tokens that are encoded as themselves, and the length of the longest of them that begins with the same three bytes.
+        self.usable: dict[bytes, int] = {}
+        self.longest: dict[bytes, int] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fits": {}, "whole": {}, "endings": None}
+        return self.__dict__ | {"fits": {}, "whole": {}, "endings": None, "usable": {}, "longest": {}}
 
     def automaton(self) -> ahocorasick.Automaton:
         """Finds, for each position, the tokens that end there, the longest first."""
@@ -120,6 +128,9 @@ class Merges:
 
     def encode_piece(self, data: bytes) -> Iterator[int]:
         """Tokens of a piece, each as soon as nothing that follows can change it."""
+        if len(data) <= SHORT:
+            yield from self.encode_short(data)
+            return
         whole = self.number.get(data)
         if whole is not None and self._whole(whole):
             yield self.out[whole]
@@ -147,6 +158,46 @@ class Merges:
                     last, base = last[drop:], base + drop
         yield from self._tokens(last, base, emitted, len(data))
 
+    def prepare(self) -> None:
+        """The tables for short pieces, once per process."""
+        self.usable = {t: i for i, t in enumerate(self.tokens) if self._whole(i)}
+        for t in self.usable:
+            self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 0))
+
+    def encode_short(self, data: bytes) -> list[int]:
+        """Tokens of a short piece: the longest that fits its left neighbour, one back where nothing fits.
+
+        A position reached by neighbours that fit is reached by the encoding of the bytes before
+        it, in this way only. So where nothing leads on from it, the piece's encoding avoids it.
+        """
+        if not self.usable:
+            self.prepare()
+        find, longest, known, n, end = self.usable.get, self.longest.get, self.fits.get, len(self.tokens), len(data)
+        path: list[int] = []
+        dead: list[int] = []
+        at, left = 0, -1
+        to = min(end, longest(data[:3], 2))
+        while at < end:
+            while to > at:
+                token = find(data[at:to])
+                if token is not None and to not in dead:
+                    if left < 0:
+                        break
+                    fits = known(left * n + token)
+                    if self.neighbours(left, token) if fits is None else fits:
+                        break
+                to -= 1
+            else:
+                dead.append(at)
+                to = at - 1
+                at -= len(self.tokens[path.pop()])
+                left = path[-1] if path else -1
+                continue
+            path.append(token)
+            at, left = to, token
+            to = min(end, at + longest(data[at : at + 3], 2))
+        return [self.out[token] for token in path]
+
     def _lasts(self, data: bytes) -> list[int]:
         """The last token of every prefix of a short piece, which needs no emitting on the way."""
         known, neighbours, n = self.fits.get, self.neighbours, len(self.tokens)
@@ -246,22 +297,24 @@ class Encoder:
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _remember(self, table: str, key: str, found: tuple[int, ...]) -> None:
-        """The older half of what is remembered goes when there is too much of it."""
+        """The older half of what is remembered goes when there is too much of it; the table stays the same object."""
         words = getattr(self, table)
         if len(key) < 64:
             if len(words) >= REMEMBERED:
-                setattr(self, table, words := dict(islice(words.items(), REMEMBERED // 2, None)))
+                for old in list(islice(words, REMEMBERED // 2)):
+                    del words[old]
             words[key] = found
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
         if found is None:
-            found = tuple(self.merges.encode_piece(piece.encode()))
+            data = piece.encode()
+            found = tuple(self.merges.encode_short(data) if len(data) <= SHORT else self.merges.encode_piece(data))
             self._remember("pieces", piece, found)
         return found
 
     def _split(self, text: str) -> list[str]:
-        return (self.piece if self.beyond.search(text) else self.plain).findall(text)
+        return (self.plain if text.isascii() or not self.beyond.search(text) else self.piece).findall(text)
 
     def _pieces(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self._piece, self._split(text))))
@@ -270,12 +323,18 @@ class Encoder:
         """Tokens of a space and the word behind it."""
         found = self.words.get(word)
         if found is None:
-            pieces = self._split(" " + word)
+            spaced = " " + word
+            pieces = [spaced] if word.isascii() and word.isalpha() else self._split(spaced)
             # A word of one piece shares its tokens with it.
             found = self._piece(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self._piece, pieces)))
             self._remember("words", word, found)
         return found
 
+    def _words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Tokens of each word and the space before it."""
+        found = list(map(self.words.get, words))
+        return [self._word(w) if ids is None else ids for w, ids in zip(words, found, strict=True)] if None in found else found
+
     def _plain_text(self, text: str) -> Iterator[list[int]]:
         """Tokens of text without added tokens, a stretch at a time; pieces begin at a space or end with one."""
         at = 0
@@ -291,7 +350,7 @@ class Encoder:
             if body and self.odd_spaces.search(body) is None:
                 first, *rest = body.split(" ")
                 start = self._word(first) if lead else self._pieces(first)
-                yield [*start, *chain.from_iterable(map(self._word, rest))]
+                yield [*start, *chain.from_iterable(self._words(rest))]
             else:
                 yield self._pieces(stretch)
             at = end
@@ -373,9 +432,16 @@ def digests(docs: DataFrame, merges: Merges, text: str = "text", keep: list[str]
 
     number = shared._jbroadcast.id()
 
+    def lasting() -> Encoder:
+        encoder = Encoder(shared.value)
+        encoder.merges.prepare()
+        # Tables of words and tokens hold no cycles: the collector need not go through them again and again.
+        gc.freeze()
+        return encoder
+
     def make():
         # Tasks of one worker process share what they remember; those of other operators let go of it.
-        encoder, decoder = kept(number, lambda: Encoder(shared.value)), Decoder(shared.value)
+        encoder, decoder = kept(number, lasting), Decoder(shared.value)
         shown = {i: str(i).encode() for i in decoder.bytes_of}
 
         def one(value: bytes | None) -> tuple[int, str, str]:

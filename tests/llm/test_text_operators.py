@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -387,6 +388,26 @@ def test_what_a_worker_keeps_goes_with_the_next_operator():
     rows.let_go()
 
 
+def test_bpe_short_pieces_are_tried_without_the_walk(merges):
+    fresh = pickle.loads(pickle.dumps(merges))
+    rng = random.Random(8)
+    pieces = [b"".join(rng.choices([t for t in merges.tokens[:3000]], k=rng.randint(1, 6)))[: bpe.SHORT] for _ in range(3000)]
+    pieces += [bytes(rng.choices(range(256), k=rng.randint(1, bpe.SHORT))) for _ in range(500)]
+    got = [list(fresh.encode_piece(p)) for p in pieces]
+    assert fresh.endings is None
+    assert got == [merges._tokens(merges._lasts(p), 0, 0, len(p)) for p in pieces]
+
+
+def test_bpe_tables_of_words_stay_the_same_objects(merges, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    encoder = bpe.Encoder(merges)
+    words, pieces = encoder.words, encoder.pieces
+    text = " ".join(f"word{i}x" for i in range(50))
+    once = [i for ids in encoder.stream(text) for i in ids]
+    assert encoder.words is words and encoder.pieces is pieces and max(len(words), len(pieces)) <= 10
+    assert once == [i for ids in bpe.Encoder(merges).stream(text) for i in ids]
+
+
 def test_bpe_odd_rows(spark, merges):
     got = bpe.digests(spark.createDataFrame(ODD, DOCS), merges, keep=["doc_id"]).collect()
     nothing = hashlib.sha256(b"").hexdigest()
